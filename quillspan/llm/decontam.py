@@ -45,13 +45,17 @@ class LeakPlan:
 TOKEN = r"[\p{L}\p{M}\p{N}]+|[.!?:%\n]+"
 
 
-def tokens(text: Column) -> tuple[Column, Column]:
-    """(templates, surfaces) of a text: arrays of equal length. Null counts as empty."""
-    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+def tokenised(df: DataFrame) -> DataFrame:
+    """df with `text` replaced by arrays of equal length: dt, the typed tokens, and ds, the same as written. Null counts as empty.
+
+    The matches are a column of their own before the lambda looks at neighbours in them, so each text is matched once.
+    """
+    others = [c for c in df.columns if c != "text"]
+    raw = df.select(*others, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
     numeric = lambda x: x.rlike(r"^\p{N}")
 
     def template(x: Column, i: Column) -> Column:
-        before = F.get(raw, i - 1)
+        before = F.get("raw", i - 1)
         return (
             F.when(x.rlike(r"^[.!?:\n]"), F.lit(""))
             .when(numeric(x), F.lit("<num>"))
@@ -60,8 +64,8 @@ def tokens(text: Column) -> tuple[Column, Column]:
             .otherwise(F.lower(x))
         )
 
-    pairs = F.filter(F.transform(raw, lambda x, i: F.struct(template(x, i).alias("t"), F.lower(x).alias("s"))), lambda p: p["t"] != "")
-    return pairs["t"], pairs["s"]
+    pairs = F.filter(F.transform("raw", lambda x, i: F.struct(template(x, i).alias("t"), F.lower(x).alias("s"))), lambda p: p["t"] != "")
+    return raw.select(*others, pairs.alias("pairs")).select(*others, F.col("pairs.t").alias("dt"), F.col("pairs.s").alias("ds"))
 
 
 def _windows(template: Column, size: Column, step: int) -> Column:
@@ -73,8 +77,7 @@ def _windows(template: Column, size: Column, step: int) -> Column:
 
 def _item_windows(items: DataFrame, plan: LeakPlan) -> DataFrame:
     """(item_id, n_item, size, at, w, it, isf): every window of the items that says enough."""
-    t, s = tokens(F.col("text"))
-    d = items.select("item_id", t.alias("it"), s.alias("isf")).withColumn("n_item", F.size("it"))
+    d = tokenised(items.select("item_id", "text")).withColumnsRenamed({"dt": "it", "ds": "isf"}).withColumn("n_item", F.size("it"))
     d = d.withColumn("size", F.when(F.col("n_item") >= plan.window + plan.stride - 1, plan.window).otherwise(F.col("n_item")))
     d = d.where(f"size >= {plan.min_literals}").withColumn("win", F.explode(_windows(F.col("it"), F.col("size"), 1)))
     literals = F.size(F.filter(F.slice("it", F.col("win.at") + 1, F.col("size")), lambda x: ~x.isin("<num>", "<name>", "<unit>")))
@@ -88,7 +91,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) ->
     Null and empty texts, on either side, leak nothing. Rows without doc_id or item_id are not reported. Rows that share a
     doc_id count as one document (each text is aligned for itself), repeated rows count once. Empty tables give an empty result.
     """
-    t, s = tokens(F.col("text"))
     d = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null")
     wins = durable(_item_windows(pick(benchmark, item_id="item_id", text="text").where("item_id is not null").distinct(), plan))
     n_wins = wins.count()
@@ -96,12 +98,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) ->
     whole = {r[0] for r in wins.where("n_item = size").select("size").distinct().collect()}
     strides = {n: 1 if n in whole else plan.stride for n in sizes}
     bounded = (lambda x: F.broadcast(x)) if n_wins <= plan.broadcast_rows else (lambda x: x)
-    probe = d.select("doc_id", t.alias("dt")).select("doc_id", F.flatten(F.array_compact(F.array(*(_windows(F.col("dt"), F.lit(n), strides[n]) for n in sizes)))).alias("ws"))
+    probe = tokenised(d).select("doc_id", F.flatten(F.array_compact(F.array(*(_windows(F.col("dt"), F.lit(n), strides[n]) for n in sizes)))).alias("ws"))
     hits = probe.select("doc_id", F.explode(F.array_distinct(F.col("ws.w"))).alias("w")).join(bounded(wins.select("w").distinct()), "w", "left_semi")
     hit_ids = durable(hits.select("doc_id").distinct())
     small = hit_ids.count() <= plan.broadcast_rows
     found = d.join(F.broadcast(hit_ids) if small else hit_ids, "doc_id", "left_semi")
-    aligned = found.distinct().select("doc_id", F.xxhash64("text").alias("th"), t.alias("dt"), s.alias("ds"))
+    aligned = tokenised(found.distinct().withColumn("th", F.xxhash64("text")))
     sized = F.explode(F.array(*(F.struct(F.lit(n).alias("size"), _windows(F.col("dt"), F.lit(n), 1).alias("ws")) for n in sizes))).alias("z")
     aligned = aligned.select("doc_id", "th", "dt", "ds", sized).select("doc_id", "th", "ds", "z.size", F.explode("z.ws").alias("x"))
     met = aligned.select("doc_id", "th", "size", F.col("x.at").alias("dat"), F.col("x.w").alias("w"), F.slice("ds", F.col("x.at") + 1, F.col("size")).alias("dws"))
