@@ -42,45 +42,62 @@ class LeakPlan:
     broadcast_rows: int = 1_000_000
 
 
-TOKEN = r"[\p{L}\p{M}\p{N}]+|[.!?:%\n]+"
+NAME, NUM, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters open the three kinds of slot token
+# a capitalised word after a word, comma or bracket and one space: inside a sentence
+NAMES = r"\p{Lu}(?<=[\p{L}\p{M}\p{N},;)] \p{Lu})\p{Ll}[\p{L}\p{M}\p{N}]*"
+UNITS_AFTER = rf"({NUM}[0-9]* +)(%|(?:{'|'.join(sorted(u for u in UNITS if u != '%'))})(?![\p{{L}}\p{{N}}]))"
+GAPS = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}]+"
 
 
-def tokenised(df: DataFrame) -> DataFrame:
-    """df with `text` replaced by arrays of equal length: dt, the typed tokens, and ds, the same as written. Null counts as empty.
+def tokens(text: Column, surfaces: bool) -> Column:
+    """The typed tokens of a text: lower-cased words and slot characters, followed by what is written there if `surfaces`. Null counts as empty.
 
-    The matches are a column of their own before the lambda looks at neighbours in them, so each text is matched once.
+    Three replacements and a split over the whole text, so that the cost of a token stays in compiled matchers.
     """
-    others = [c for c in df.columns if c != "text"]
-    raw = df.select(*others, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
-    numeric = lambda x: x.rlike(r"^\p{N}")
+    kept = "$0" if surfaces else ""
+    x = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), NAME + NUM + UNIT, ""), NAMES, NAME + kept)
+    x = F.regexp_replace(F.lower(x), "[0-9]+", f" {NUM}{kept} ")
+    x = F.regexp_replace(x, UNITS_AFTER, f"$1 {UNIT}" + ("$2 " if surfaces else " "))
+    return F.filter(F.split(x, GAPS), lambda t: t != "")
+
 
-    def template(x: Column, i: Column) -> Column:
-        before = F.get("raw", i - 1)
-        return (
-            F.when(x.rlike(r"^[.!?:\n]"), F.lit(""))
-            .when(numeric(x), F.lit("<num>"))
-            .when((x == "%") | F.lower(x).isin(UNITS) & numeric(before), F.lit("<unit>"))
-            .when(x.rlike(r"^\p{Lu}\p{Ll}") & before.isNotNull() & ~before.rlike(r"^[.!?:%\n]"), F.lit("<name>"))
-            .otherwise(F.lower(x))
-        )
+def templates(written: Column) -> Column:
+    """Slot tokens without what is written there."""
+    return F.transform(written, lambda t: F.when(t < NAME, t).when(t > UNIT + "\uffff", t).otherwise(F.substring(t, 1, 1)))
 
-    pairs = F.filter(F.transform("raw", lambda x, i: F.struct(template(x, i).alias("t"), F.lower(x).alias("s"))), lambda p: p["t"] != "")
-    return raw.select(*others, pairs.alias("pairs")).select(*others, F.col("pairs.t").alias("dt"), F.col("pairs.s").alias("ds"))
+
+def tokenised(df: DataFrame) -> DataFrame:
+    """df with `text` replaced by arrays of equal length: dt, the typed tokens, and ds, the same as written."""
+    others = [c for c in df.columns if c != "text"]
+    written = df.select(*others, tokens(F.col("text"), True).alias("ds"))
+    return written.select(*others, templates(F.col("ds")).alias("dt"), "ds")
 
 
 def _windows(template: Column, size: Column, step: int) -> Column:
-    """Hashes of the windows of `size` tokens that start at 0, step, ..., and of the last one; null for shorter arrays."""
+    """Places and hashes of the windows of `size` tokens at 0, step, ..., and of the last one; null for shorter arrays.
+
+    They are exploded with explode_outer: for explode the optimiser would infer a filter on the array's size and evaluate
+    the whole tokenisation again inside it, for every window.
+    """
+    return F.transform(_starts(template, size, step), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, size)).alias("w")))
+
+
+def _starts(template: Column, size: Column, step: int) -> Column:
     last = F.size(template) - size
-    starts = F.when(last >= 0, F.array_union(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), F.array(F.greatest(last, F.lit(0)))))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, size)).alias("w")))
+    every = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))
+    return F.when(last >= 0, every if step == 1 else F.concat(every, F.array(last)))
+
+
+def _hashed(template: str, size: int):
+    return lambda i: F.xxhash64(F.slice(template, i + 1, size))
 
 
 def _item_windows(items: DataFrame, plan: LeakPlan) -> DataFrame:
     """(item_id, n_item, size, at, w, it, isf): every window of the items that says enough."""
     d = tokenised(items.select("item_id", "text")).withColumnsRenamed({"dt": "it", "ds": "isf"}).withColumn("n_item", F.size("it"))
     d = d.withColumn("size", F.when(F.col("n_item") >= plan.window + plan.stride - 1, plan.window).otherwise(F.col("n_item")))
-    d = d.where(f"size >= {plan.min_literals}").withColumn("win", F.explode(_windows(F.col("it"), F.col("size"), 1)))
-    literals = F.size(F.filter(F.slice("it", F.col("win.at") + 1, F.col("size")), lambda x: ~x.isin("<num>", "<name>", "<unit>")))
+    d = d.where(f"size >= {plan.min_literals}").withColumn("win", F.explode_outer(_windows(F.col("it"), F.col("size"), 1)))
+    literals = F.size(F.filter(F.slice("it", F.col("win.at") + 1, F.col("size")), lambda x: ~x.isin(NAME, NUM, UNIT)))
     return d.where(literals >= plan.min_literals).select("item_id", "n_item", "size", "win.at", "win.w", "it", "isf")
 
 
@@ -98,21 +115,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) ->
     whole = {r[0] for r in wins.where("n_item = size").select("size").distinct().collect()}
     strides = {n: 1 if n in whole else plan.stride for n in sizes}
     bounded = (lambda x: F.broadcast(x)) if n_wins <= plan.broadcast_rows else (lambda x: x)
-    probe = tokenised(d).select("doc_id", F.flatten(F.array_compact(F.array(*(_windows(F.col("dt"), F.lit(n), strides[n]) for n in sizes)))).alias("ws"))
-    hits = probe.select("doc_id", F.explode(F.array_distinct(F.col("ws.w"))).alias("w")).join(bounded(wins.select("w").distinct()), "w", "left_semi")
+    probe = d.select("doc_id", tokens(F.col("text"), False).alias("dt"))
+    seen = [F.transform(_starts(F.col("dt"), F.lit(n), strides[n]), _hashed("dt", n)) for n in sizes]
+    probe = probe.select("doc_id", F.explode_outer(F.flatten(F.array_compact(F.array(*seen))) if len(seen) > 1 else seen[0]).alias("w"))
+    hits = probe.join(bounded(wins.select("w").distinct()), "w", "left_semi")
     hit_ids = durable(hits.select("doc_id").distinct())
     small = hit_ids.count() <= plan.broadcast_rows
     found = d.join(F.broadcast(hit_ids) if small else hit_ids, "doc_id", "left_semi")
     aligned = tokenised(found.distinct().withColumn("th", F.xxhash64("text")))
-    sized = F.explode(F.array(*(F.struct(F.lit(n).alias("size"), _windows(F.col("dt"), F.lit(n), 1).alias("ws")) for n in sizes))).alias("z")
-    aligned = aligned.select("doc_id", "th", "dt", "ds", sized).select("doc_id", "th", "ds", "z.size", F.explode("z.ws").alias("x"))
+    sized = F.explode_outer(F.array(*(F.struct(F.lit(n).alias("size"), _windows(F.col("dt"), F.lit(n), 1).alias("ws")) for n in sizes))).alias("z")
+    aligned = aligned.select("doc_id", "th", "dt", "ds", sized).select("doc_id", "th", "ds", "z.size", F.explode_outer("z.ws").alias("x"))
     met = aligned.select("doc_id", "th", "size", F.col("x.at").alias("dat"), F.col("x.w").alias("w"), F.slice("ds", F.col("x.at") + 1, F.col("size")).alias("dws"))
     items = wins.select("item_id", "n_item", "size", "at", "w", F.slice("it", F.col("at") + 1, F.col("size")).alias("wt"), F.slice("isf", F.col("at") + 1, F.col("size")).alias("ws"))
     met = met.join(bounded(items), ["w", "size"]).withColumn("diag", F.col("dat") - F.col("at"))
     cells = F.filter(F.transform(F.arrays_zip("wt", "ws", "dws"), lambda z, i: F.struct((F.col("at") + i).alias("p"), z["wt"].alias("t"), z["ws"].alias("a"), z["dws"].alias("b"))), lambda c: c["t"].isNotNull())
-    tokens_met = met.select("doc_id", "th", "item_id", "n_item", "diag", F.explode(cells).alias("c")).distinct()
+    tokens_met = met.select("doc_id", "th", "item_id", "n_item", "diag", F.explode_outer(cells).alias("c")).distinct()
     group = ["doc_id", "th", "item_id", "n_item", "diag"]
-    slot = F.col("c.t").isin("<num>", "<name>", "<unit>")
+    slot = F.col("c.t").isin(NAME, NUM, UNIT)
     key = F.when(slot, F.struct("c.t", "c.a"))
     one_b = F.size(F.collect_set(F.when(slot, F.col("c.b"))).over(Window.partitionBy(*group, key)))
     one_a = F.size(F.collect_set(F.when(slot, F.col("c.a"))).over(Window.partitionBy(*group, F.when(slot, F.struct("c.t", "c.b")))))
