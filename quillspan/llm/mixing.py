@@ -19,12 +19,12 @@ from quillspan.llm.common import pick
 
 @dataclass(frozen=True)
 class MixPlan:
-    """block: documents in a block; period: slots in a schedule period; temperature: target shares grow as size**temperature if no weights are given; rows_per_bucket: documents numbered in one task."""
+    """block: documents in a block; period: slots in a schedule period; temperature: target shares grow as size**temperature if no weights are given; rows_per_bucket: documents numbered in one sort, more of them beyond 10,000 buckets a source."""
 
     block: int = 16
     period: int = 1000
     temperature: float = 0.7
-    rows_per_bucket: int = 20_000
+    rows_per_bucket: int = 2_000
 
 
 def integer_shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -71,7 +71,7 @@ def numbered(docs: DataFrame, plan: MixPlan) -> tuple[DataFrame, dict[str, int]]
     source = F.coalesce(docs["source"], F.lit(""))
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), source.alias("mix_source"), F.xxhash64(docs["doc_id"], source).alias("h"))
     sizes = {r[0]: r[1] for r in d.groupBy("mix_source").count().collect()}
-    buckets = max(1, -(-max(sizes.values(), default=1) // plan.rows_per_bucket))
+    buckets = min(10_000, max(1, -(-max(sizes.values(), default=1) // plan.rows_per_bucket)))
     d = d.withColumn("bucket", F.floor(F.shiftrightunsigned("h", 32) * buckets / F.lit(2**32)).cast("int"))
     counts = d.groupBy("mix_source", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
