@@ -130,7 +130,7 @@ class ByteBiGRU:
                 self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return losses
 
-    def documents(self, raw: list[bytes], window: int, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def documents(self, raw: list[bytes], window: int, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Mean distribution (documents, labels) and counts of position labels, over all bytes of each text."""
         size = np.array([len(b) for b in raw], np.int64)
         chunks = -(-size // window)

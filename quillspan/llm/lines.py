@@ -181,7 +181,7 @@ def _occurrences(plan: LinePlan):
     return run
 
 
-def _keyed(plan: LinePlan, chars: int = 2_000_000, remembered: int = 200_000):
+def _keyed(plan: LinePlan, chars: int = 400_000, remembered: int = 100_000):
     """Index and probe keys of the batches' distinct lines. `remembered` lines of a task are not sent twice, a map-side combine; the reader drops what is left."""
 
     def emit(lines: list[str], ids: list[int]) -> pa.RecordBatch:
@@ -283,7 +283,7 @@ def _texts(plan: LinePlan):
     return run
 
 
-def verifier(max_edits: int, cells: int = 4_000_000):
+def verifier(max_edits: int, cells: int = 1_000_000):
     """A column function: do two lines lie within max_edits edits? Pairs are compared in groups of similar length and bounded size."""
 
     @F.pandas_udf("boolean")
