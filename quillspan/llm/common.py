@@ -21,14 +21,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts go to Python in smaller Arrow batches than Spark's default, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, rows)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor costs a re-read and no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, renamed: extra columns of any name can't clash with the operator's own."""
+    bound_batches(df.sparkSession)
     return df.select(*(df[old].alias(new) for new, old in columns.items()))
 
 

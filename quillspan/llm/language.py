@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import pick
+from quillspan.llm.common import bound_batches, pick
 
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -220,6 +220,7 @@ def identify(docs: DataFrame, model: ByteBiGRU | None, plan: TrainingPlan = Trai
 
 def reject_unknown(docs: DataFrame, model: ByteBiGRU | None, min_score: float, plan: TrainingPlan = TrainingPlan()) -> DataFrame:
     """The rows of docs, with their own columns, whose language is recognised with at least min_score."""
+    bound_batches(docs.sparkSession)
     kept = docs.columns
     mark = predictor(model, plan.window)(docs["text"])
     name = "lid_" + "_".join(kept)

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspan.llm.common import durable, pick
 
@@ -360,26 +361,30 @@ def strip_lines(text: str | None, drop: list[int] | None, min_chars: int) -> tup
     return ("\n".join(kept), n) if n else (text, 0)
 
 
-def _stripper(plan: LinePlan):
-    @F.pandas_udf("text string, gone long")
-    def stripped(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([strip_lines(t, d, plan.min_chars) for t, d in zip(text, drop, strict=True)], columns=["text", "gone"])
+def _stripper(plan: LinePlan, at: int, found: int):
+    """Batches with the text, column number `at`, stripped, and gone, n_near and n_links in place of the struct in column `found`."""
 
-    return stripped
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = b.column(found).to_pylist()
+            new = [strip_lines(t, x and x["drop"], plan.min_chars) for t, x in zip(map(pa.StringScalar.as_py, b.column(at)), told, strict=True)]
+            columns = [pa.array([t for t, _ in new], pa.string()) if k == at else c for k, c in enumerate(b.columns) if k != found]
+            counts = [[n for _, n in new], *([x[c] if x else 0 for x in told] for c in ("n_near", "n_links"))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=[str(k) for k in range(len(columns) + 3)])
+
+    return run
 
 
-def _deduplicated(docs: DataFrame, plan: LinePlan) -> tuple[DataFrame, str]:
-    """docs with a struct column (its name is returned) of the new text, lines gone, n_near and n_links."""
-    name = "_".join(["lines", *docs.columns])
+def _deduplicated(docs: DataFrame, plan: LinePlan) -> DataFrame:
+    """docs' columns by number from 0, the text stripped, then lines gone, n_near and n_links."""
     known = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null")
-    found = durable(duplicate_lines(known, plan).select(F.col("doc_id").alias(f"{name}_id"), F.struct("drop", "n_near", "n_links").alias(f"{name}_found")))
-    joined = docs.join(_bounded(found, plan), docs["doc_id"] == found[f"{name}_id"], "left")
-    told = F.struct(
-        _stripper(plan)(docs["text"], F.col(f"`{name}_found`.drop")).alias("new"),
-        F.coalesce(F.col(f"`{name}_found`.n_near"), F.lit(0)).alias("n_near"),
-        F.coalesce(F.col(f"`{name}_found`.n_links"), F.lit(0)).alias("n_links"),
-    )
-    return joined.withColumn(name, told), name
+    found = durable(duplicate_lines(known, plan).select(F.col("doc_id").alias("k"), F.struct("drop", "n_near", "n_links").alias("found")))
+    n = len(docs.columns)
+    bare = docs.select(*(docs[c].alias(str(k)) for k, c in enumerate(docs.columns)))
+    at = docs.columns.index("text")
+    joined = bare.join(_bounded(found, plan), bare[str(docs.columns.index("doc_id"))] == found["k"], "left").select(*(str(k) for k in range(n)), "found")
+    counts = [T.StructField(str(n + k), T.LongType()) for k in range(3)]
+    return joined.mapInArrow(_stripper(plan, at, n), T.StructType([*bare.schema.fields, *counts]))
 
 
 def remove_repeated_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
@@ -389,14 +394,11 @@ def remove_repeated_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataF
     without doc_id lose only repeats of their own lines. Rows that share a doc_id count as one document. Lines compare
     without outer white space, and lines of fewer than min_chars code points always stay. An empty table gives an empty one.
     """
-    told, name = _deduplicated(docs, plan)
-    new = F.col(f"`{name}`.new")
-    left = (new["gone"] == 0) | (new["text"].rlike(r"(?U)\S"))
-    return told.where(left).select(*(new["text"].alias(c) if c == "text" else docs[c] for c in docs.columns))
+    told, n, text = _deduplicated(docs, plan), len(docs.columns), str(docs.columns.index("text"))
+    return told.where((F.col(str(n)) == 0) | F.col(text).rlike(r"(?U)\S")).select(*(F.col(str(k)).alias(c) for k, c in enumerate(docs.columns)))
 
 
 def lines_query(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """One row per document: doc_id, n_removed lines, n_near of them for a near repeat only, n_links to different lines, text left."""
-    told, name = _deduplicated(docs.select("doc_id", "text"), plan)
-    x = F.col(f"`{name}`")
-    return told.select("doc_id", x["new"]["gone"].alias("n_removed"), x["n_near"].alias("n_near"), x["n_links"].alias("n_links"), x["new"]["text"].alias("text"))
+    told = _deduplicated(pick(docs, doc_id="doc_id", text="text"), plan)
+    return told.select(F.col("0").alias("doc_id"), F.col("2").alias("n_removed"), F.col("3").alias("n_near"), F.col("4").alias("n_links"), F.col("1").alias("text"))
