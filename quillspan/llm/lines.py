@@ -33,7 +33,7 @@ class LinePlan:
 
     max_edits: int = 2
     min_chars: int = 20
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 300_000
     block: int = 1024
 
 
