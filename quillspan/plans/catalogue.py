@@ -1,6 +1,356 @@
-"""Queries by name, with the SQL that each is held against."""
+"""Queries by name over a folder of tables, with the SQL that each is held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspan.functions import ladder, tabular, textcols
+from quillspan.operators import gate, universe
+from quillspan.plans import oracle
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, source, headline, paragraphs, filtered_reasons, gate_text) of the documents."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "source", "text")
+    bars = F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))
+    reasons = F.array_compact(F.array(F.when(F.length("text") < 200, "short"), F.when(bars > 10, "pipe_table")))
+    d = d.select("article_id", "source", F.substring_index("text", "\n", 1).alias("headline"), textcols.paragraphs(F.col("text")).alias("paragraphs"), reasons.alias("filtered_reasons"))
+    return d.withColumn("gate_text", textcols.gate_text(F.col("headline"), F.col("paragraphs")))
+
+
+def groups(spark: SparkSession, mapper: bool = True) -> DataFrame:
+    found = universe.to_frame(spark, universe.FIXTURE)
+    return universe.mapper_view(found) if mapper else found
+
+
+def open_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir).where(F.size("filtered_reasons") == 0)
+
+
+def _joined(xs: Column, by: str = ",") -> Column:
+    return F.array_join(F.transform(xs, lambda x: x.cast("string")), by)
+
+
+@query(oracle.CLEAN)
+def clean_web_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", textcols.clean_web_text(F.col("text")).alias("cleaned"))
+
+
+@query(oracle.SPLIT)
+def split_paragraphs(spark, sf_dir):
+    return articles(spark, sf_dir).select("article_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.sha2(F.array_join("paragraphs", "\n\n"), 256).alias("digest"))
+
+
+@query(oracle.STATS)
+def paragraph_stats(spark, sf_dir):
+    chars = F.aggregate("paragraphs", F.lit(0).cast("long"), lambda acc, p: acc + F.length(p))
+    a = articles(spark, sf_dir).select("source", F.size("paragraphs").cast("long").alias("n"), chars.alias("chars"))
+    return a.groupBy("source").agg(F.count("*").alias("n_articles"), F.sum("n").alias("n_paragraphs"), F.sum("chars").alias("n_chars"), F.max("n").alias("most"))
+
+
+@query(oracle.FIRES)
+def gate_fires(spark, sf_dir):
+    a = open_articles(spark, sf_dir)
+    fired = gate.fired_pairs(a, groups(spark)).groupBy("article_id").agg(F.array_sort(F.collect_set("group_key")).alias("fired"))
+    return a.select("article_id").join(fired, "article_id", "left").select("article_id", F.coalesce(F.array_join("fired", ","), F.lit("")).alias("groups"))
+
+
+@query(oracle.GATE_STATS)
+def gate_stats(spark, sf_dir):
+    a, g = open_articles(spark, sf_dir), groups(spark)
+    fired = gate.fired_pairs(a, g)
+    made = fired.agg(F.count("*").alias("calls_made"))
+    tried = a.agg(F.count("*").alias("n")).crossJoin(g.agg(F.count("*").alias("m")))  # two single rows
+    x = tried.crossJoin(made).select("calls_made", (F.col("n") * F.col("m") - F.col("calls_made")).alias("calls_skipped"))
+    total = F.col("calls_made") + F.col("calls_skipped")
+    return x.withColumn("calls_saved_pct", F.when(total > 0, 100.0 * F.col("calls_skipped") / total).otherwise(0.0))
+
+
+@query(oracle.UNGATED)
+def cross_fanout_ungated(spark, sf_dir):
+    pairs = open_articles(spark, sf_dir).select("article_id").crossJoin(F.broadcast(groups(spark).select("group_key", "asset_class")))  # a dimension of fixed size
+    return pairs.groupBy("asset_class", "group_key").agg(F.count("*").alias("n_tasks"), F.sum("article_id").cast("long").alias("sum_ids"))
+
+
+def tasks(spark, sf_dir) -> DataFrame:
+    """Gated tasks with the stub scorer's answer: paragraphs with a keyword, their share, relevant if there is one."""
+    a, g = open_articles(spark, sf_dir), groups(spark)
+    dim = g.select("group_key", "name", "asset_class", "members", gate.pattern(F.col("keywords")).alias("pattern"))
+    t = gate.fired_pairs(a, g).join(a, "article_id").join(F.broadcast(dim), "group_key")
+    hit = F.expr("filter(sequence(0, size(paragraphs) - 1), i -> paragraphs[i] rlike pattern)")
+    t = t.withColumn("evidence", F.when(F.size("paragraphs") > 0, hit).otherwise(F.array().cast("array<int>")))
+    return t.withColumn("relevance_score", F.size("evidence") / F.greatest(F.size("paragraphs"), F.lit(1))).withColumn("relevant", F.size("evidence") > 0)
+
+
+@query(oracle.PROMPT)
+def render_article_prompt(spark, sf_dir):
+    a, g = open_articles(spark, sf_dir), groups(spark)
+    label = textcols.group_label(F.col("name"), F.col("asset_class"), F.col("members"))
+    t = gate.fired_pairs(a, g).join(a, "article_id").join(F.broadcast(g.select("group_key", label.alias("label"))), "group_key")
+    prompt = textcols.mapper_prompt(textcols.article_block(F.col("headline"), F.col("paragraphs")), F.col("label"))
+    return t.select("article_id", "group_key", F.length(prompt).cast("long").alias("n_chars"), F.sha2(prompt, 256).alias("digest"))
+
+
+@query(oracle.REASONS)
+def screen_reasons(spark, sf_dir):
+    return articles(spark, sf_dir).select(F.explode("filtered_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(oracle.STUB)
+def stub_map(spark, sf_dir):
+    return tasks(spark, sf_dir).select("article_id", "group_key", _joined(F.col("evidence")).alias("evidence"), "relevance_score", "relevant")
+
+
+def mapper_rows(spark, sf_dir) -> DataFrame:
+    """One row for each article, screened and untagged ones too, mappings in the order of their group keys."""
+    found = tasks(spark, sf_dir).where("relevant")
+    one = F.struct("group_key", "name", "asset_class", "members", "evidence", "relevance_score")
+    per = found.groupBy("article_id").agg(F.array_sort(F.collect_list(one)).alias("mappings"))
+    return articles(spark, sf_dir).join(per, "article_id", "left")
+
+
+@query(oracle.RECORDS)
+def mapper_records(spark, sf_dir):
+    m = F.coalesce("mappings", F.expr("cast(array() as array<struct<group_key: string, name: string, asset_class: string, members: array<struct<name: string, ticker_symbol: string, short_name: string>>, evidence: array<int>, relevance_score: double>>)"))
+    r = mapper_rows(spark, sf_dir).withColumn("m", m)
+    used = F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: x["evidence"]))))
+    assets = F.flatten(F.transform("m", lambda x: F.transform(x["members"], lambda a: F.concat(a["name"], F.lit("/"), a["ticker_symbol"]))))
+    shown = F.transform("m", lambda x: F.concat(x["group_key"], F.lit(":"), x["asset_class"], F.lit(":"), _joined(x["evidence"], "+")))
+    return r.select(
+        "article_id", "headline", _joined(F.col("filtered_reasons")).alias("reasons"), _joined(F.transform("m", lambda x: x["name"])).alias("groups"), F.array_join(assets, ",").alias("assets"), F.array_join(shown, ";").alias("mappings"), _joined(used).alias("evidence")
+    )
+
+
+@query(oracle.ROLLUP)
+def mapper_rollup(spark, sf_dir):
+    found = tasks(spark, sf_dir).where("relevant")
+    one = lambda d, c: found.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).select(F.lit(d).alias("dimension"), "key", "n")
+    reasons = screen_reasons(spark, sf_dir).select(F.lit("reason").alias("dimension"), F.col("reason").alias("key"), "n")
+    return one("asset_class", "asset_class").unionByName(one("group", "name")).unionByName(reasons)
+
+
+@query(oracle.EVIDENCE)
+def evidence_lookup(spark, sf_dir):
+    t = tasks(spark, sf_dir).where("relevant").select("article_id", "paragraphs", F.explode("evidence").alias("i")).distinct()
+    # a negative index counts from the end, one beyond the text is dropped
+    return t.where(F.col("i") < F.size("paragraphs")).select("article_id", F.col("i").cast("string").alias("paragraph"), F.try_element_at("paragraphs", F.when(F.col("i") >= 0, F.col("i") + 1).otherwise(F.col("i"))).alias("text"))
+
+
+def graded(spark, sf_dir) -> DataFrame:
+    """Each mapping of the mapper with its source article (labelled documents, the last of an id) and group, or why it is skipped."""
+    src = table(spark, sf_dir, "labels").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("quality"), F.desc("toxic")))).where("rn = 1")
+    known = groups(spark, mapper=False).where("group_key <> 'spanish'").select(F.col("name").alias("known"))
+    t = tasks(spark, sf_dir).where("relevant").select("article_id", "group_key", "name", "asset_class", "members", "headline", "paragraphs", "evidence", "relevance_score")
+    t = t.join(src.select(F.col("doc_id").alias("article_id"), "quality", "toxic"), "article_id", "left").join(F.broadcast(known), F.col("name") == F.col("known"), "left")
+    return t.withColumn("skip_reason", F.when(F.col("quality").isNull(), "article_not_in_source").when(F.col("known").isNull(), "group_not_in_universe"))
+
+
+@query(oracle.GRADE_TASKS)
+def grade_tasks(spark, sf_dir):
+    return graded(spark, sf_dir).where("skip_reason is null").select("article_id", F.col("name").alias("group_name"), "asset_class", "headline", "relevance_score", _joined(F.col("evidence")).alias("evidence"))
+
+
+@query(oracle.GRADE_SKIPS)
+def grade_skips(spark, sf_dir):
+    return graded(spark, sf_dir).where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("n"))
+
+
+def verdicts(spark, sf_dir) -> DataFrame:
+    """The stub grader: toxic articles are graded incorrect, poor ones at half the mapper's score."""
+    g = graded(spark, sf_dir).where("skip_reason is null")
+    g = g.withColumn("verdict", F.when(F.col("toxic") == 1, "incorrect").otherwise("correct")).withColumn("grader_score", F.when(F.col("quality") == 1, F.col("relevance_score")).otherwise(F.col("relevance_score") / 2))
+    gap = F.abs(F.col("relevance_score") - F.col("grader_score"))
+    return g.withColumn("self_inconsistent", F.when(F.col("verdict") == "correct", gap > 0.40).otherwise(gap < 0.15))
+
+
+@query(oracle.SELF)
+def self_consistency(spark, sf_dir):
+    return verdicts(spark, sf_dir).select("article_id", F.col("name").alias("group_name"), "verdict", "grader_score", "self_inconsistent")
+
+
+@query(oracle.SIDECAR)
+def grader_sidecar(spark, sf_dir):
+    done = verdicts(spark, sf_dir).select("article_id", F.col("name").alias("group_name"), "asset_class", "verdict", "grader_score", F.lit(None).cast("string").alias("skip_reason"))
+    left = graded(spark, sf_dir).where("skip_reason is not null").select("article_id", F.col("name").alias("group_name"), "asset_class", F.lit("skipped").alias("verdict"), F.lit(None).cast("double").alias("grader_score"), "skip_reason")
+    return done.unionByName(left)
+
+
+@query(oracle.GRADER_ROLLUP)
+def grader_rollup(spark, sf_dir):
+    v = verdicts(spark, sf_dir)
+    right = F.count_if(F.col("verdict") == "correct")
+    one = lambda d, c: v.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("total"), right.alias("correct"), F.count_if(F.col("verdict") == "incorrect").alias("incorrect"), F.count_if("self_inconsistent").alias("self_inconsistent"), F.bround(F.lit(100.0) * right / F.count("*"), 2).alias("correct_pct")).select(F.lit(d).alias("dimension"), "*")
+    return one("asset_class", "asset_class").unionByName(one("group", "name"))
+
+
+@query()
+def grader_message(spark, sf_dir):
+    """The text that a grader reads for each claim."""
+    g = graded(spark, sf_dir).where("skip_reason is null")
+    members = F.when(F.size("members") > 0, F.array_join(F.transform("members", lambda m: m["name"]), ", ")).otherwise("(no members listed)")
+    evidence = F.when(F.size("evidence") > 0, _joined(F.col("evidence"), ", ")).otherwise("(none — mapper tagged on overall topic alone)")
+    claim = F.concat(F.lit("\n\n[MAPPER_CLAIM]\nAsset group: "), "name", F.lit("\nAsset class: "), "asset_class", F.lit("\nMembers: "), members, F.lit("\nMapper relevance score: "), ladder.two_decimals("relevance_score"), F.lit("\n[/MAPPER_CLAIM]\n\n[MAPPER_EVIDENCE]\n"), evidence, F.lit("\n[/MAPPER_EVIDENCE]"))
+    return g.select("article_id", F.col("name").alias("group_name"), F.concat(textcols.article_block(F.col("headline"), F.col("paragraphs")), claim).alias("message"))
+
+
+@query(oracle.NML_P)
+def nml_extract_p(spark, sf_dir):
+    """Paragraph bodies of tagged pages, trimmed, without blanks and trailers; references stay, decoding them is a UDF's work."""
+    p = F.regexp_extract_all("html", F.lit(r"(?s)<p>([^<]*)</p>"), F.lit(1))
+    kept = F.filter(F.transform(p, textcols.strip), lambda x: (x != "") & ~tabular.is_trailer(x))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(kept).cast("long").alias("n_p"), F.sha2(F.array_join(kept, "\n"), 256).alias("digest"))
+
+
+@query(oracle.NML_MERGE)
+def nml_merge_docs(spark, sf_dir):
+    """Documents of one accession number merge in document order, wherever they stand; here the accession is a page's host part."""
+    d = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "//([^/?#]*)", 1).alias("accession"), "page_id", F.regexp_extract_all("html", F.lit(r"(?s)<p>([^<]*)</p>"), F.lit(1)).alias("p"))
+    merged = d.groupBy("accession").agg(F.min("page_id").alias("first_seen"), F.array_sort(F.collect_list(F.struct("page_id", "p"))).alias("xs"))
+    flat = F.flatten(F.transform("xs", lambda x: x["p"]))
+    return merged.select("accession", "first_seen", F.size(flat).cast("long").alias("n_p"), F.sha2(F.array_join(flat, "\n"), 256).alias("digest"))
+
+
+def rendered_blocks(spark, sf_dir) -> DataFrame:
+    """(accession, block): an order's lines as a preformatted table; returned lines are told in prose."""
+    cells = F.concat(F.rpad(F.col("l_linenumber").cast("string"), 4, " "), F.lpad(F.col("l_partkey").cast("string"), 9, " "), F.lpad(F.col("l_quantity").cast("long").cast("string"), 6, " "), F.lit("  "), "l_linestatus")
+    line = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(" came back from the customer in good order"))).otherwise(cells)
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("accession"), F.struct("l_linenumber", "l_partkey", line.alias("line")).alias("x"))
+    return x.groupBy("accession").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("accession", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("block"))
+
+
+def classified(spark, sf_dir) -> DataFrame:
+    return rendered_blocks(spark, sf_dir).select("accession", tabular.classify_block(F.col("block")).alias("lines"))
+
+
+@query(oracle.LINES)
+def tabular_lines(spark, sf_dir):
+    flags = F.array_join(F.transform("lines", lambda x: F.when(x["is_tabular"], "T").otherwise("N")), "")
+    return classified(spark, sf_dir).select("accession", flags.alias("flags"), _joined(F.transform("lines", lambda x: x["n_tokens"])).alias("n_tokens"))
+
+
+def accounted(spark, sf_dir) -> DataFrame:
+    tokens = lambda flag: F.aggregate(F.filter("lines", lambda x: x["is_tabular"] == flag), F.lit(0).cast("long"), lambda acc, x: acc + x["n_tokens"])
+    c = classified(spark, sf_dir).select("accession", tokens(True).alias("pre_tabular_tokens"), tokens(False).alias("pre_narrative_tokens"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("accession"), F.size(F.split("o_orderpriority", "-")).cast("long").alias("p_tokens"))
+    c = c.join(orders, "accession", "left").withColumn("p_tokens", F.coalesce("p_tokens", F.lit(0)))
+    body = tabular.is_tabular_body(F.col("p_tokens"), F.col("pre_tabular_tokens"), F.col("pre_narrative_tokens"))
+    total = F.col("pre_tabular_tokens") + F.col("pre_narrative_tokens")
+    return c.select("accession", "p_tokens", "pre_tabular_tokens", "pre_narrative_tokens", body.alias("is_tabular_body"), F.when(total > 0, F.col("pre_tabular_tokens") / total).otherwise(0.0).alias("pre_aligned_pct"))
+
+
+@query(oracle.ACCOUNTING)
+def tabular_accounting(spark, sf_dir):
+    return accounted(spark, sf_dir)
+
+
+@query(oracle.TABULAR_JOIN)
+def tabular_join(spark, sf_dir):
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"))
+    t = accounted(spark, sf_dir).select(F.col("accession").alias("article_id"), "is_tabular_body")
+    return a.join(t, "article_id", "left").select("article_id", F.when(F.coalesce("is_tabular_body", F.lit(False)), "tabular_body").otherwise("").alias("reason"))
+
+
+@query()
+def json_ladder(spark, sf_dir):
+    """A scorer's answers in several states of repair, read by the ladder."""
+    e = table(spark, sf_dir, "events").select("event_id", "value", "props")
+    k = F.pmod("event_id", F.lit(5))
+    body = F.concat(F.lit('{"evidence_paragraphs": ["1", 2.0], "relevance_score": "'), F.col("value").cast("string"), F.lit('", "relevant": "true"}'))
+    raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit("I think: "), body, F.lit(" done"))).when(k == 2, F.expr("substring(props, 1, 4)")).when(k == 3, "{}").otherwise('{"evidence_paragraphs": ["a"], "relevant": true}')
+    return e.select("event_id", ladder.parse_mapper(raw).alias("r")).select("event_id", _joined(F.col("r.evidence_paragraphs")).alias("evidence"), "r.relevance_score", "r.relevant")
+
+
+@query(oracle.EXPLODE)
+def universe_explode(spark, sf_dir):
+    return groups(spark, mapper=False).select("group_key", F.col("name").alias("group_name"), "asset_class", F.explode("members").alias("m")).select("group_key", "group_name", "asset_class", F.col("m.name").alias("asset"), "m.ticker_symbol", "m.short_name")
+
+
+@query(oracle.INTEGRITY)
+def universe_integrity(spark, sf_dir):
+    g = groups(spark, mapper=False)
+    sizes = g.select(F.size("members").alias("n"), "asset_class")
+    return sizes.agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_members"), F.count_if(F.col("n") == 1).alias("n_singletons"), F.countDistinct("asset_class").alias("n_classes"), F.count_if(F.col("asset_class") != universe.EXCLUDED).alias("n_mapper_groups"))
+
+
+@query(oracle.LISTING)
+def asset_listing(spark, sf_dir):
+    m = universe_explode(spark, sf_dir).select("asset_class", F.concat("ticker_symbol", F.lit(" ("), "asset", F.lit(")")).alias("shown"))
+    return m.groupBy("asset_class").agg(F.array_join(F.array_sort(F.collect_list("shown")), ", ").alias("listing"))
+
+
+@query(oracle.CODES)
+def code_lookup(spark, sf_dir):
+    codes = spark.createDataFrame([("src0", "old wire", 0), ("src0", "main wire", 1), ("src1", "market desk", 0), ("#src2", "comment", 0)], "code string, description string, ord int").where("code not like '#%'")
+    last = codes.withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("ord")))).where("rn = 1").select("code", "description")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("code")).join(F.broadcast(last), "code", "left")
+    return d.groupBy("code", F.coalesce("description", F.lit("??? (undocumented)")).alias("description")).agg(F.count("*").alias("n"))
+
+
+@query(oracle.LIMIT_BEFORE)
+def limit_before_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").orderBy("doc_id").limit(100).where("lang = 'en'").select("doc_id", "source")
+
+
+@query(oracle.LIMIT_AFTER)
+def limit_after_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang = 'en'").orderBy("doc_id").limit(100).select("doc_id", "source")
+
+
+@query(oracle.LAST_WINS)
+def last_wins_dedup(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    last = c.groupBy("conv_id").agg(F.max(F.struct("turn", "role", "text")).alias("x"))
+    return last.select("conv_id", "x.turn", "x.role", F.sha2("x.text", 256).alias("digest"))
+
+
+@query(oracle.PAIRS)
+def conversation_pairs(spark, sf_dir):
+    system = F.lit("Answer with one object.")
+    pair = lambda u: F.to_json(F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), u.alias("content"))))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.length(pair(F.sha2("text", 256))).cast("long").alias("n_chars"), pair(F.sha2("text", 256)).alias("messages"))
+
+
+@query(oracle.PENDING)
+def pending_shards(spark, sf_dir):
+    """Shards that aren't done: done needs both the rows (an English document) and the summary (a toxic-free label)."""
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    shards = d.select("source").distinct()
+    rows = d.where("lang = 'en'").select("source").distinct()
+    summary = d.join(lab.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("source").distinct()
+    done = rows.join(summary, "source", "left_semi")
+    pending = shards.join(done, "source", "left_anti")
+    return pending.select("source", F.lit("pending").alias("status")).unionByName(done.select("source", F.lit("done").alias("status")))
+
+
+@query(oracle.LOOKUP)
+def point_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("ts >= timestamp'1970-01-01' and event_id = 42").select("event_id", "user_id", "event_type", "value")
+
+
+@query(oracle.FINGERPRINT)
+def corpus_fingerprint(spark, sf_dir):
+    """Articles that survive, calls made, and a digest over the digests of their prompts in order.
+
+    The last step folds one row a source shard, each of them a digest, so no task sees the corpus.
+    """
+    p = render_article_prompt(spark, sf_dir).join(articles(spark, sf_dir).select("article_id", "source"), "article_id")
+    shard = p.groupBy("source").agg(F.countDistinct("article_id").alias("n"), F.count("*").alias("calls"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("article_id", "group_key", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
+    return shard.select("source", "n", "calls", F.substring("digest", 1, 16).alias("digest"))
