@@ -34,10 +34,11 @@ SIGNS = ["system", "user", "assistant", "other", "none"]
 
 @dataclass(frozen=True)
 class ChatPlan:
-    """turns_per_part: turns of one conversation in a row of the result; a longer conversation is several parts. sample: labelled conversations that the model is counted from."""
+    """turns_per_part: turns of one conversation in a row of the result; a longer conversation is several parts. sample: labelled conversations that the model is counted from, sample_turns turns of each at most."""
 
     turns_per_part: int = 512
-    sample: int = 2000
+    sample: int = 400
+    sample_turns: int = 64
 
 
 @dataclass(frozen=True)
@@ -182,6 +183,6 @@ def raw_transcripts(conversations: DataFrame, plan: ChatPlan) -> DataFrame:
 def chat_query(conversations: DataFrame, plan: ChatPlan = ChatPlan()) -> DataFrame:
     """A row per part of a conversation: conv_id, part, n_lines, gold_roles as written, roles as recovered, rendered chat."""
     raw = raw_transcripts(conversations, plan)
-    sample = raw.orderBy(F.xxhash64("conv_id"), "conv_id", "part").select("gold").limit(plan.sample).collect()
-    hmm = fit([[(t["role"], [x for x in t["body"].split("\n") if x.strip()]) for t in r["gold"][:64]] for r in sample])
+    sample = raw.orderBy(F.xxhash64("conv_id"), "conv_id", "part").select(F.slice("gold", 1, plan.sample_turns).alias("gold")).limit(plan.sample).collect()
+    hmm = fit([[(t["role"], [x for x in t["body"].split("\n") if x.strip()]) for t in r["gold"]] for r in sample])
     return parse_transcripts(raw, hmm)
