@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspan.functions.textcols import WS, strip
+from quillspan.functions.textcols import SPACES, WS, strip
 
 NUMERIC = r"(?d)^[+\-]?\$?\d[\d.,/\-:]*%?$"
-SEPARATOR = r"(?Ud)^[\s\x1c-\x1f=\-:_|+*~.]*[=\-:_|+*~.][\s\x1c-\x1f=\-:_|+*~.]*$"
+SEPARATOR = rf"(?d)^[{SPACES}=\-:_|+*~.]*[=\-:_|+*~.][{SPACES}=\-:_|+*~.]*$"
 MIN_LINES = 3
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, rf"(?U){WS}+", -1), lambda t: t != "")
+    return F.filter(F.split(line, f"{WS}+", -1), lambda t: t != "")
 
 
 def line_is_tabular(line: Column) -> Column:

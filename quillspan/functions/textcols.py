@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's idea of white space, which Java's \s isn't
-WS = r"[\s\x1c-\x1f]"
+# The characters that str.isspace holds for; Java's \s is another set.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{SPACES}]"
 MIN_PARAGRAPH = 30
 SENTENCES = 3
 HARD_WRAP = 80
@@ -20,11 +21,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?U)^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def normalize_space(x: Column) -> Column:
-    return strip(F.regexp_replace(x, rf"(?U){WS}+", " "))
+    # single spaces, the usual case, are no match
+    return strip(F.regexp_replace(x, f"[{SPACES.replace(' ', '')}]{WS}*| {WS}+", " "))
 
 
 def stripped_lines(x: Column) -> Column:
@@ -39,7 +41,7 @@ def clean_web_text(text: Column) -> Column:
 
 
 def sentences(x: Column) -> Column:
-    parts = F.split(x, rf'(?<=[.!?])(?U:{WS}+)(?=[A-Z"“])', -1)
+    parts = F.split(x, f'(?<=[.!?]){WS}+(?=[A-Z"“])', -1)
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
@@ -50,8 +52,9 @@ def group_sentences(x: Column, n: int = SENTENCES) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Paragraphs of a text: blank lines always part them; a hard-wrapped block is cut by sentences, any other by lines."""
+    """Paragraphs of a text: blank lines always part them; a hard-wrapped block is cut by sentences, any other by lines. Null counts as empty."""
     none = F.array().cast("array<string>")
+    text = F.coalesce(text, F.lit(""))
 
     def of_block(lines: Column) -> Column:
         total = F.aggregate(lines, F.lit(0), lambda acc, line: acc + F.length(line))
@@ -61,7 +64,7 @@ def paragraphs(text: Column) -> Column:
     blocks = F.transform(F.split(text, "\n\n", -1), lambda b: let(stripped_lines(b), of_block))
     kept = F.transform(F.filter(F.flatten(blocks), lambda p: F.length(p) >= MIN_PARAGRAPH), normalize_space)
     whole = let(normalize_space(text), lambda w: F.when(w == "", none).otherwise(F.array(w)))
-    return F.coalesce(let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(whole)), none)
+    return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(whole))
 
 
 def gate_text(headline: Column, paras: Column) -> Column:

@@ -30,8 +30,11 @@ def fired_pairs(articles: DataFrame, groups: DataFrame, key: str = "article_id")
     """
     dim = groups.select("group_key", F.explode("keywords").alias("keyword"))
     plain = dim.where(F.col("keyword").rlike("^[A-Za-z0-9]+$")).select("group_key", F.lower("keyword").alias("word")).distinct()
-    other = groups.select("group_key", F.filter("keywords", lambda k: ~k.rlike("^[A-Za-z0-9]+$")).alias("keywords")).where("size(keywords) > 0")
-    folded = F.lower(F.translate("gate_text", "ſK", "sk"))
-    words = articles.select(key, F.explode_outer(F.array_distinct(F.split(folded, "[^a-z0-9]+"))).alias("word"))
+    other = dim.where(~F.col("keyword").rlike("^[A-Za-z0-9]+$")).select("group_key", F.lower("keyword").alias("phrase"), pattern(F.array("keyword")).alias("pattern"))
+    folded = F.lower(F.translate("gate_text", "ſK", "sk"))
+    texts = articles.select(key, "gate_text", folded.alias("folded"))
+    words = texts.select(key, F.explode_outer(F.array_distinct(F.split("folded", "[^a-z0-9]+"))).alias("word"))
     by_word = words.join(F.broadcast(plain), "word").select(key, "group_key")
-    return by_word.unionByName(theta_pairs(articles, other, key)).distinct()
+    # a phrase that the text doesn't contain at all, the usual case, costs no pattern
+    by_phrase = texts.join(F.broadcast(other), F.expr("contains(folded, phrase) and gate_text rlike pattern")).select(key, "group_key")
+    return by_word.unionByName(by_phrase).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import ladder, tabular, textcols
 from quillspan.operators import gate, universe
 from quillspan.plans import oracle
+from quillspan.sources.reading import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,10 +24,6 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(article_id, source, headline, paragraphs, filtered_reasons, gate_text) of the documents."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "source", "text")
