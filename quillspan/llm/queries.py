@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm import chat, decontam, extract, language, lines, mixing, pii, quality, simhash, sketch
+from quillspan.sources.reading import table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
