@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import decontam, language, lines, mixing, simhash
 from quillspan.llm.common import ensure_checkpoint_dir
+from quillspan.sources.reading import table
 
 MIN_LANGUAGE_SCORE = 0.34
 
@@ -51,7 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, through Parquet tables in the folder of checkpoints."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
