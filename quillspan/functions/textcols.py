@@ -68,7 +68,8 @@ def paragraphs(text: Column) -> Column:
 
 
 def gate_text(headline: Column, paras: Column) -> Column:
-    return F.concat(F.coalesce(headline, F.lit("")), F.lit("\n"), F.array_join(paras, "\n"))
+    # never null, or joins would have the whole expression evaluated once more in a null check at the scan
+    return F.concat(F.coalesce(headline, F.lit("")), F.lit("\n"), F.coalesce(F.array_join(paras, "\n"), F.lit("")))
 
 
 def article_block(headline: Column, paras: Column) -> Column:
