@@ -31,8 +31,9 @@ class LeakPlan:
     """A document leaks an item if aligned windows cover min_run of its tokens, or all of a shorter item.
 
     Windows with fewer than min_literals tokens outside slots say too little and don't count. Items of fewer than
-    window + stride - 1 tokens are looked up whole, at every place. broadcast_rows bounds what may be broadcast of the benchmark's
-    windows (8 bytes each); a larger benchmark is joined by a shuffle.
+    window + stride - 1 tokens are looked up whole, at every place. broadcast_rows bounds what may be broadcast of hashes and ids
+    (8 bytes each), after a count, and token_rows what may be broadcast of the benchmark's windows with their tokens (some hundred
+    bytes each); beyond the bounds the joins shuffle.
     """
 
     window: int = 8
@@ -40,11 +41,12 @@ class LeakPlan:
     min_literals: int = 4
     min_run: int = 12
     broadcast_rows: int = 1_000_000
+    token_rows: int = 100_000
 
 
 NAME, NUM, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters open the three kinds of slot token
 # a capitalised word after a word, comma or bracket and one space: inside a sentence
-NAMES = r"\p{Lu}(?<=[\p{L}\p{M}\p{N},;)] \p{Lu})\p{Ll}[\p{L}\p{M}\p{N}]*"
+NAMES = r"\p{Lu}(?<=[\p{L}\p{M}\p{N},;)] \p{Lu})\p{Ll}[\p{L}\p{M}]*"
 UNITS_AFTER = rf"({NUM}[0-9]* +)(%|(?:{'|'.join(sorted(u for u in UNITS if u != '%'))})(?![\p{{L}}\p{{N}}]))"
 GAPS = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}]+"
 
@@ -114,11 +116,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) ->
     sizes = sorted(r[0] for r in wins.select("size").distinct().collect()) or [plan.window]  # at most window + stride of them
     whole = {r[0] for r in wins.where("n_item = size").select("size").distinct().collect()}
     strides = {n: 1 if n in whole else plan.stride for n in sizes}
-    bounded = (lambda x: F.broadcast(x)) if n_wins <= plan.broadcast_rows else (lambda x: x)
+    bounded = lambda x, rows: F.broadcast(x) if n_wins <= rows else x
     probe = d.select("doc_id", tokens(F.col("text"), False).alias("dt"))
     seen = [F.transform(_starts(F.col("dt"), F.lit(n), strides[n]), _hashed("dt", n)) for n in sizes]
     probe = probe.select("doc_id", F.explode_outer(F.flatten(F.array_compact(F.array(*seen))) if len(seen) > 1 else seen[0]).alias("w"))
-    hits = probe.join(bounded(wins.select("w").distinct()), "w", "left_semi")
+    hits = probe.join(bounded(wins.select("w").distinct(), plan.broadcast_rows), "w", "left_semi")
     hit_ids = durable(hits.select("doc_id").distinct())
     small = hit_ids.count() <= plan.broadcast_rows
     found = d.join(F.broadcast(hit_ids) if small else hit_ids, "doc_id", "left_semi")
@@ -127,7 +129,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) ->
     aligned = aligned.select("doc_id", "th", "dt", "ds", sized).select("doc_id", "th", "ds", "z.size", F.explode_outer("z.ws").alias("x"))
     met = aligned.select("doc_id", "th", "size", F.col("x.at").alias("dat"), F.col("x.w").alias("w"), F.slice("ds", F.col("x.at") + 1, F.col("size")).alias("dws"))
     items = wins.select("item_id", "n_item", "size", "at", "w", F.slice("it", F.col("at") + 1, F.col("size")).alias("wt"), F.slice("isf", F.col("at") + 1, F.col("size")).alias("ws"))
-    met = met.join(bounded(items), ["w", "size"]).withColumn("diag", F.col("dat") - F.col("at"))
+    met = met.join(bounded(items, plan.token_rows), ["w", "size"]).withColumn("diag", F.col("dat") - F.col("at"))
     cells = F.filter(F.transform(F.arrays_zip("wt", "ws", "dws"), lambda z, i: F.struct((F.col("at") + i).alias("p"), z["wt"].alias("t"), z["ws"].alias("a"), z["dws"].alias("b"))), lambda c: c["t"].isNotNull())
     tokens_met = met.select("doc_id", "th", "item_id", "n_item", "diag", F.explode_outer(cells).alias("c")).distinct()
     group = ["doc_id", "th", "item_id", "n_item", "diag"]
