@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,12 +29,13 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 @dataclass(frozen=True)
 class LinePlan:
-    """Lines of fewer than min_chars code points (without outer white space) are left alone. broadcast_rows bounds, after a count, what is broadcast; beyond it the join shuffles. block: pairs of a key are compared so many lines at a time."""
+    """Lines of fewer than min_chars code points (without outer white space) are left alone. broadcast_rows bounds, after a count, what is broadcast; beyond it the join shuffles. block: pairs of a key are compared so many lines at a time. hot: a key of more different lines is refined, see _candidates."""
 
     max_edits: int = 2
     min_chars: int = 20
     broadcast_rows: int = 300_000
     block: int = 1024
+    hot: int = 4096
 
 
 def line_ids(text: str | None, min_chars: int) -> list[tuple[int, str, int, int]]:
@@ -214,14 +215,31 @@ def _keyed(plan: LinePlan, chars: int = 400_000, remembered: int = 100_000):
     return run
 
 
-def _meet(plan: LinePlan):
-    """Pairs of line ids out of key-sorted entries: they meet under a key, one of them indexed, and pass the parity filter."""
+MET = "a long, b long, key long, parity long"
 
-    def pairs(ids: np.ndarray, own: np.ndarray, parity: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def _meet(plan: LinePlan, hot: int | None):
+    """Pairs (a, b) of line ids out of entries sorted by key, indexed ones first: they meet under a key, one of them indexed, and pass the parity filter.
+
+    A group of more than `hot` different lines isn't compared: its entries leave as they come, as (id, indexed, key, parity), so
+    that no task holds more of a group than that. Groups without indexed lines give nothing. Without `hot` all are compared.
+    """
+
+    def batch(a, b, key=None, parity=None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none if key is None else pa.array(key), none if parity is None else pa.array(parity)], names=["a", "b", "key", "parity"])
+
+    def entries(key: np.ndarray, ids: np.ndarray, own: np.ndarray, parity: np.ndarray) -> pa.RecordBatch:
+        return batch(ids, own.astype(np.int64), key.astype(np.int64), parity.view(np.int64))
+
+    def unique(key: np.ndarray, ids: np.ndarray, own: np.ndarray, parity: np.ndarray) -> list[np.ndarray]:
+        """One entry a line of a group, the indexed one if there are both; indexed ones first."""
         order = np.lexsort((~own, ids))
-        ids, own, parity = ids[order], own[order], parity[order]
-        first = np.concatenate([[True], ids[1:] != ids[:-1]])
-        ids, own, parity = ids[first], own[first], parity[first]
+        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+        order = order[np.argsort(~own[order], kind="stable")]
+        return [x[order] for x in (key, ids, own, parity)]
+
+    def pairs(ids: np.ndarray, own: np.ndarray, parity: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         near = np.uint64(2 * plan.max_edits)
         holders = np.flatnonzero(own)
         for i in range(0, len(holders), plan.block):
@@ -238,37 +256,99 @@ def _meet(plan: LinePlan):
         stops = np.append(starts[1:], len(key))
         size = stops - starts
         two = starts[size == 2]
-        a, b = [], []
         fits = (ids[two] != ids[two + 1]) & (own[two] | own[two + 1]) & (np.bitwise_count(parity[two] ^ parity[two + 1]) <= 2 * plan.max_edits)
-        a.append(np.minimum(ids[two], ids[two + 1])[fits])
-        b.append(np.maximum(ids[two], ids[two + 1])[fits])
-        for i in np.flatnonzero(size > 2):
-            s = slice(starts[i], stops[i])
-            if own[s].any():
-                for x, y in pairs(ids[s], own[s], parity[s]):
-                    a.append(x)
-                    b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        a, b = [np.minimum(ids[two], ids[two + 1])[fits]], [np.maximum(ids[two], ids[two + 1])[fits]]
+        waiting = len(a[0])
+        for i in np.flatnonzero((size > 2) & own[starts]):
+            group = unique(*(x[starts[i] : stops[i]] for x in (key, ids, own, parity)))
+            if hot and len(group[0]) > hot:
+                yield entries(*group)
+                continue
+            for x, y in pairs(*group[1:]):
+                a.append(x)
+                b.append(y)
+                waiting += len(x)
+                if waiting > plan.block * plan.block:
+                    yield batch(np.concatenate(a), np.concatenate(b))
+                    a, b, waiting = [], [], 0
+        if waiting:
+            yield batch(np.concatenate(a), np.concatenate(b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
+        leaving, silent = None, False  # the key of a group that leaves, and whether no line of it is indexed
+        for got in batches:
+            raw = got.column(0).to_numpy().view(np.uint64)
+            now = [raw >> np.uint64(1), got.column(1).to_numpy(), (raw & np.uint64(1)).astype(bool), got.column(2).to_numpy().view(np.uint64)]
+            if leaving is not None:
+                n = int(np.searchsorted(now[0], leaving, side="right"))
+                if n and not silent:
+                    yield entries(*(x[:n] for x in now))
+                now = [x[n:] for x in now]
+            if not len(now[0]):
                 continue
-            raw = batch.column(0).to_numpy().view(np.uint64)
-            now = [raw >> np.uint64(1), batch.column(1).to_numpy(), (raw & np.uint64(1)).astype(bool), batch.column(2).to_numpy().view(np.uint64)]
+            leaving = None
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
             held = [x[cut:] for x in now]
             if cut:
                 yield from scan(*(x[:cut] for x in now))
-        if held is not None and len(held[0]):
+            if hot and len(held[0]) > hot:
+                held = unique(*held)
+                if len(held[0]) > hot:
+                    leaving, silent = held[0][0], not held[2][0]
+                    if not silent:
+                        yield entries(*held)
+                    held = None
+        if held is not None:
             yield from scan(*held)
 
     return run
 
 
+def _keyed_anew(hashed: Column) -> Column:
+    """A key of entries that carry `own`: the hash's upper 63 bits, then whether the line is indexed."""
+    return F.shiftleft(F.shiftrightunsigned(hashed, 1), 1).bitwiseOR(F.col("own"))
+
+
+def _by_parity(hot: DataFrame, plan: LinePlan) -> DataFrame:
+    """Hot groups by parts of the parities: words that differ in at most 2 max_edits bits agree in one of 2 max_edits + 1 parts."""
+    n = 2 * plan.max_edits + 1
+    masks = [_signed(sum(1 << bit for bit in range(part, 64, n))) for part in range(n)]
+    parts = F.array(*(F.xxhash64("key", F.lit(part), F.col("parity").bitwiseAND(F.lit(m))) for part, m in enumerate(masks)))
+    return hot.select("own", "id", "parity", F.explode(parts).alias("h")).select(_keyed_anew(F.col("h")).alias("key"), "id", "parity")
+
+
+def _in_cells(hot: DataFrame, plan: LinePlan) -> DataFrame:
+    """Hot groups cut into shares of half `hot` lines; any two shares meet in a cell, so that the pairs spread over tasks."""
+    sizes = durable(hot.groupBy("key").agg(F.ceil(F.count("*") * 2 / plan.hot).cast("int").alias("shares")))
+    share = F.pmod(F.col("id"), F.col("shares")).cast("int")
+    cut = hot.join(_bounded(sizes, plan), "key").select("*", share.alias("share"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("other"))
+    cell = F.xxhash64("key", F.least("share", "other"), F.greatest("share", "other"))
+    return cut.select(_keyed_anew(cell).alias("key"), "id", "parity")
+
+
+def _candidates(keys: DataFrame, plan: LinePlan) -> DataFrame:
+    """Distinct pairs (a, b) of line ids that meet under a key. Hot groups (a template of very many lines) are refined, without
+    loss: first by parts of the parity words, and what is hot still is cut into cells of bounded size."""
+
+    def meet(entries: DataFrame, hot: int | None) -> DataFrame:
+        group = F.shiftrightunsigned("key", 1)  # upper 63 bits, positive, so that they sort as unsigned numbers
+        return durable(entries.repartition(group).sortWithinPartitions(group, F.desc("key")).mapInArrow(_meet(plan, hot), MET))
+
+    met = meet(keys, plan.hot)
+    found = met.where("key is null")
+    for refine, hot in ((_by_parity, plan.hot), (_in_cells, None)):
+        left = met.where("key is not null").select(F.col("a").alias("id"), F.col("b").alias("own"), "key", "parity")
+        if left.isEmpty():
+            break
+        left = left.groupBy("key", "id", "parity").agg(F.max("own").alias("own"))
+        met = meet(refine(left, plan), hot)
+        found = found.union(met.where("key is null"))
+    return durable(found.select("a", "b").distinct())
+
+
 def _texts(plan: LinePlan):
     """(id, h2, doc_id, line_no, line) of the wanted lines of each document."""
 
@@ -310,10 +390,7 @@ def _bounded(df: DataFrame, plan: LinePlan) -> DataFrame:
 def near_links(docs: DataFrame, firsts: DataFrame, plan: LinePlan) -> DataFrame:
     """(early1, early2, late1, late2, n): linked distinct lines by their two hashes, the earlier first; order is by first document, then line."""
     keys = docs.select("text").mapInArrow(_keyed(plan), "key long, id long, parity long")
-    group = F.shiftrightunsigned("key", 1)
-    met = keys.repartition(group).sortWithinPartitions(group)
-    # sorted by the key's upper 63 bits as unsigned numbers: the shift leaves them positive
-    pairs = durable(met.mapInArrow(_meet(plan), "a long, b long").distinct())
+    pairs = _candidates(keys, plan)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = firsts.join(ids, firsts["h1"] == ids["id"]).groupBy("doc_id").agg(F.collect_set("h1").alias("want"))
     wanted = _bounded(durable(wanted), plan)

@@ -49,7 +49,8 @@ def test_edit_distance(band):
     assert [min(levenshtein(x, y), band + 1) for x, y in zip(a, b)] == lines.edit_distances(a, b, band).tolist()
 
 
-def test_lines_brute_force(spark):
+@pytest.mark.parametrize("hot", [4096, 40, 3])
+def test_lines_brute_force(spark, hot):
     rng = random.Random(5)
     pool = [prose(rng, rng.randint(4, 9)) for _ in range(30)]
 
@@ -60,7 +61,7 @@ def test_lines_brute_force(spark):
         return x
 
     texts = ["\n".join([edited(rng.choice(pool)) for _ in range(rng.randint(1, 6))] + ["short"]) for _ in range(80)]
-    got = {r.doc_id: r.text for r in lines.lines_query(make(spark, texts)).collect()}
+    got = {r.doc_id: r.text for r in lines.lines_query(make(spark, texts), lines.LinePlan(hot=hot)).collect()}
     seen = []
     for d, t in enumerate(texts):
         kept = []
@@ -73,6 +74,17 @@ def test_lines_brute_force(spark):
         assert got[d] == "\n".join(kept), d
 
 
+def test_lines_of_one_template(spark):
+    """Hundreds of different lines share a segment: the refinement by parity and cells loses no link and makes none up."""
+    rng = random.Random(11)
+    found = sorted({f"the same beginning of a line {rng.randint(100, 180)} and {rng.choice('abcdef')}{rng.choice('uvw')}" for _ in range(400)})
+    texts = ["\n".join(found[i::20]) for i in range(20)]
+    links = sum(levenshtein(x, y) <= 2 for x, y in combinations(found, 2))
+    for hot in (4096, 60, 8):
+        got = lines.lines_query(make(spark, texts), lines.LinePlan(hot=hot)).collect()
+        assert sum(r.n_links for r in got) == 2 * links
+
+
 def test_lines_cases(spark):
     line = "a line that is long enough to count"
     docs = make(spark, [None, "", f"{line}\n{line}", line, "x" * 300_000, "own\n" + line]).withColumnRenamed("lang", "h1")
