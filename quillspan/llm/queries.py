@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm import chat, decontam, extract, language, lines, mixing, pii, quality, simhash, sketch
+from quillspan.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from quillspan.sources.reading import table
 
 
@@ -53,4 +54,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_fingerprints, op4_html_extraction, op5_chat_formatting, op6_source_mixing, op7_quality, op8_language, op9_simhash, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
