@@ -2,8 +2,8 @@
 
 A text becomes typed tokens: numbers, names (capitalised words inside a sentence) and units (after a number) turn into
 slots <num>, <name> and <unit>, other words are lower-cased. Windows of `window` tokens of benchmark items and documents
-meet in a hash join. Documents are probed at every `stride`th window first, which any shared run of window + stride - 1
-tokens must hit; documents that are hit are then aligned token by token. An alignment counts if its slots are consistent
+meet in a hash join. Documents are probed at every window first, so each that shares one with an item is hit; documents
+that are hit are then aligned token by token. An alignment counts if its slots are consistent
 (each value of the item stands for one value of the document and the other way round), so a question with other numbers and
 names is caught, while a text that merely has numbers and names in the same places is not.
 """
@@ -31,7 +31,7 @@ class LeakPlan:
     """A document leaks an item if aligned windows cover min_run of its tokens, or all of a shorter item.
 
     Windows with fewer than min_literals tokens outside slots say too little and don't count. Items of fewer than
-    window + stride - 1 tokens are looked up whole, at every place. broadcast_rows bounds what may be broadcast of hashes and ids
+    window + stride - 1 tokens are looked up whole; stride says nothing else here, the SQL probes by it too. broadcast_rows bounds what may be broadcast of hashes and ids
     (8 bytes each), after a count, and token_rows what may be broadcast of the benchmark's windows with their tokens (some hundred
     bytes each); beyond the bounds the joins shuffle.
     """
@@ -75,19 +75,18 @@ def tokenised(df: DataFrame) -> DataFrame:
     return written.select(*others, templates(F.col("ds")).alias("dt"), "ds")
 
 
-def _windows(template: Column, size: Column, step: int) -> Column:
-    """Places and hashes of the windows of `size` tokens at 0, step, ..., and of the last one; null for shorter arrays.
+def _windows(template: Column, size: Column) -> Column:
+    """Places and hashes of the windows of `size` tokens; null for shorter arrays.
 
     They are exploded with explode_outer: for explode the optimiser would infer a filter on the array's size and evaluate
     the whole tokenisation again inside it, for every window.
     """
-    return F.transform(_starts(template, size, step), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, size)).alias("w")))
+    return F.transform(_starts(template, size), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, size)).alias("w")))
 
 
-def _starts(template: Column, size: Column, step: int) -> Column:
+def _starts(template: Column, size: Column) -> Column:
     last = F.size(template) - size
-    every = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))
-    return F.when(last >= 0, every if step == 1 else F.concat(every, F.array(last)))
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(1)))
 
 
 def _hashed(template: str, size: int):
@@ -98,7 +97,7 @@ def _item_windows(items: DataFrame, plan: LeakPlan) -> DataFrame:
     """(item_id, n_item, size, at, w, it, isf): every window of the items that says enough."""
     d = tokenised(items.select("item_id", "text")).withColumnsRenamed({"dt": "it", "ds": "isf"}).withColumn("n_item", F.size("it"))
     d = d.withColumn("size", F.when(F.col("n_item") >= plan.window + plan.stride - 1, plan.window).otherwise(F.col("n_item")))
-    d = d.where(f"size >= {plan.min_literals}").withColumn("win", F.explode_outer(_windows(F.col("it"), F.col("size"), 1)))
+    d = d.where(f"size >= {plan.min_literals}").withColumn("win", F.explode_outer(_windows(F.col("it"), F.col("size"))))
     literals = F.size(F.filter(F.slice("it", F.col("win.at") + 1, F.col("size")), lambda x: ~x.isin(NAME, NUM, UNIT)))
     return d.where(literals >= plan.min_literals).select("item_id", "n_item", "size", "win.at", "win.w", "it", "isf")
 
@@ -114,18 +113,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) ->
     wins = durable(_item_windows(pick(benchmark, item_id="item_id", text="text").where("item_id is not null").distinct(), plan))
     n_wins = wins.count()
     sizes = sorted(r[0] for r in wins.select("size").distinct().collect()) or [plan.window]  # at most window + stride of them
-    whole = {r[0] for r in wins.where("n_item = size").select("size").distinct().collect()}
-    strides = {n: 1 if n in whole else plan.stride for n in sizes}
     bounded = lambda x, rows: F.broadcast(x) if n_wins <= rows else x
     probe = d.select("doc_id", tokens(F.col("text"), False).alias("dt"))
-    seen = [F.transform(_starts(F.col("dt"), F.lit(n), strides[n]), _hashed("dt", n)) for n in sizes]
+    seen = [F.transform(_starts(F.col("dt"), F.lit(n)), _hashed("dt", n)) for n in sizes]
     probe = probe.select("doc_id", F.explode_outer(F.flatten(F.array_compact(F.array(*seen))) if len(seen) > 1 else seen[0]).alias("w"))
     hits = probe.join(bounded(wins.select("w").distinct(), plan.broadcast_rows), "w", "left_semi")
     hit_ids = durable(hits.select("doc_id").distinct())
     small = hit_ids.count() <= plan.broadcast_rows
     found = d.join(F.broadcast(hit_ids) if small else hit_ids, "doc_id", "left_semi")
     aligned = tokenised(found.distinct().withColumn("th", F.xxhash64("text")))
-    sized = F.explode_outer(F.array(*(F.struct(F.lit(n).alias("size"), _windows(F.col("dt"), F.lit(n), 1).alias("ws")) for n in sizes))).alias("z")
+    sized = F.explode_outer(F.array(*(F.struct(F.lit(n).alias("size"), _windows(F.col("dt"), F.lit(n)).alias("ws")) for n in sizes))).alias("z")
     aligned = aligned.select("doc_id", "th", "dt", "ds", sized).select("doc_id", "th", "ds", "z.size", F.explode_outer("z.ws").alias("x"))
     met = aligned.select("doc_id", "th", "size", F.col("x.at").alias("dat"), F.col("x.w").alias("w"), F.slice("ds", F.col("x.at") + 1, F.col("size")).alias("dws"))
     items = wins.select("item_id", "n_item", "size", "at", "w", F.slice("it", F.col("at") + 1, F.col("size")).alias("wt"), F.slice("isf", F.col("at") + 1, F.col("size")).alias("ws"))

@@ -160,6 +160,18 @@ def test_decontamination(spark):
     assert decontam.leaks(make(spark, texts), bench.limit(0)).count() == decontam.leaks(make(spark, texts).limit(0), bench).count() == 0
 
 
+def test_decontamination_probes_every_window(spark):
+    """One changed token leaves two windows of the same residue, at any place of the document."""
+    words = [w + x for x in ("", "s", "ed") for w in WORDS]
+    item = words[:17]
+    long = [w if k % 9 != 8 else "changed" for k, w in enumerate(words)]
+    edited = item[:8] + ["changed"] + item[9:]
+    texts = [" ".join(["x"] * k + some + ["y"] * 5) for k in range(6) for some in (edited, long)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(words))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(make(spark, texts), bench).collect()}
+    assert got >= {(2 * k, 1) for k in range(6)} | {(2 * k + 1, 2) for k in range(6)}
+
+
 def test_decontamination_is_native(spark):
     plan = decontam.leaks(make(spark, ["a b"]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
