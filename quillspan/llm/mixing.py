@@ -2,8 +2,8 @@
 
 Shares are integers with sum P. Block j (from 1) of a source with share s is released at floor((j-1)P/s) and due at
 ceil(jP/s); earliest deadline first over slots of one block then keeps every source within one block of its target at
-every prefix. Windows repeat after P slots, so one period is scheduled on the driver (P is a parameter, whatever the
-corpus' size) and the corpus is placed by arithmetic on each document's position in its source.
+every prefix. Shares are the weights in units of 2**-60, so that the target is the weight itself however long the stream.
+The driver schedules all blocks, 4 bytes each, and a document is placed by its position in its source.
 """
 
 from __future__ import annotations
@@ -19,14 +19,18 @@ from quillspan.llm.common import pick
 
 @dataclass(frozen=True)
 class MixPlan:
-    """block: documents in a block; period: slots in a schedule period; temperature: target shares grow as size**temperature if no weights are given; rows_per_bucket: documents numbered in one sort, more of them beyond 10,000 buckets a source."""
+    """block: documents in a block; period: shares are rounded to integers of this sum, at least 1 each, if it is given; broadcast_slots: most slots of a schedule that is broadcast, a longer one is joined by a shuffle; temperature: target shares grow as size**temperature if no weights are given; rows_per_bucket: documents numbered in one sort, more of them beyond 10,000 buckets a source."""
 
     block: int = 16
-    period: int = 1000
+    period: int | None = None
+    broadcast_slots: int = 8_000_000
     temperature: float = 0.7
     rows_per_bucket: int = 2_000
 
 
+PART = 1024  # slots of a source in one row of the schedule
+
+
 def integer_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Shares of the period by largest remainder, at least 1 each. The period grows to twice the sources if there are that many."""
     live = {k: w for k, w in weights.items() if w > 0}
@@ -42,14 +46,27 @@ def integer_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return shares
 
 
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """The weights' parts of their sum in units of 2**-60."""
+    total = sum(w for w in weights.values() if w > 0)
+    return {k: max(1, round(w / total * 2**60)) for k, w in weights.items() if w > 0}
+
+
 def pfair_period(shares: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks, ties by name."""
+    """The source of each slot of one period."""
+    return pfair(shares, shares)
+
+
+def pfair(shares: dict[str, int], blocks: dict[str, int]) -> list[str]:
+    """The source of each slot until every source has had its `blocks`: earliest deadline first among released blocks, ties by name."""
     period = sum(shares.values())
+    lacking = len(shares)
     released: list[tuple[int, str, int]] = []
     waiting = [(0, k, 1) for k in sorted(shares)]
     heapq.heapify(waiting)
-    slots = []
-    for t in range(period):
+    slots: list[str] = []
+    while lacking:
+        t = len(slots)
         while waiting and waiting[0][0] <= t:
             _, k, j = heapq.heappop(waiting)
             heapq.heappush(released, (-(-j * period // shares[k]), k, j))
@@ -57,8 +74,8 @@ def pfair_period(shares: dict[str, int]) -> list[str]:
         if due <= t:
             raise AssertionError(f"block {j} of {k} missed its deadline {due} at {t}")
         slots.append(k)
-        if j < shares[k]:
-            heapq.heappush(waiting, (j * period // shares[k], k, j + 1))
+        lacking -= j == blocks[k]
+        heapq.heappush(waiting, (j * period // shares[k], k, j + 1))
     return slots
 
 
@@ -98,23 +115,21 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, plan: MixPla
     places, sizes = numbered(docs, plan)
     if weights is None:
         weights = {k: n**plan.temperature for k, n in sizes.items()}
-    shares = integer_shares({k: weights[k] for k in sizes}, plan.period)
-    order, period = pfair_period(shares), sum(shares.values())
+    targets = {k: weights[k] for k in sizes}
+    shares = integer_shares(targets, plan.period) if plan.period else exact_shares(targets)
+    order = pfair(shares, {k: -(-n // plan.block) for k, n in sizes.items()})
     slots: dict[str, list[int]] = {k: [] for k in sizes}
     for t, k in enumerate(order):
         slots[k].append(t)
-    horizon = 0
-    for k, n in sizes.items():
-        turns, rest = divmod(-(-n // plan.block) - 1, shares[k])
-        horizon = max(horizon, turns * period + slots[k][rest] + 1)
-    turns, rest = divmod(horizon, max(1, period))
-    table = [(k, sizes[k], plan.block * (turns * shares[k] + sum(t < rest for t in slots[k])), shares[k], slots[k]) for k in sorted(sizes)]
-    targets = spark.createDataFrame(table, "mix_source string, mix_size long, mix_taken long, mix_share long, mix_slots array<int>")
-    # a row for each source, 4 bytes a slot of the period in all: the plan and the list of sources fix the table's size
-    placed = places.join(F.broadcast(targets), "mix_source").where("mix_idx < mix_taken")
+    taken = spark.createDataFrame([(k, sizes[k], plan.block * len(slots[k])) for k in sorted(sizes)], "mix_source string, mix_size long, mix_taken long")
+    parts = [(k, i // PART, slots[k][i : i + PART]) for k in sorted(sizes) for i in range(0, len(slots[k]), PART)]
+    schedule = spark.createDataFrame(parts, "mix_source string, mix_part long, mix_slots array<int>")
+    schedule = F.broadcast(schedule) if len(order) <= plan.broadcast_slots else schedule
+    placed = places.join(F.broadcast(taken), "mix_source").where("mix_idx < mix_taken")  # a row for each source
     placed = placed.withColumn("epoch", F.explode(F.expr("sequence(0L, (mix_taken - mix_idx - 1) div mix_size)")))
     placed = placed.withColumn("seq", F.col("epoch") * F.col("mix_size") + F.col("mix_idx")).withColumn("nth", F.expr(f"seq div {plan.block}L"))
-    placed = placed.withColumn("slot", F.expr(f"(nth div mix_share) * {period}L + element_at(mix_slots, cast(nth % mix_share as int) + 1)"))
+    placed = placed.withColumn("mix_part", F.expr(f"nth div {PART}L")).join(schedule, ["mix_source", "mix_part"])
+    placed = placed.withColumn("slot", F.expr(f"cast(element_at(mix_slots, cast(nth % {PART} as int) + 1) as long)"))
     place = F.col("slot") * plan.block + F.expr(f"seq % {plan.block}L")
     return placed.select("row.*", F.col("epoch").alias("mix_epoch"), F.col("slot").alias("mix_slot"), place.alias("mix_position"))
 

@@ -210,6 +210,20 @@ def test_mixing(spark):
     assert {r.source for r in mixing.mixed(docs, {"big": 1.0}, plan).collect()} == {"big"}
 
 
+@pytest.mark.parametrize("bound", [8_000_000, 0])
+def test_mixing_follows_the_weights(spark, bound):
+    """Prefixes keep within one block of the weights themselves, with more sources than a rounded period can tell apart."""
+    docs = spark.createDataFrame([(i, "t", "en", "hot" if i < 3000 else f"s{i}", 1) for i in range(3300)], DOCS)
+    weights = {"hot": 0.5} | {f"s{i}": 0.5 / 300 for i in range(3000, 3300)}
+    plan = mixing.MixPlan(block=2) if bound else mixing.MixPlan(block=2, broadcast_slots=0)
+    slots = {r.mix_slot: r.source for r in mixing.mixed(docs, weights, plan).collect()}
+    assert sorted(slots) == list(range(len(slots))) and len(slots) > 2990
+    seen = Counter()
+    for t in range(len(slots)):
+        seen[slots[t]] += 1
+        assert all(abs(seen[k] - (t + 1) * w) < 1 for k, w in weights.items())
+
+
 EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 
 
