@@ -333,6 +333,14 @@ def test_quality(spark):
     assert quality.quality_query(none.limit(0), labels).count() == 0
 
 
+def test_features_of_all_words():
+    words = ["word"] * 4096
+    for k in range(1, 4096, 8):  # a sample of every eighth word sees none of them
+        words[k] = "x" * 21 + "!"
+    assert quality.features(" ".join(words))[-2:] == [0.125, 0.125]
+    assert quality.features(" ")[-2:] == [0.0, 0.0]
+
+
 def test_gru_gradient():
     model = language.ByteBiGRU(["a", "b", "c"], 3, 1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
