@@ -1,10 +1,10 @@
 """Information-theoretic sanitisation of personal data.
 
 Base detectors find e-mail addresses, IPv4 addresses, card and phone numbers: the protected entities. Corpus statistics then
-tell how strongly the words near an entity reveal it. With N documents, n(e) and n(t) of them with entity e and term t, and
-c(e, t) of them with t near e, term t discloses PMI(e; t) = log2(N c / (n(e) n(t))) of the IC(e) = log2(N / n(e)) bits that e
-holds. Terms that disclose at least `generalise` of these bits in at least `support` documents become spans too: they are
-generalised, or removed from `remove` on.
+tell how strongly a document's words reveal its entities. With N documents, n(e) and n(t) of them with entity e and term t, and
+c(e, t) of them with both, term t discloses PMI(e; t) = log2(N c / (n(e) n(t))) of the IC(e) = log2(N / n(e)) bits that e
+holds. Terms that disclose at least `generalise` of an entity's bits in at least `support` documents become spans wherever they
+occur, in texts without the entity too: they are generalised, or removed from `remove` on.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -35,9 +36,8 @@ WORD = re.compile(r"[^\W\d_]{3,}")
 
 @dataclass(frozen=True)
 class PrivacyPlan:
-    """reach: words on either side of an entity that count as near. broadcast_rows: most candidate terms that are handed to every task; more are joined by a shuffle."""
+    """broadcast_rows: most shared entities, candidate terms and revealing terms that are handed to every task; more are joined by a shuffle."""
 
-    reach: int = 5
     support: int = 3
     generalise: float = 0.8
     remove: float = 0.95
@@ -94,74 +94,104 @@ def entity(text: str, kind: str, start: int, end: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[int, str, int, int]]:
-    """(number of the span, term, start, end) of the words within reach of each span and outside all spans."""
-    out, taken = [], sorted((a, b) for _, a, b in spans)
-    for k, (_, a, b) in enumerate(spans):
-        before = [m for m in WORD.finditer(text, max(0, a - 40 * reach), a)][-reach:]
-        after = []
-        for m in WORD.finditer(text, b, min(len(text), b + 40 * reach)):
-            after.append(m)
-            if len(after) == reach:
-                break
-        out += [(k, m[0].lower(), m.start(), m.end()) for m in before + after if not any(x < m.end() and m.start() < y for x, y in taken)]
-    return out
+def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words of a text that don't touch the spans."""
+    taken, k, end = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in WORD.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            end = max(end, taken[k][1])
+            k += 1
+        if end <= m.start():
+            yield m[0].lower(), m.start(), m.end()
 
 
-def _evidence(reach: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), map(pa.StringScalar.as_py, b.column(1)), strict=True):
-                if spans := base_spans(text):
-                    keys = [entity(text, *s) for s in spans]
-                    rows += {(doc, e, "") for e in keys} | {(doc, keys[k], t) for k, t, _, _ in near_terms(text, spans, reach)}
-            d, e, t = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(t, pa.string())], names=["doc_id", "entity", "term"])
-
-    return run
+def _terms(text: str | None) -> set[str]:
+    return {w.lower() for w in set(WORD.findall(text))} if text else set()
 
 
-def _frequencies(wanted: frozenset[str] | None):
-    """(term, n): documents of each batch with the term; all terms, or the wanted ones."""
+def _counted(names: list[str], of, rows: int = 100_000):
+    """Rows of `names` and n: how many of some texts have each tuple that `of` finds in a text, once each; about `rows` are held at a time."""
+    types = [pa.int64() if x == "entity" else pa.string() for x in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+
+        def emit() -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*n, strict=True)] or [[] for _ in names]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns, types), pa.array(list(n.values()), pa.int64())], names=[*names, "n"])
+
         for b in batches:
-            n: Counter[str] = Counter()
             for text in map(pa.StringScalar.as_py, b.column(0)):
-                terms = set(WORD.findall(text.lower())) if text else set()
-                n.update(terms if wanted is None else terms & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+                found = iter(of(text))
+                while some := list(islice(found, rows)):
+                    n.update(some)
+                    if len(n) >= rows:
+                        yield emit()
+                        n.clear()
+        yield emit()
 
     return run
 
 
-def revealing_terms(docs: DataFrame, evidence: DataFrame, plan: PrivacyPlan) -> DataFrame:
-    """(entity, term, disclosure): pairs that reach the threshold; counts are over all documents of docs (text)."""
-    spark, total = docs.sparkSession, docs.count()
-    pairs = evidence.where("term <> ''").groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= plan.support)
-    pairs = durable(pairs)
+def _entities(text: str | None) -> set[tuple[int]]:
+    return {(entity(text, *s),) for s in base_spans(text)}
+
+
+def _pairs(shared: frozenset[int] | None):
+    """The pairs of a text's entities, all or the shared ones, with its terms."""
+
+    def of(text: str | None) -> Iterator[tuple[int, str]]:
+        spans = base_spans(text)
+        keys = {entity(text, *s) for s in spans}
+        keys = keys if shared is None else keys & shared
+        terms = {t for t, _, _ in terms_outside(text, spans)} if keys else ()
+        return ((e, t) for e in keys for t in terms)
+
+    return of
+
+
+def _wanted(terms: frozenset[str] | None):
+    return lambda text: {(t,) for t in (_terms(text) if terms is None else _terms(text) & terms)}
+
+
+def _few(df: DataFrame, rows: int) -> frozenset | None:
+    """The values of df's only column, None if there are more than `rows`."""
+    few = df.limit(rows + 1).collect()
+    return frozenset(r[0] for r in few) if len(few) <= rows else None
+
+
+def revealing_terms(docs: DataFrame, plan: PrivacyPlan) -> DataFrame:
+    """(term, disclosure): terms that reach the threshold, with the most that they disclose of any entity; counts of terms are
+    over all documents of docs (doc_id, text), those of entities and pairs over rows with doc_id."""
+    total = docs.count()
+    named = docs.where("doc_id is not null").select("text")
+    # a pair is in no more documents than its entity
+    entities = named.mapInArrow(_counted(["entity"], _entities), "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n_e"))
+    entities = durable(entities.where(F.col("n_e") >= plan.support))
+    shared = _few(entities.select("entity"), plan.broadcast_rows)
+    pairs = named.mapInArrow(_counted(["entity", "term"], _pairs(shared)), "entity long, term string, n long")
+    if shared is None:
+        pairs = pairs.join(entities.select("entity"), "entity", "left_semi")
+    pairs = durable(pairs.groupBy("entity", "term").agg(F.sum("n").alias("c")).where(F.col("c") >= plan.support))
     terms = pairs.select("term").distinct()
-    few = terms.limit(plan.broadcast_rows + 1).collect()
-    wanted = frozenset(r[0] for r in few) if len(few) <= plan.broadcast_rows else None
-    counts = docs.select("text").mapInArrow(_frequencies(wanted), "term string, n long")
+    wanted = _few(terms, plan.broadcast_rows)
+    counts = docs.select("text").mapInArrow(_counted(["term"], _wanted(wanted)), "term string, n long")
     if wanted is None:
         counts = counts.join(terms, "term", "left_semi")
     counts = counts.groupBy("term").agg(F.sum("n").alias("n_t"))
-    entities = evidence.where("term = ''").groupBy("entity").agg(F.count("*").alias("n_e"))
-    del spark
     told = pairs.join(counts, "term").join(entities, "entity")
     bits = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log2(F.lit(float(max(total, 1))) * F.col("c") / (F.col("n_e") * F.col("n_t")))
-    return told.withColumn("disclosure", F.when(bits > 0, pmi / bits).otherwise(0.0)).where(F.col("disclosure") >= plan.generalise).select("entity", "term", "disclosure")
+    told = told.withColumn("disclosure", F.when(bits > 0, pmi / bits).otherwise(0.0)).where(F.col("disclosure") >= plan.generalise)
+    return told.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def sanitise_text(text: str | None, told: dict[str, float], plan: PrivacyPlan) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], str | None]:
     """(base spans, term spans, sanitised text) for the terms with their disclosure."""
     base = base_spans(text)
-    if not base:
+    terms = [("term", a, b) for t, a, b in terms_outside(text, base) if t in told] if text and told else []
+    if not base and not terms:
         return [], [], text
-    terms = sorted({("term", a, b) for _, t, a, b in near_terms(text, base, plan.reach) if t in told}, key=lambda s: s[1]) if told else []
     out, end = [], 0
     for kind, a, b in sorted(base + terms, key=lambda s: (s[1], -s[2])):
         if a < end:
@@ -173,15 +203,24 @@ def sanitise_text(text: str | None, told: dict[str, float], plan: PrivacyPlan) -
     return base, terms, "".join(out) + text[end:]
 
 
+def _text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(th, t) for th, text in zip(b.column(0).to_pylist(), map(pa.StringScalar.as_py, b.column(1)), strict=True) for t in _terms(text)]
+        h, t = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(t, pa.string())], names=["th", "term"])
+
+
 RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, sanitised string"
 
 
-def _sanitiser(plan: PrivacyPlan):
+def _sanitiser(plan: PrivacyPlan, everywhere: dict[str, float] | None):
+    """everywhere: all revealing terms; None if each text comes with its own."""
+
     @F.pandas_udf(RESULT)
     def run(text: pd.Series, told: pd.Series) -> pd.DataFrame:
         rows = []
         for t, x in zip(text, told, strict=True):
-            known = {} if x is None else {p["term"]: p["disclosure"] for p in x}
+            known = everywhere if everywhere is not None else {} if x is None else {p["term"]: p["disclosure"] for p in x}
             base, terms, clean = sanitise_text(t if isinstance(t, str) else None, known, plan)
             join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
             n = Counter(k for k, _, _ in base)
@@ -194,16 +233,20 @@ def _sanitiser(plan: PrivacyPlan):
 def sanitise(docs: DataFrame, plan: PrivacyPlan = PrivacyPlan()) -> DataFrame:
     """docs (doc_id, text) plus a struct `privacy`: counts of base spans, their digest, all spans, n_terms and the sanitised text.
 
-    Null text counts as empty and stays null. Rows without doc_id get base spans only. Rows that share a doc_id share the
-    revealing terms found near their entities. Equal rows get equal results; an empty table gives an empty result.
+    Null text counts as empty and stays null. Rows without doc_id tell nothing about entities; they are sanitised like others.
+    Rows that share a doc_id count as documents of their own. Equal rows get equal results; an empty table gives an empty result.
     """
     d = pick(docs, doc_id="doc_id", text="text")
-    evidence = durable(d.where("doc_id is not null").mapInArrow(_evidence(plan.reach), "doc_id long, entity long, term string"))
-    revealing = revealing_terms(d, evidence, plan)
-    told = evidence.join(revealing, ["entity", "term"]).groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
-    told = durable(told.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("told")))
-    told = F.broadcast(told) if told.count() <= plan.broadcast_rows else told
-    return d.join(told, "doc_id", "left").select("doc_id", "text", _sanitiser(plan)("text", "told").alias("privacy"))
+    revealing = durable(revealing_terms(d, plan))
+    few = revealing.limit(plan.broadcast_rows + 1).collect()
+    if len(few) <= plan.broadcast_rows:
+        none = F.lit(None).cast("array<struct<term:string,disclosure:double>>")
+        return d.select("doc_id", "text", _sanitiser(plan, {r["term"]: r["disclosure"] for r in few})("text", none).alias("privacy"))
+    # a text's terms meet the revealing ones by a shuffle, and come back by the text's hash: terms of another text do no harm
+    keyed = d.withColumn("th", F.xxhash64("text"))
+    told = keyed.select("th", "text").mapInArrow(_text_terms, "th long, term string").join(revealing, "term").distinct()
+    told = told.groupBy("th").agg(F.collect_list(F.struct("term", "disclosure")).alias("told"))
+    return keyed.join(told, "th", "left").select("doc_id", "text", _sanitiser(plan, None)("text", "told").alias("privacy"))
 
 
 def privacy_query(docs: DataFrame, plan: PrivacyPlan = PrivacyPlan()) -> DataFrame:

@@ -256,6 +256,19 @@ def test_sanitise(spark):
     assert pii.privacy_query(make(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [100_000, 1])
+def test_sanitise_whole_documents(spark, bound):
+    """A revealing term goes wherever it is written, and counts wherever in a document it is."""
+    rng = random.Random(5)
+    far = lambda: prose(rng, 60)
+    texts = [f"write to boss@corp.example about zephyrium {far()} Zephyrium" for _ in range(3)]
+    texts += [f"call ann@corp.example {far()} quixotica" for _ in range(4)] + [f"{far()} zephyrium", "nothing here"]
+    docs = make(spark, texts + [prose(rng, 40) for _ in range(60)]).union(spark.createDataFrame([(None, f"{far()} quixotica", None, None, None)], DOCS))
+    got = {r.doc_id: r.privacy for r in pii.sanitise(docs, pii.PrivacyPlan(broadcast_rows=bound)).collect()}
+    assert not [k for k, p in got.items() if re.search("zephyrium|quixotica", p.sanitised, re.I)]
+    assert got[7].n_terms == 1 and got[7].spans.startswith("term:") and got[8].sanitised == "nothing here" and got[20].n_terms == 0
+
+
 def test_sketch(spark):
     rng = random.Random(9)
     a, b = prose(rng, 3000).split(" "), prose(rng, 3000).split(" ")
