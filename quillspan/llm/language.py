@@ -34,7 +34,6 @@ class TrainingPlan:
     steps: int = 260
     batch: int = 160
     rate: float = 0.03
-    max_langs: int = 64
     seed: int = 7
 
 
@@ -132,6 +131,7 @@ class ByteBiGRU:
 
     def documents(self, raw: list[bytes], window: int, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Mean distribution (documents, labels) and counts of position labels, over all bytes of each text."""
+        rows = min(rows, max(1, 65_536 // len(self.labels)))  # many labels, fewer rows at once
         size = np.array([len(b) for b in raw], np.int64)
         chunks = -(-size // window)
         owner = np.repeat(np.arange(len(raw)), chunks)
@@ -159,12 +159,11 @@ class ByteBiGRU:
 
 
 def training_windows(docs: DataFrame, plan: TrainingPlan) -> list[tuple[str, bytes]]:
-    """A bounded sample: for each language the per_lang documents of lowest hash, cut at hashed places of the text."""
+    """A sample bounded in each language, not in their number: for each language the per_lang documents of lowest hash, cut at hashed places of the text."""
     d = docs.where("lang is not null and text is not null and length(text) > 0 and text rlike '\\\\p{L}'")
-    langs = [r[0] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(plan.max_langs).collect()]
     h = F.xxhash64("text", F.col("doc_id"))
     cuts = F.array(*(F.substring("text", (F.pmod(F.xxhash64(F.lit(k), "h"), F.greatest(F.lit(1), F.length("text") - plan.window)) + 1).cast("int"), plan.window) for k in range(plan.windows)))
-    ranked = d.where(F.col("lang").isin(langs)).withColumn("h", h).select("lang", "h", cuts.alias("cuts"))
+    ranked = d.withColumn("h", h).select("lang", "h", cuts.alias("cuts"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= plan.per_lang)
     rows = ranked.select("lang", "h", "cuts").collect()
     return [(r["lang"], c.encode().lower()[: plan.window]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"])) for c in r["cuts"] if LETTER.search(c)]

@@ -371,6 +371,13 @@ def test_gru_gradient():
         assert grad[k][at] == pytest.approx((up - down) / (2 * e), abs=2e-3)
 
 
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(k * 3 + i, f"{w} {w}{i}", f"l{k:02}", "a", 1) for k, w in enumerate(WORDS * 4) for i in range(1 + k % 3)], DOCS)
+    model = language.train(docs, docs["doc_id"] >= 0, language.TrainingPlan(steps=2))
+    assert model.labels == [f"l{k:02}" for k in range(80)]
+    assert {r.lang_pred for r in language.identify(docs, model).select("lid.*").collect()} <= set(model.labels)
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.language_query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
