@@ -306,6 +306,15 @@ def test_extraction(spark):
         assert t == (f"unique story number {p} {prose(random.Random(p), 25)}" if p < 6 else "T & C a bc d" if p == 10 else "")
 
 
+def test_repeated_blocks_in_the_container_go():
+    notice = "<p>sign up for our weekly letter and never miss a story again</p>"
+    stories = [f"story number {k} {prose(random.Random(k), 40)}" for k in range(5)]
+    pages = [f"<body><main>{notice}<p>{s}</p></main></body>" for s in stories]
+    assert [t for t, _ in extract.main_texts(pages, extract.PagePlan())] == stories
+    copies = [f"<article><p>{stories[0]}</p></article>"] * 3
+    assert [t for t, _ in extract.main_texts(copies, extract.PagePlan())] == [stories[0]] * 3
+
+
 def test_suffix_order():
     t = np.random.default_rng(1).integers(0, 3, 60)
     order, _ = extract.suffix_order(t, 64)
