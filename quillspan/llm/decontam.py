@@ -1,11 +1,12 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-A text becomes typed tokens: numbers, names (capitalised words inside a sentence) and units (after a number) turn into
-slots <num>, <name> and <unit>, other words are lower-cased. Windows of `window` tokens of benchmark items and documents
-meet in a hash join. Documents are probed at every window first, so each that shares one with an item is hit; documents
-that are hit are then aligned token by token. An alignment counts if its slots are consistent
-(each value of the item stands for one value of the document and the other way round), so a question with other numbers and
-names is caught, while a text that merely has numbers and names in the same places is not.
+A text becomes typed tokens: numbers (with their separators), names and units (after a number) turn into slots <num>, <name>
+and <unit>, other words are lower-cased. A name is a capitalised word inside a sentence, and where such a word opens a sentence,
+unless the text has it in lower case too. Windows of `window` tokens of benchmark items and documents meet in a hash join.
+Documents are probed at every window first, so each that shares one with an item is hit; documents that are hit are then
+aligned token by token. An alignment counts if its slots are consistent (each value of the item stands for one value of the
+document and the other way round), so a question with other numbers and names is caught, while a text that merely has numbers
+and names in the same places is not. Items that are mostly slots say too little as templates; they are looked up as written.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ UNITS = [
 class LeakPlan:
     """A document leaks an item if aligned windows cover min_run of its tokens, or all of a shorter item.
 
-    Windows with fewer than min_literals tokens outside slots say too little and don't count. Items of fewer than
-    window + stride - 1 tokens are looked up whole; stride says nothing else here, the SQL probes by it too. broadcast_rows bounds what may be broadcast of hashes and ids
-    (8 bytes each), after a count, and token_rows what may be broadcast of the benchmark's windows with their tokens (some hundred
-    bytes each); beyond the bounds the joins shuffle.
+    Windows with fewer than min_literals tokens outside slots say too little and don't count; an item that has no others
+    counts by its windows as written. Items of fewer than whole_below tokens are looked up whole, those of fewer than
+    min_literals not at all. broadcast_rows bounds what may be broadcast of hashes and ids (8 bytes each), after a count, and
+    token_rows what may be broadcast of the benchmark's windows with their tokens (some hundred bytes each); beyond the bounds
+    the joins shuffle.
     """
 
     window: int = 8
-    stride: int = 3
+    whole_below: int = 10
     min_literals: int = 4
     min_run: int = 12
     broadcast_rows: int = 1_000_000
@@ -45,34 +47,31 @@ class LeakPlan:
 
 
 NAME, NUM, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters open the three kinds of slot token
+MAYBE, POINT = "\ue003", "\ue004"  # before a capitalised word that opens a sentence; between digits of one number
 # a capitalised word after a word, comma or bracket and one space: inside a sentence
 NAMES = r"\p{Lu}(?<=[\p{L}\p{M}\p{N},;)] \p{Lu})\p{Ll}[\p{L}\p{M}]*"
-UNITS_AFTER = rf"({NUM}[0-9]* +)(%|(?:{'|'.join(sorted(u for u in UNITS if u != '%'))})(?![\p{{L}}\p{{N}}]))"
-GAPS = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}]+"
+OPENS = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}])\p{{Lu}}(?=\p{{Ll}})"
+UNITS_AFTER = rf"({NUM}[0-9{POINT}]* +)(%|(?:{'|'.join(sorted(u for u in UNITS if u != '%'))})(?![\p{{L}}\p{{N}}]))"
+GAPS = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}{POINT}]+"
 
 
-def tokens(text: Column, surfaces: bool) -> Column:
-    """The typed tokens of a text: lower-cased words and slot characters, followed by what is written there if `surfaces`. Null counts as empty.
+def tokenised(df: DataFrame, written: bool = True) -> DataFrame:
+    """df with `text` replaced by dt, its typed tokens, and if `written` by ds too, the same tokens with what is written in their slots behind them.
 
-    Three replacements and a split over the whole text, so that the cost of a token stays in compiled matchers.
+    Null counts as empty. Replacements and splits over the whole text, so that the cost of a token stays in compiled matchers.
+    Two projections, for `marked` is used three times in the second.
     """
-    kept = "$0" if surfaces else ""
-    x = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), NAME + NUM + UNIT, ""), NAMES, NAME + kept)
-    x = F.regexp_replace(F.lower(x), "[0-9]+", f" {NUM}{kept} ")
-    x = F.regexp_replace(x, UNITS_AFTER, f"$1 {UNIT}" + ("$2 " if surfaces else " "))
-    return F.filter(F.split(x, GAPS), lambda t: t != "")
-
-
-def templates(written: Column) -> Column:
-    """Slot tokens without what is written there."""
-    return F.transform(written, lambda t: F.when(t < NAME, t).when(t > UNIT + "\uffff", t).otherwise(F.substring(t, 1, 1)))
-
-
-def tokenised(df: DataFrame) -> DataFrame:
-    """df with `text` replaced by arrays of equal length: dt, the typed tokens, and ds, the same as written."""
     others = [c for c in df.columns if c != "text"]
-    written = df.select(*others, tokens(F.col("text"), True).alias("ds"))
-    return written.select(*others, templates(F.col("ds")).alias("dt"), "ds")
+    x = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), NAME + NUM + UNIT + MAYBE + POINT, ""), NAMES, f"{NAME}$0")
+    d = df.select(*others, F.lower(F.regexp_replace(x, OPENS, f"{MAYBE}$0")).alias("marked"))
+    names = F.array_except(F.regexp_extract_all("marked", F.lit(rf"{NAME}([\p{{L}}\p{{M}}]+)")), F.split("marked", rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}{MAYBE}]+"))
+    x = F.regexp_replace("marked", F.concat(F.lit(f"{MAYBE}("), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}])")), F.lit(f"{NAME}$1"))
+    x = F.regexp_replace(F.translate(x, MAYBE, ""), "(?<=[0-9])[.,](?=[0-9])", POINT)
+    x = F.regexp_replace(F.regexp_replace(x, f"[0-9{POINT}]+", f" {NUM}$0 "), UNITS_AFTER, f"$1 {UNIT}$2 ")
+    d = d.select(*others, x.alias("typed"))
+    split = lambda t: F.array_remove(F.split(t, GAPS), "")
+    dt = split(F.regexp_replace("typed", rf"([{NAME}-{UNIT}])[\p{{L}}\p{{M}}\p{{N}}{POINT}]+", "$1")).alias("dt")
+    return d.select(*others, dt, split(F.col("typed")).alias("ds")) if written else d.select(*others, dt)
 
 
 def _windows(template: Column, size: Column) -> Column:
@@ -94,12 +93,26 @@ def _hashed(template: str, size: int):
 
 
 def _item_windows(items: DataFrame, plan: LeakPlan) -> DataFrame:
-    """(item_id, n_item, size, at, w, it, isf): every window of the items that says enough."""
-    d = tokenised(items.select("item_id", "text")).withColumnsRenamed({"dt": "it", "ds": "isf"}).withColumn("n_item", F.size("it"))
-    d = d.withColumn("size", F.when(F.col("n_item") >= plan.window + plan.stride - 1, plan.window).otherwise(F.col("n_item")))
-    d = d.where(f"size >= {plan.min_literals}").withColumn("win", F.explode_outer(_windows(F.col("it"), F.col("size"))))
-    literals = F.size(F.filter(F.slice("it", F.col("win.at") + 1, F.col("size")), lambda x: ~x.isin(NAME, NUM, UNIT)))
-    return d.where(literals >= plan.min_literals).select("item_id", "n_item", "size", "win.at", "win.w", "it", "isf")
+    """(item_id, n_item, size, at, w, wt, ws, literal): every window of the items that says enough, its typed and its written tokens;
+    `literal` are those of items looked up as written, where wt is ws."""
+    d = tokenised(items.select("item_id", "text")).withColumn("n_item", F.size("dt"))
+    # inside a sentence of a document, the word that opens an item looks like a name
+    opens = F.when(F.size("ds") > 0, F.concat(F.array(F.lit(NAME)), F.slice("dt", 2, F.greatest(F.size("dt"), F.lit(1)))))
+    opened = F.when(F.size("ds") > 0, F.concat(F.array(F.concat(F.lit(NAME), F.col("ds")[0])), F.slice("ds", 2, F.greatest(F.size("ds"), F.lit(1)))))
+    plain = F.coalesce(F.col("dt")[0].rlike(r"^\p{L}"), F.lit(False))
+    ways = F.array_compact(F.array(F.struct("dt", "ds"), F.when(plain, F.struct(opens.alias("dt"), opened.alias("ds")))))
+    d = d.select("item_id", "n_item", F.explode_outer(ways).alias("way")).select("item_id", "n_item", "way.dt", "way.ds")
+    d = d.withColumn("size", F.when(F.col("n_item") >= plan.whole_below, plan.window).otherwise(F.col("n_item"))).where(f"size >= {plan.min_literals}")
+    d = durable(d)
+
+    def placed(tokens: str) -> DataFrame:
+        return d.withColumn("win", F.explode_outer(_windows(F.col(tokens), F.col("size")))).select(
+            "item_id", "n_item", "size", "win.at", "win.w", F.slice(tokens, F.col("win.at") + 1, F.col("size")).alias("wt"), F.slice("ds", F.col("win.at") + 1, F.col("size")).alias("ws"), F.lit(tokens == "ds").alias("literal")
+        )
+
+    telling = placed("dt").where(F.size(F.filter("wt", lambda x: ~x.isin(NAME, NUM, UNIT))) >= plan.min_literals)
+    poor = placed("ds").join(telling.select("item_id").distinct(), "item_id", "left_anti")
+    return telling.unionByName(poor).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) -> DataFrame:
@@ -108,24 +121,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) ->
 
     Null and empty texts, on either side, leak nothing. Rows without doc_id or item_id are not reported. Rows that share a
     doc_id count as one document (each text is aligned for itself), repeated rows count once. Empty tables give an empty result.
+    Texts of any length are probed at every window; columns beside doc_id, item_id and text are not looked at.
     """
     d = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null")
     wins = durable(_item_windows(pick(benchmark, item_id="item_id", text="text").where("item_id is not null").distinct(), plan))
     n_wins = wins.count()
-    sizes = sorted(r[0] for r in wins.select("size").distinct().collect()) or [plan.window]  # at most window + stride of them
+    looked = sorted((r[0], r[1]) for r in wins.select("literal", "size").distinct().collect()) or [(False, plan.window)]  # at most twice whole_below of them
+    tokens_of = lambda literal: F.col("ds" if literal else "dt")
     bounded = lambda x, rows: F.broadcast(x) if n_wins <= rows else x
-    probe = d.select("doc_id", tokens(F.col("text"), False).alias("dt"))
-    seen = [F.transform(_starts(F.col("dt"), F.lit(n)), _hashed("dt", n)) for n in sizes]
+    probe = tokenised(d, any(literal for literal, _ in looked))
+    seen = [F.transform(_starts(tokens_of(x), F.lit(n)), _hashed("ds" if x else "dt", n)) for x, n in looked]
     probe = probe.select("doc_id", F.explode_outer(F.flatten(F.array_compact(F.array(*seen))) if len(seen) > 1 else seen[0]).alias("w"))
     hits = probe.join(bounded(wins.select("w").distinct(), plan.broadcast_rows), "w", "left_semi")
     hit_ids = durable(hits.select("doc_id").distinct())
     small = hit_ids.count() <= plan.broadcast_rows
     found = d.join(F.broadcast(hit_ids) if small else hit_ids, "doc_id", "left_semi")
     aligned = tokenised(found.distinct().withColumn("th", F.xxhash64("text")))
-    sized = F.explode_outer(F.array(*(F.struct(F.lit(n).alias("size"), _windows(F.col("dt"), F.lit(n)).alias("ws")) for n in sizes))).alias("z")
-    aligned = aligned.select("doc_id", "th", "dt", "ds", sized).select("doc_id", "th", "ds", "z.size", F.explode_outer("z.ws").alias("x"))
+    sized = F.explode_outer(F.array(*(F.struct(F.lit(n).alias("size"), _windows(tokens_of(x), F.lit(n)).alias("ws")) for x, n in looked))).alias("z")
+    aligned = aligned.select("doc_id", "th", "ds", sized).select("doc_id", "th", "ds", "z.size", F.explode_outer("z.ws").alias("x"))
     met = aligned.select("doc_id", "th", "size", F.col("x.at").alias("dat"), F.col("x.w").alias("w"), F.slice("ds", F.col("x.at") + 1, F.col("size")).alias("dws"))
-    items = wins.select("item_id", "n_item", "size", "at", "w", F.slice("it", F.col("at") + 1, F.col("size")).alias("wt"), F.slice("isf", F.col("at") + 1, F.col("size")).alias("ws"))
+    items = wins.select("item_id", "n_item", "size", "at", "w", "wt", "ws")
     met = met.join(bounded(items, plan.token_rows), ["w", "size"]).withColumn("diag", F.col("dat") - F.col("at"))
     cells = F.filter(F.transform(F.arrays_zip("wt", "ws", "dws"), lambda z, i: F.struct((F.col("at") + i).alias("p"), z["wt"].alias("t"), z["ws"].alias("a"), z["dws"].alias("b"))), lambda c: c["t"].isNotNull())
     tokens_met = met.select("doc_id", "th", "item_id", "n_item", "diag", F.explode_outer(cells).alias("c")).distinct()

@@ -2,51 +2,63 @@
 
 from __future__ import annotations
 
-from quillspan.llm.decontam import NAME, NUM, UNIT, UNITS, LeakPlan
+from quillspan.llm.decontam import MAYBE, NAME, NUM, POINT, UNIT, UNITS, LeakPlan
 
 
 def leak_sql(plan: LeakPlan = LeakPlan()) -> str:
-    """The rows of op10: the same tokens, windows, probes and slots in lists and joins, without hashes.
+    """The rows of op10: tokens, windows and slots in lists and joins. Every window of a document meets those of the items; there are no probes and no hashes.
 
-    Patterns here have no look-around: a name's pattern takes the character before it, so it is applied twice, for names of two
-    letters hide the next one the first time; a unit's pattern takes the character behind it and puts it back.
+    Patterns here have no look-around: one takes the characters beside its match and puts them back. Where matches share such a
+    character the pattern is applied twice.
     """
-    name = rf"([\p{{L}}\p{{M}}\p{{N}},;)]) (\p{{Lu}}\p{{Ll}})"
+    letters = r"\p{L}\p{M}"
     words = "|".join(sorted(u for u in UNITS if u != "%"))
-    unit = rf"({NUM}[0-9]* +)(?:(%)|({words})($|[^\p{{L}}\p{{N}}]))"
-    gaps = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}]+"
-    x = f"translate(coalesce(text, ''), '{NAME}{NUM}{UNIT}', '')"
-    for pattern, into in ((name, rf"\1 {NAME}\2"), (name, rf"\1 {NAME}\2")):
-        x = f"regexp_replace({x}, '{pattern}', '{into}', 'g')"
-    x = f"regexp_replace(lower({x}), '[0-9]+', ' {NUM}\\0 ', 'g')"
-    x = f"regexp_replace({x}, '{unit}', '\\1 {UNIT}\\2\\3 \\4', 'g')"
+    gaps = rf"[^{letters}\p{{N}}{NAME}-{UNIT}{POINT}]+"
+    x = f"translate(coalesce(text, ''), '{NAME}{NUM}{UNIT}{MAYBE}{POINT}', '')"
+    for _ in range(2):
+        x = rf"regexp_replace({x}, '([{letters}\p{{N}},;)]) (\p{{Lu}}\p{{Ll}})', '\1 {NAME}\2', 'g')"
+    marked = rf"lower(regexp_replace({x}, '(^|[^{letters}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}})', '\1{MAYBE}\2', 'g'))"
+    inside = rf"regexp_extract_all(marked, '{NAME}([{letters}]+)', 1)"
+    lowered = rf"string_split_regex(marked, '[^{letters}\p{{N}}{NAME}{MAYBE}]+')"
+    names = f"array_to_string(list_filter(list_distinct({inside}), lambda n: NOT list_contains({lowered}, n)), '|')"
+    y = rf"translate(regexp_replace(marked, '{MAYBE}(' || {names} || ')($|[^{letters}])', '{NAME}\1\2', 'g'), '{MAYBE}', '')"
+    for _ in range(2):
+        y = rf"regexp_replace({y}, '([0-9])[.,]([0-9])', '\1{POINT}\2', 'g')"
+    y = rf"regexp_replace({y}, '[0-9{POINT}]+', ' {NUM}\0 ', 'g')"
+    y = rf"regexp_replace({y}, '({NUM}[0-9{POINT}]* +)(?:(%)|({words})($|[^\p{{L}}\p{{N}}]))', '\1 {UNIT}\2\3 \4', 'g')"
     slots = f"('{NAME}', '{NUM}', '{UNIT}')"
     joined = lambda of, at, size: f"array_to_string({of}[{at} + 1:{at} + {size}], chr(31))"
     return f"""
 WITH texts AS (
   SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL
   UNION ALL SELECT DISTINCT 'i', item_id, text FROM benchmark WHERE item_id IS NOT NULL
+), marks AS (
+  SELECT side, id, text, {marked} AS marked FROM texts
 ), written AS (
-  SELECT side, id, text, list_filter(string_split_regex({x}, '{gaps}'), lambda t: t <> '') AS s FROM texts
+  SELECT side, id, text, list_filter(string_split_regex({y}, '{gaps}'), lambda t: t <> '') AS s FROM marks
 ), typed AS (
   SELECT *, list_transform(s, lambda t: CASE WHEN t[1] IN {slots} THEN t[1] ELSE t END) AS t, len(s) AS n, row_number() OVER () AS rid FROM written
+), ways AS (
+  SELECT id AS item_id, n AS n_item, s AS isf, t AS it FROM typed WHERE side = 'i'
+  UNION ALL SELECT id, n, list_concat(['{NAME}' || s[1]], s[2:]), list_concat(['{NAME}'], t[2:]) FROM typed WHERE side = 'i' AND regexp_matches(t[1], '^\\p{{L}}')
 ), sized AS (
-  SELECT id AS item_id, n AS n_item, CASE WHEN n >= {plan.window + plan.stride - 1} THEN {plan.window} ELSE n END AS size, s AS isf, t AS it FROM typed WHERE side = 'i'
+  SELECT *, CASE WHEN n_item >= {plan.whole_below} THEN {plan.window} ELSE n_item END AS size FROM ways
 ), placed AS (
   SELECT *, unnest(range(0, n_item - size + 1)) AS iat FROM sized WHERE size >= {plan.min_literals}
+), telling AS (
+  SELECT * FROM placed WHERE len(list_filter(it[iat + 1:iat + size], lambda x: x NOT IN {slots})) >= {plan.min_literals}
 ), items AS (
-  SELECT *, {joined("it", "iat", "size")} AS w FROM placed WHERE len(list_filter(it[iat + 1:iat + size], lambda x: x NOT IN {slots})) >= {plan.min_literals}
-), sizes AS (
-  SELECT size, CASE WHEN bool_or(n_item = size) THEN 1 ELSE {plan.stride} END AS step FROM items GROUP BY size
+  SELECT item_id, n_item, size, isf, it, iat, {joined("it", "iat", "size")} AS w FROM telling
+  UNION SELECT item_id, n_item, size, isf, isf, iat, {joined("isf", "iat", "size")} FROM placed ANTI JOIN telling USING (item_id)
 ), spread AS (
-  SELECT rid, id AS doc_id, n, size, step, unnest(list_transform(range(0, n - size + 1), lambda i: {{'dat': i, 'w': {joined("t", "i", "size")}}})) AS v FROM typed, sizes WHERE side = 'd'
-), windows AS (
-  SELECT rid, doc_id, size, v.dat AS dat, v.w AS w, v.dat % step = 0 OR v.dat = n - size AS probed FROM spread WHERE v.w IN (SELECT w FROM items)
-), hits AS (
-  SELECT DISTINCT doc_id FROM windows WHERE probed
+  SELECT rid, id AS doc_id, size, unnest(list_transform(range(0, n - size + 1), lambda i: {{'dat': i, 'w': {joined("t", "i", "size")}, 's': {joined("s", "i", "size")}}})) AS v
+  FROM typed, (SELECT DISTINCT size FROM items) WHERE side = 'd'
+), looked AS (
+  SELECT rid, doc_id, size, v.dat AS dat, v.w AS w FROM spread WHERE v.w IN (SELECT w FROM items)
+  UNION SELECT rid, doc_id, size, v.dat, v.s FROM spread WHERE v.s IN (SELECT w FROM items)
 ), met AS (
   SELECT doc_id, text, item_id, n_item, dat - iat AS diag, iat, dat, size, it, isf, s
-  FROM windows JOIN items USING (w, size) JOIN (SELECT rid, text, s FROM typed) USING (rid) WHERE doc_id IN (SELECT doc_id FROM hits)
+  FROM looked JOIN items USING (w, size) JOIN (SELECT rid, text, s FROM typed) USING (rid)
 ), offsets AS (
   SELECT *, unnest(range(1, size + 1)) AS k FROM met
 ), cells AS (

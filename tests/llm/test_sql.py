@@ -30,8 +30,13 @@ def test_slots(spark):
     """Names of two letters in a row, digits in names, units, clashes, repeated rows and nulls."""
     item = "Then Al Bo Anna9 Smith drove 40 km and 5% more to the old harbor town, and Anna9 paid 7 dollars for the ferry"
     told = "so Then Cy Di Maria8 Jones drove 95 km and 6% more to the old harbor town, and Maria8 paid 3 dollars for the ferry."
-    docs = [(1, told), (1, told), (2, told.replace("Maria8 paid", "Peter paid")), (3, item.upper()), (4, None), (5, ""), (None, item), (6, "one short whole item text"), (7, f"x{item} Été Ωmega")]
-    items = [(1, item), (1, item), (2, None), (3, "short whole item"), (4, "whole item text here and there"), (5, "A one short whole item"), (None, item)]
+    anna, maria = ("%s has %s apples. %s buys %s more apples. How many apples does %s have?" % x for x in (("Anna", "1,250", "Anna", "7", "Anna"), ("Maria", "30", "Maria", "9.5", "Maria")))
+    common = "The old ferry leaves the harbor town at dawn and comes back at dusk"
+    names = "It was Li and Ro. Li went, Ro-Li stayed, li Ro2 Li\nRo Li"
+    sums = "What is 12 + 7 * 3 - 4?"
+    docs = [(8, maria), (9, f"so {common}."), (10, f"he said {common}. The End of the story"), (11, f"x {sums} y"), (12, sums.replace("7", "8")), (13, names), (14, names.replace("Li", "Su"))]
+    docs += [(1, told), (1, told), (2, told.replace("Maria8 paid", "Peter paid")), (3, item.upper()), (4, None), (5, ""), (None, item), (6, "one short whole item text"), (7, f"x{item} Été Ωmega")]
+    items = [(6, anna), (7, common), (8, sums), (9, names), (1, item), (1, item), (2, None), (3, "short whole item"), (4, "whole item text here and there"), (5, "A one short whole item"), (None, item)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     db = duckdb.connect()
@@ -40,4 +45,5 @@ def test_slots(spark):
     db.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     db.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     found = same(decontam.leaks(d, b), db, "op10_decontamination")
-    assert {(r[0], r[1]) for r in found} >= {(1, 1), (7, 1)}
+    pairs = {(r[0], r[1]) for r in found}
+    assert pairs >= {(1, 1), (7, 1), (8, 6), (9, 7), (10, 7), (11, 8), (13, 9)} and (12, 8) not in pairs
