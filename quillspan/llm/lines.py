@@ -14,10 +14,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,11 +29,15 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 @dataclass(frozen=True)
 class LinePlan:
-    """Lines of fewer than min_chars code points (without outer white space) are left alone. broadcast_rows bounds, after a count, what is broadcast; beyond it the join shuffles. block: pairs of a key are compared so many lines at a time. hot: a key of more different lines is refined, see _candidates."""
+    """Lines of min_exact code points or more (without outer white space) go if an earlier line equals them, those of min_chars or
+    more also if one lies within max_edits edits. broadcast_rows bounds, after a count, the rows and hashes that are broadcast;
+    beyond it the join shuffles. block: pairs of a key are compared so many lines at a time. hot: a key of more entries is
+    refined, see _refined."""
 
     max_edits: int = 2
+    min_exact: int = 1
     min_chars: int = 20
-    broadcast_rows: int = 300_000
+    broadcast_rows: int = 2_000_000
     block: int = 1024
     hot: int = 4096
 
@@ -174,7 +178,7 @@ def _occurrences(plan: LinePlan):
         for b in batches:
             doc, h1, h2 = [], [], []
             for d, text in zip(b.column(0).to_pylist(), map(pa.StringScalar.as_py, b.column(1)), strict=True):
-                found = line_ids(text, plan.min_chars)
+                found = line_ids(text, plan.min_exact)
                 doc += [d] * len(found)
                 h1 += [x[2] for x in found]
                 h2 += [x[3] for x in found]
@@ -193,16 +197,16 @@ def _keyed(plan: LinePlan, chars: int = 400_000, remembered: int = 100_000):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "parity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         lines, ids, size = [], [], 0
         for b in batches:
             for text in map(pa.StringScalar.as_py, b.column(0)):
-                for _, line, h1, _ in line_ids(text, plan.min_chars):
-                    if h1 in seen:
+                for _, line, h1, h2 in line_ids(text, plan.min_chars):
+                    if (h1, h2) in seen:
                         continue
                     if len(seen) >= remembered:
                         seen.clear()
-                    seen.add(h1)
+                    seen.add((h1, h2))
                     lines.append(line)
                     ids.append(h1)
                     size += len(line)
@@ -215,138 +219,244 @@ def _keyed(plan: LinePlan, chars: int = 400_000, remembered: int = 100_000):
     return run
 
 
-MET = "a long, b long, key long, parity long"
+def _grouped(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[bool, list[pa.Array]]]:
+    """(whole, columns) of runs of whole groups out of batches sorted by their first column, a key whose lowest bit doesn't count.
 
+    A group that grows beyond `most` rows comes in parts as it is read, not whole, so that no task holds more of it than that.
+    """
+    held: list[pa.Array] | None = None
+    leaving = None  # the key of a group that comes in parts
+
+    def keys(columns: list[pa.Array]) -> np.ndarray:
+        return columns[0].to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(1)
+
+    for got in batches:
+        now = list(got.columns)
+        if leaving is not None:
+            n = int(np.searchsorted(keys(now), leaving, side="right"))
+            if n:
+                yield False, [x[:n] for x in now]
+            now = [x[n:] for x in now]
+        if not len(now[0]):
+            continue
+        leaving = None
+        if held is not None:
+            now = [pa.concat_arrays([x, y]) for x, y in zip(held, now, strict=True)]
+        key = keys(now)
+        cut = int(np.searchsorted(key, key[-1], side="left"))
+        held = [x[cut:] for x in now]
+        if cut:
+            yield True, [x[:cut] for x in now]
+        if most is not None and len(held[0]) > most:
+            leaving = key[-1]
+            yield False, held
+            held = None
+    if held is not None:
+        yield True, held
+
+
+def _close(parity: np.ndarray, own: np.ndarray, plan: LinePlan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places i < j in a group, one of them indexed, that pass the parity filter; a block of them at a time."""
+    near = np.uint64(2 * plan.max_edits)
+    for i in range(0, len(parity), plan.block):
+        for k in range(i, len(parity), plan.block):
+            if not own[i : i + plan.block].any() and not own[k : k + plan.block].any():
+                continue
+            found = np.bitwise_count(parity[i : i + plan.block][:, None] ^ parity[k : k + plan.block][None]) <= near
+            found &= own[i : i + plan.block][:, None] | own[k : k + plan.block][None]
+            x, y = np.nonzero(np.triu(found, 1) if i == k else found)
+            if len(x):
+                yield x + i, y + k
 
-def _meet(plan: LinePlan, hot: int | None):
-    """Pairs (a, b) of line ids out of entries sorted by key, indexed ones first: they meet under a key, one of them indexed, and pass the parity filter.
 
-    A group of more than `hot` different lines isn't compared: its entries leave as they come, as (id, indexed, key, parity), so
-    that no task holds more of a group than that. Groups without indexed lines give nothing. Without `hot` all are compared.
+def _meet(plan: LinePlan, names: list[str]):
+    """Of entries sorted by key, indexed ones first, those that have a partner in their group by the parity filter.
+
+    Columns are key, id, parity and any others; `hot` comes behind them. The entries of a group of more than plan.hot rows
+    all leave, as hot ones, unless the group has no indexed line. What leaves is at most what came.
     """
 
-    def batch(a, b, key=None, parity=None) -> pa.RecordBatch:
-        none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none if key is None else pa.array(key), none if parity is None else pa.array(parity)], names=["a", "b", "key", "parity"])
-
-    def entries(key: np.ndarray, ids: np.ndarray, own: np.ndarray, parity: np.ndarray) -> pa.RecordBatch:
-        return batch(ids, own.astype(np.int64), key.astype(np.int64), parity.view(np.int64))
-
-    def unique(key: np.ndarray, ids: np.ndarray, own: np.ndarray, parity: np.ndarray) -> list[np.ndarray]:
-        """One entry a line of a group, the indexed one if there are both; indexed ones first."""
-        order = np.lexsort((~own, ids))
-        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
-        order = order[np.argsort(~own[order], kind="stable")]
-        return [x[order] for x in (key, ids, own, parity)]
-
-    def pairs(ids: np.ndarray, own: np.ndarray, parity: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        near = np.uint64(2 * plan.max_edits)
-        holders = np.flatnonzero(own)
-        for i in range(0, len(holders), plan.block):
-            h = holders[i : i + plan.block]
-            for k in range(0, len(ids), plan.block):
-                close = np.bitwise_count(parity[h][:, None] ^ parity[k : k + plan.block][None]) <= near
-                x, y = np.nonzero(close)
-                x, y = ids[h][x], ids[k : k + plan.block][y]
-                keep = x != y
-                yield np.minimum(x, y)[keep], np.maximum(x, y)[keep]
-
-    def scan(key: np.ndarray, ids: np.ndarray, own: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        stops = np.append(starts[1:], len(key))
-        size = stops - starts
-        two = starts[size == 2]
-        fits = (ids[two] != ids[two + 1]) & (own[two] | own[two + 1]) & (np.bitwise_count(parity[two] ^ parity[two + 1]) <= 2 * plan.max_edits)
-        a, b = [np.minimum(ids[two], ids[two + 1])[fits]], [np.maximum(ids[two], ids[two + 1])[fits]]
-        waiting = len(a[0])
-        for i in np.flatnonzero((size > 2) & own[starts]):
-            group = unique(*(x[starts[i] : stops[i]] for x in (key, ids, own, parity)))
-            if hot and len(group[0]) > hot:
-                yield entries(*group)
-                continue
-            for x, y in pairs(*group[1:]):
-                a.append(x)
-                b.append(y)
-                waiting += len(x)
-                if waiting > plan.block * plan.block:
-                    yield batch(np.concatenate(a), np.concatenate(b))
-                    a, b, waiting = [], [], 0
-        if waiting:
-            yield batch(np.concatenate(a), np.concatenate(b))
+    def batch(columns: list[pa.Array], at: np.ndarray, hot: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(x.take(pa.array(at)) for x in columns), pa.array(np.full(len(at), hot))], names=[*names, "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        leaving, silent = None, False  # the key of a group that leaves, and whether no line of it is indexed
-        for got in batches:
-            raw = got.column(0).to_numpy().view(np.uint64)
-            now = [raw >> np.uint64(1), got.column(1).to_numpy(), (raw & np.uint64(1)).astype(bool), got.column(2).to_numpy().view(np.uint64)]
-            if leaving is not None:
-                n = int(np.searchsorted(now[0], leaving, side="right"))
-                if n and not silent:
-                    yield entries(*(x[:n] for x in now))
-                now = [x[n:] for x in now]
-            if not len(now[0]):
+        leaving, keep = None, False  # the large group that leaves, and whether it has an indexed line
+        for whole, columns in _grouped(batches, plan.hot):
+            raw = columns[0].to_numpy(zero_copy_only=False).view(np.uint64)
+            key, own = raw >> np.uint64(1), (raw & np.uint64(1)).astype(bool)
+            if not whole:
+                if key[0] != leaving:
+                    leaving, keep = key[0], own[0]
+                if keep:
+                    yield batch(columns, np.arange(len(raw)), True)
                 continue
-            leaving = None
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
-            held = [x[cut:] for x in now]
-            if cut:
-                yield from scan(*(x[:cut] for x in now))
-            if hot and len(held[0]) > hot:
-                held = unique(*held)
-                if len(held[0]) > hot:
-                    leaving, silent = held[0][0], not held[2][0]
-                    if not silent:
-                        yield entries(*held)
-                    held = None
-        if held is not None:
-            yield from scan(*held)
+            ids, parity = columns[1].to_numpy(zero_copy_only=False), columns[2].to_numpy(zero_copy_only=False).view(np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(starts, len(key)))
+            two = starts[size == 2]
+            fits = (ids[two] != ids[two + 1]) & (own[two] | own[two + 1]) & (np.bitwise_count(parity[two] ^ parity[two + 1]) <= 2 * plan.max_edits)
+            kept = [two[fits], two[fits] + 1]
+            for start, n in zip(starts[(size > 2) & own[starts]], size[(size > 2) & own[starts]], strict=True):
+                at = np.arange(start, start + n)
+                order = np.lexsort((~own[at], ids[at]))
+                at = at[order[np.concatenate([[True], ids[at][order][1:] != ids[at][order][:-1]])]]  # an entry a line, the indexed one if there are both
+                met = np.zeros(len(at), bool)
+                for x, y in _close(parity[at], own[at], plan):
+                    met[x] = met[y] = True
+                kept.append(at[met])
+            yield batch(columns, np.sort(np.concatenate(kept)), False)
 
     return run
 
 
-def _keyed_anew(hashed: Column) -> Column:
-    """A key of entries that carry `own`: the hash's upper 63 bits, then whether the line is indexed."""
-    return F.shiftleft(F.shiftrightunsigned(hashed, 1), 1).bitwiseOR(F.col("own"))
+def _pad(sets: list[np.ndarray], fill) -> np.ndarray:
+    out = np.full((len(sets), max(map(len, sets))), fill, sets[0].dtype)
+    for k, x in enumerate(sets):
+        out[k, : len(x)] = x
+    return out
+
+
+NONE = np.uint64((1 << 64) - 1)
+
 
+def _first_key(x: np.ndarray, y: np.ndarray, keys: np.ndarray, owned: np.ndarray) -> np.ndarray:
+    """The smallest key under which the lines x[i] and y[i] meet, one of them indexed there; keys and owned are a row a line, padded."""
+    out = np.full(len(x), NONE)
+    for i in range(0, len(x), 20_000):
+        a, b = keys[x[i : i + 20_000]], keys[y[i : i + 20_000]]
+        p, q = owned[x[i : i + 20_000]], owned[y[i : i + 20_000]]
+        best = out[i : i + 20_000]
+        for c in range(a.shape[1]):
+            met = ((a[:, c][:, None] == b) & (p[:, c][:, None] | q)).any(1) & (a[:, c] != NONE)
+            np.minimum(best, np.where(met, a[:, c], NONE), out=best)
+    return out
+
+
+def part_masks(max_edits: int) -> list[int]:
+    """The bits of 2 max_edits + 1 parts of a word: words that differ in at most 2 max_edits bits agree in one of the parts."""
+    n = 2 * max_edits + 1
+    return [sum(1 << bit for bit in range(part, 64, n)) for part in range(n)]
 
-def _by_parity(hot: DataFrame, plan: LinePlan) -> DataFrame:
-    """Hot groups by parts of the parities: words that differ in at most 2 max_edits bits agree in one of 2 max_edits + 1 parts."""
-    n = 2 * plan.max_edits + 1
-    masks = [_signed(sum(1 << bit for bit in range(part, 64, n))) for part in range(n)]
-    parts = F.array(*(F.xxhash64("key", F.lit(part), F.col("parity").bitwiseAND(F.lit(m))) for part, m in enumerate(masks)))
-    return hot.select("own", "id", "parity", F.explode(parts).alias("h")).select(_keyed_anew(F.col("h")).alias("key"), "id", "parity")
 
+ENTRY = ["key", "id", "parity", "base", "part", "share", "low", "high"]
 
-def _in_cells(hot: DataFrame, plan: LinePlan) -> DataFrame:
-    """Hot groups cut into shares of half `hot` lines; any two shares meet in a cell, so that the pairs spread over tasks."""
-    sizes = durable(hot.groupBy("key").agg(F.ceil(F.count("*") * 2 / plan.hot).cast("int").alias("shares")))
-    share = F.pmod(F.col("id"), F.col("shares")).cast("int")
-    cut = hot.join(_bounded(sizes, plan), "key").select("*", share.alias("share"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("other"))
-    cell = F.xxhash64("key", F.least("share", "other"), F.greatest("share", "other"))
-    return cut.select(_keyed_anew(cell).alias("key"), "id", "parity")
+
+def _verified(plan: LinePlan, cells: int = 1_000_000):
+    """Links of the lines of each group, a row a line that has any: id, h2, links, and late if one of them is earlier.
+
+    Entries come as ENTRY, h2, doc_id, line_no and line, sorted by key. A pair counts where it meets first only: under the
+    smallest key that it shares, in the first part of the parities that agree and in the cell of its two shares; so the
+    links of a line add up over all groups.
+    """
+    masks = np.array(part_masks(plan.max_edits), np.uint64)
+
+    def near(x: np.ndarray, y: np.ndarray, lines: list[str], size: np.ndarray) -> np.ndarray:
+        out, order, i = np.zeros(len(x), bool), np.argsort(size[y], kind="stable"), 0
+        width = size[y[order]] + plan.max_edits + 1
+        while i < len(x):
+            n = max(1, int(np.searchsorted(np.arange(1, len(x) - i + 1) * width[i:], cells, side="right")))
+            at = order[i : i + n]
+            out[at] = edit_distances([lines[k] for k in x[at]], [lines[k] for k in y[at]], plan.max_edits) <= plan.max_edits
+            i += n
+        return out
+
+    def pairs(starts: np.ndarray, stops: np.ndarray, parity: np.ndarray, here: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        two = starts[stops - starts == 2]
+        fits = (here[two] | here[two + 1]) & (np.bitwise_count(parity[two] ^ parity[two + 1]) <= 2 * plan.max_edits)
+        found = [(two[fits], two[fits] + 1)]
+        waiting = len(two)
+        for i, j in zip(starts[stops - starts > 2], stops[stops - starts > 2], strict=True):
+            for x, y in _close(parity[i:j], here[i:j], plan):
+                found.append((x + i, y + i))
+                waiting += len(x)
+                if waiting > 100_000:
+                    yield tuple(map(np.concatenate, zip(*found, strict=True)))
+                    found, waiting = [], 0
+        if found:
+            yield tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def scan(rows: dict[str, np.ndarray], lines: list[str]) -> pa.RecordBatch:
+        line, key, own, parity = line_keys(lines, plan.max_edits)
+        order = np.lexsort((key, line))
+        line, key, own = line[order], key[order] >> np.uint64(1), own[order]
+        cuts = np.searchsorted(line, np.arange(1, len(lines)))
+        keys, owned = _pad(np.split(key, cuts), NONE), _pad(np.split(own, cuts), False)
+        here = ((keys == rows["base"][:, None]) & owned).any(1)
+        links, late = np.zeros(len(lines), np.int64), np.zeros(len(lines), bool)
+        rank = np.lexsort((rows["line_no"], rows["doc_id"])).argsort()
+        size = np.array(list(map(len, lines)))
+        starts = np.flatnonzero(np.concatenate([[True], rows["group"][1:] != rows["group"][:-1]]))
+        for x, y in pairs(starts, np.append(starts[1:], len(lines)), parity, here):
+            low, high = np.minimum(rows["share"][x], rows["share"][y]), np.maximum(rows["share"][x], rows["share"][y])
+            keep = (low == rows["low"][x]) & (high == rows["high"][x]) & (np.abs(size[x] - size[y]) <= plan.max_edits)
+            same = ((parity[x] ^ parity[y])[:, None] & masks) == 0
+            keep &= (rows["part"][x] < 0) | (same.argmax(1) == rows["part"][x])
+            x, y = x[keep], y[keep]
+            keep = _first_key(x, y, keys, owned) == rows["base"][x]
+            x, y = x[keep], y[keep]
+            keep = near(x, y, lines, size)
+            x, y = x[keep], y[keep]
+            links += np.bincount(x, minlength=len(lines)) + np.bincount(y, minlength=len(lines))
+            late[np.where(rank[x] > rank[y], x, y)] = True
+        at = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(rows["id"][at]), pa.array(rows["h2"][at]), pa.array(links[at]), pa.array(late[at].astype(np.int32))], names=["id", "h2", "links", "late"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, columns in _grouped(batches):
+            rows = {n: c.to_numpy(zero_copy_only=False) for n, c in zip([*ENTRY, "h2", "doc_id", "line_no"], columns, strict=False)}
+            rows["base"], rows["group"] = rows["base"].view(np.uint64), rows.pop("key").view(np.uint64) >> np.uint64(1)
+            order = np.lexsort((rows["h2"], rows["id"], rows["group"]))
+            fresh = np.zeros(len(order), bool)
+            for n in ("group", "id", "h2"):
+                fresh |= np.concatenate([[True], rows[n][order][1:] != rows[n][order][:-1]])
+            order = order[fresh]  # a row a line in each group
+            group = rows["group"][order]
+            size = pc.utf8_length(columns[-1]).to_numpy(zero_copy_only=False)[order]
+            ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
+            begin, total = 0, np.concatenate([[0], np.cumsum(size)])
+            for end, after in zip(ends, [*ends[1:], None], strict=True):
+                if after is None or total[after] - total[begin] > cells:
+                    if end - begin > 1:
+                        at = order[begin:end]
+                        yield scan({n: v[at] for n, v in rows.items()}, columns[-1].take(pa.array(at)).to_pylist())
+                    begin = end
+
+    return run
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    group = F.shiftrightunsigned("key", 1)  # upper 63 bits, positive, so that they sort as unsigned numbers
+    return entries.repartition(group).sortWithinPartitions(group, F.desc("key"))
+
+
+def _refined(hot: DataFrame, plan: LinePlan) -> DataFrame:
+    """Entries of hot groups by parts of their parities, and parts that are hot still in cells: shares of half plan.hot lines, any
+    two of which meet in one. (key, id, parity) become ENTRY."""
+    own = F.col("key").bitwiseAND(F.lit(1))
+    hot = hot.groupBy(F.shiftrightunsigned("key", 1).alias("base"), "id", "parity").agg(F.max(own).alias("own"))
+    parts = F.array(*(F.struct(F.lit(k).cast("long").alias("part"), F.xxhash64("base", F.lit(k), F.col("parity").bitwiseAND(F.lit(_signed(m)))).alias("h")) for k, m in enumerate(part_masks(plan.max_edits))))
+    hot = hot.select("*", F.explode(parts).alias("p")).select("base", "id", "parity", "own", "p.part", "p.h")
+    sizes = durable(hot.groupBy("h").agg(F.ceil(F.count("*") * 2 / plan.hot).cast("long").alias("shares"), F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any = 1"))
+    hot = hot.join(_bounded(sizes.select("h", F.when(F.col("n") <= plan.hot, 1).otherwise(F.col("shares")).alias("shares")), plan), "h")
+    share = F.pmod("id", "shares")
+    hot = hot.select("*", share.alias("share"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("other"))
+    low, high = F.least("share", "other"), F.greatest("share", "other")
+    key = F.shiftleft(F.shiftrightunsigned(F.xxhash64("h", low, high), 1), 1).bitwiseOR(F.col("own"))
+    return hot.select(key.alias("key"), "id", "parity", "base", "part", "share", low.alias("low"), high.alias("high"))
 
 
 def _candidates(keys: DataFrame, plan: LinePlan) -> DataFrame:
-    """Distinct pairs (a, b) of line ids that meet under a key. Hot groups (a template of very many lines) are refined, without
-    loss: first by parts of the parity words, and what is hot still is cut into cells of bounded size."""
-
-    def meet(entries: DataFrame, hot: int | None) -> DataFrame:
-        group = F.shiftrightunsigned("key", 1)  # upper 63 bits, positive, so that they sort as unsigned numbers
-        return durable(entries.repartition(group).sortWithinPartitions(group, F.desc("key")).mapInArrow(_meet(plan, hot), MET))
-
-    met = meet(keys, plan.hot)
-    found = met.where("key is null")
-    for refine, hot in ((_by_parity, plan.hot), (_in_cells, None)):
-        left = met.where("key is not null").select(F.col("a").alias("id"), F.col("b").alias("own"), "key", "parity")
-        if left.isEmpty():
-            break
-        left = left.groupBy("key", "id", "parity").agg(F.max("own").alias("own"))
-        met = meet(refine(left, plan), hot)
-        found = found.union(met.where("key is null"))
-    return durable(found.select("a", "b").distinct())
+    """ENTRY rows: the places (a key, and what it was refined by) where lines meet another by the parity filter, no more of them than entries."""
+    met = durable(_dealt(keys).mapInArrow(_meet(plan, ["key", "id", "parity"]), "key long, id long, parity long, hot boolean"))
+    zero = F.lit(0).cast("long")
+    found = met.where("not hot").select("key", "id", "parity", F.shiftrightunsigned("key", 1).alias("base"), F.lit(-1).cast("long").alias("part"), zero.alias("share"), zero.alias("low"), zero.alias("high"))
+    hot = met.where("hot")
+    if hot.isEmpty():
+        return found
+    schema = ", ".join(f"{c} long" for c in ENTRY)
+    whole = LinePlan(**{**plan.__dict__, "hot": 1 << 40})  # cells hold no more than plan.hot lines
+    again = durable(_dealt(_refined(hot, plan)).mapInArrow(_meet(whole, ENTRY), f"{schema}, hot boolean"))
+    return found.unionByName(again.drop("hot"))
 
 
 def _texts(plan: LinePlan):
@@ -364,42 +474,26 @@ def _texts(plan: LinePlan):
     return run
 
 
-def verifier(max_edits: int, cells: int = 1_000_000):
-    """A column function: do two lines lie within max_edits edits? Pairs are compared in groups of similar length and bounded size."""
-
-    @F.pandas_udf("boolean")
-    def within(a: pd.Series, b: pd.Series) -> pd.Series:
-        size = np.maximum(a.str.len(), b.str.len()).to_numpy(np.int64)
-        order, out, i = np.argsort(size, kind="stable"), np.zeros(len(a), bool), 0
-        while i < len(order):
-            n = 1
-            while i + n < len(order) and (n + 1) * (size[order[i + n]] + 1) <= cells:
-                n += 1
-            at = order[i : i + n]
-            out[at] = edit_distances([a.iloc[k] for k in at], [b.iloc[k] for k in at], max_edits) <= max_edits
-            i += n
-        return pd.Series(out)
-
-    return within
-
-
-def _bounded(df: DataFrame, plan: LinePlan) -> DataFrame:
-    return F.broadcast(df) if df.count() <= plan.broadcast_rows else df
+def _bounded(df: DataFrame, plan: LinePlan, weight: str = "1") -> DataFrame:
+    """df to be broadcast if the sum of `weight`, and so its rows, is within the bound; else joined by a shuffle."""
+    total = df.agg(F.sum(F.expr(weight)) + F.count("*")).first()[0] or 0
+    return F.broadcast(df) if total <= plan.broadcast_rows else df
 
 
 def near_links(docs: DataFrame, firsts: DataFrame, plan: LinePlan) -> DataFrame:
-    """(early1, early2, late1, late2, n): linked distinct lines by their two hashes, the earlier first; order is by first document, then line."""
+    """(h1, h2, links, late): distinct lines that lie within max_edits edits of others, how many, and whether one of those comes
+    earlier; order is by first document, then line."""
     keys = docs.select("text").mapInArrow(_keyed(plan), "key long, id long, parity long")
-    pairs = _candidates(keys, plan)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    places = durable(_candidates(keys, plan))
+    ids = places.select("id").distinct()
     wanted = firsts.join(ids, firsts["h1"] == ids["id"]).groupBy("doc_id").agg(F.collect_set("h1").alias("want"))
-    wanted = _bounded(durable(wanted), plan)
+    wanted = _bounded(durable(wanted), plan, "size(want)")
     lines = durable(docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(_texts(plan), "id long, h2 long, doc_id long, line_no int, line string"))
     lines = lines.groupBy("id", "h2", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
-    side = lambda x: lines.select(F.col("id").alias(x), F.struct("place", "id", "h2").alias(f"{x}_at"), F.col("line").alias(f"{x}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(verifier(plan.max_edits)("a_line", "b_line"))
-    early, late = F.least("a_at", "b_at"), F.greatest("a_at", "b_at")
-    return durable(both.select(early["id"].alias("early1"), early["h2"].alias("early2"), late["id"].alias("late1"), late["h2"].alias("late2")).distinct())
+    lines = lines.select("id", "h2", "place.doc_id", F.col("place.line_no").cast("long").alias("line_no"), "line")
+    met = _dealt(places.join(lines, "id").select(*ENTRY, "h2", "doc_id", "line_no", "line"))
+    links = met.mapInArrow(_verified(plan), "id long, h2 long, links long, late int")
+    return durable(links.groupBy(F.col("id").alias("h1"), "h2").agg(F.sum("links").alias("links"), F.max("late").alias("late")))
 
 
 def duplicate_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
@@ -412,24 +506,29 @@ def duplicate_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     occurrences = durable(docs.mapInArrow(_occurrences(plan), "doc_id long, h1 long, h2 long"))
     firsts = durable(occurrences.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     near = near_links(docs, firsts, plan)
-    degree = near.select(F.col("early1").alias("h1"), F.col("early2").alias("h2"), F.lit(0).alias("late")).union(near.select("late1", "late2", F.lit(1)))
-    degree = degree.groupBy("h1", "h2").agg(F.count("*").alias("links"), F.max("late").alias("late"))
-    marked = firsts.join(degree, ["h1", "h2"], "left").where("n > 1 or links is not null").withColumnRenamed("doc_id", "first_doc")
-    told = occurrences.join(marked, ["h1", "h2"])
+    marked = durable(firsts.join(near, ["h1", "h2"], "left").where("n > 1 or links is not null").withColumnRenamed("doc_id", "first_doc"))
+    # a line with more than a thousandth of all occurrences, and there are no more than a thousand, meets them without a shuffle
+    common = F.broadcast(marked.where(F.col("n") * 1000 > occurrences.count()))
+    rest = occurrences.join(F.broadcast(common.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    told = occurrences.join(common, ["h1", "h2"]).unionByName(rest.join(marked, ["h1", "h2"]))
     again, late = F.col("doc_id") != F.col("first_doc"), F.coalesce(F.col("late") == 1, F.lit(False))
     told = told.select("doc_id", "h1", F.coalesce("links", F.lit(0)).alias("links"), again.alias("again"), late.alias("late"))
     drop = F.collect_set(F.when(F.col("again") | F.col("late"), F.col("h1")))
     return told.groupBy("doc_id").agg(drop.alias("drop"), F.count_if(F.col("late") & ~F.col("again")).alias("n_near"), F.sum("links").alias("n_links")).where("size(drop) > 0 or n_links > 0")
 
 
-def strip_lines(text: str | None, drop: list[int] | None, min_chars: int) -> tuple[str | None, int]:
-    """The text without the lines whose hash is in drop and without repeats of its own lines; and how many lines went."""
+def strip_lines(text: str | None, drop: list[int] | None, plan: LinePlan) -> tuple[str | None, int]:
+    """The text without the lines whose first hash is in drop and without repeats of its own lines; and how many lines went.
+
+    Over all documents a line is known by two hashes; inside one document, one of them tells its lines apart.
+    """
     if text is None:
         return None, 0
-    gone, seen, kept, n = set() if drop is None else set(map(int, drop)), set(), [], 0
+    gone = set() if drop is None else set(map(int, drop))
+    seen, kept, n = set(), [], 0
     for line in text.split("\n"):
         bare = line.strip()
-        if len(bare) >= min_chars:
+        if len(bare) >= plan.min_exact:
             if bare in seen or gone and _signed(xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass"), 1)) in gone:
                 n += 1
                 continue
@@ -444,7 +543,7 @@ def _stripper(plan: LinePlan, at: int, found: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             told = b.column(found).to_pylist()
-            new = [strip_lines(t, x and x["drop"], plan.min_chars) for t, x in zip(map(pa.StringScalar.as_py, b.column(at)), told, strict=True)]
+            new = [strip_lines(t, x and x["drop"], plan) for t, x in zip(map(pa.StringScalar.as_py, b.column(at)), told, strict=True)]
             columns = [pa.array([t for t, _ in new], pa.string()) if k == at else c for k, c in enumerate(b.columns) if k != found]
             counts = [[n for _, n in new], *([x[c] if x else 0 for x in told] for c in ("n_near", "n_links"))]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=[str(k) for k in range(len(columns) + 3)])
@@ -459,7 +558,7 @@ def _deduplicated(docs: DataFrame, plan: LinePlan) -> DataFrame:
     n = len(docs.columns)
     bare = docs.select(*(docs[c].alias(str(k)) for k, c in enumerate(docs.columns)))
     at = docs.columns.index("text")
-    joined = bare.join(_bounded(found, plan), bare[str(docs.columns.index("doc_id"))] == found["k"], "left").select(*(str(k) for k in range(n)), "found")
+    joined = bare.join(_bounded(found, plan, "size(found.drop)"), bare[str(docs.columns.index("doc_id"))] == found["k"], "left").select(*(str(k) for k in range(n)), "found")
     counts = [T.StructField(str(n + k), T.LongType()) for k in range(3)]
     return joined.mapInArrow(_stripper(plan, at, n), T.StructType([*bare.schema.fields, *counts]))
 
@@ -469,7 +568,8 @@ def remove_repeated_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataF
 
     Documents of which nothing but white space is left go; those that had nothing before, null texts included, stay. Rows
     without doc_id lose only repeats of their own lines. Rows that share a doc_id count as one document. Lines compare
-    without outer white space, and lines of fewer than min_chars code points always stay. An empty table gives an empty one.
+    without outer white space, blank lines always stay, and a line of fewer than min_chars code points only goes for an equal
+    one. A line of any length is read whole. An empty table gives an empty one.
     """
     told, n, text = _deduplicated(docs, plan), len(docs.columns), str(docs.columns.index("text"))
     return told.where((F.col(str(n)) == 0) | F.col(text).rlike(r"(?U)\S")).select(*(F.col(str(k)).alias(c) for k, c in enumerate(docs.columns)))
