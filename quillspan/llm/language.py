@@ -7,7 +7,6 @@ plain numpy: backpropagation through time over the window, Adam steps.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import bound_batches, pick
+from quillspan.llm.common import bound_batches, durable, pick
 
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -37,6 +35,11 @@ class TrainingPlan:
     seed: int = 7
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of one of Unicode's letter categories, as in the pattern for a letter; marks, digits and fractions aren't."""
+    return any(map(str.isalpha, text))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.multiply(x, 0.5, out=x)
     np.tanh(x, out=x)
@@ -163,10 +166,16 @@ def training_windows(docs: DataFrame, plan: TrainingPlan) -> list[tuple[str, byt
     d = docs.where("lang is not null and text is not null and length(text) > 0 and text rlike '\\\\p{L}'")
     h = F.xxhash64("text", F.col("doc_id"))
     cuts = F.array(*(F.substring("text", (F.pmod(F.xxhash64(F.lit(k), "h"), F.greatest(F.lit(1), F.length("text") - plan.window)) + 1).cast("int"), plan.window) for k in range(plan.windows)))
-    ranked = d.withColumn("h", h).select("lang", "h", cuts.alias("cuts"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= plan.per_lang)
+    # so few rows of a language reach its ranking, several times per_lang of them, that no task ranks a whole language;
+    # a row a language, and the model holds a few hundred times as much of each
+    n = F.broadcast(durable(d.groupBy("lang").agg(F.count("*").alias("n"))))
+    low = F.shiftrightunsigned("h", 11) <= F.least(F.lit(1.0), 4.0 * plan.per_lang / F.col("n")) * float(2**53)
+    some = d.withColumn("h", h).join(n, "lang").where((F.col("n") <= 8 * plan.per_lang) | low)
+    ranked = some.select("lang", "h", cuts.alias("cuts"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h"))
+    ranked = ranked.withColumn("rank", rank).where(F.col("rank") <= plan.per_lang)
     rows = ranked.select("lang", "h", "cuts").collect()
-    return [(r["lang"], c.encode().lower()[: plan.window]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"])) for c in r["cuts"] if LETTER.search(c)]
+    return [(r["lang"], c.encode().lower()[: plan.window]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"])) for c in r["cuts"] if has_letter(c)]
 
 
 def train(docs: DataFrame, learn: Column, plan: TrainingPlan = TrainingPlan()) -> ByteBiGRU | None:
@@ -195,7 +204,7 @@ def predictor(model: ByteBiGRU | None, window: int):
         for texts in batches:
             out = []
             for i in range(0, len(texts), 256):
-                raw = [t if isinstance(t, str) and LETTER.search(t) else "" for t in texts.iloc[i : i + 256]]
+                raw = [t if isinstance(t, str) and has_letter(t) else "" for t in texts.iloc[i : i + 256]]
                 if model is None:
                     out += [(UND, 0.0, 0.0)] * len(raw)
                     continue
@@ -227,7 +236,12 @@ def reject_unknown(docs: DataFrame, model: ByteBiGRU | None, min_score: float, p
 
 
 def language_query(docs: DataFrame, plan: TrainingPlan = TrainingPlan()) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, position_share."""
+    """One row per document: doc_id, held_out, lang_pred, score, position_share (share of positions labelled lang_pred).
+
+    Null texts and texts without letters are und with score 0, and every text is where no row has a language to learn. Rows
+    without doc_id are not held out. Equal texts get equal results; a text of any length is read whole, and other columns of
+    docs are not looked at. An empty table gives an empty result.
+    """
     d = pick(docs, doc_id="doc_id", text="text", lang="lang")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     model = train(d, ~held, plan)
