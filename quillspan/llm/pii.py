@@ -1,7 +1,9 @@
 """Information-theoretic sanitisation of personal data.
 
-Base detectors find e-mail addresses, IPv4 addresses, card and phone numbers: the protected entities. Corpus statistics then
-tell how strongly a document's words reveal its entities. With N documents, n(e) and n(t) of them with entity e and term t, and
+Base detectors find e-mail addresses, IPv4 addresses, card and phone numbers. Protected entities are their values and the
+classes that these belong to and that recur where values don't: the mail's domain, the network, the card's issuer, the phone's
+area, and the kind itself. Corpus statistics then tell how strongly a document's words reveal its entities. With N documents,
+n(e) and n(t) of them with entity e and term t, and
 c(e, t) of them with both, term t discloses PMI(e; t) = log2(N c / (n(e) n(t))) of the IC(e) = log2(N / n(e)) bits that e
 holds. Terms that disclose at least `generalise` of an entity's bits in at least `support` documents become spans wherever they
 occur, in texts without the entity too: they are generalised, or removed from `remove` on.
@@ -36,7 +38,7 @@ WORD = re.compile(r"[^\W\d_]{3,}")
 
 @dataclass(frozen=True)
 class PrivacyPlan:
-    """broadcast_rows: most shared entities, candidate terms and revealing terms that are handed to every task; more are joined by a shuffle."""
+    """broadcast_rows: most shared entities and revealing terms that are handed to every task; more are joined by a shuffle."""
 
     support: int = 3
     generalise: float = 0.8
@@ -88,10 +90,19 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def entity(text: str, kind: str, start: int, end: int) -> int:
-    value = text[start:end].lower() if kind == "email" else re.sub(r"[^0-9.]", "", text[start:end]) if kind == "ip" else re.sub(r"[^0-9]", "", text[start:end])
-    x = xxhash.xxh64_intdigest(f"{kind}:{value}".encode("utf-8", "surrogatepass"))
-    return x - (1 << 64) if x >> 63 else x
+def entities(text: str, kind: str, start: int, end: int) -> list[int]:
+    """Hashes of the value that a span stands for and of its classes."""
+    value = text[start:end].lower()
+    if kind == "email":
+        classes = [value, value.rpartition("@")[2]]
+    elif kind == "ip":
+        parts = value.split(".")
+        classes = [value, ".".join(parts[:3]), ".".join(parts[:2])]
+    else:
+        digits = re.sub(r"[^0-9]", "", value)
+        classes = [digits, digits[: 6 if kind == "card" else 4]]
+    found = (xxhash.xxh64_intdigest(f"{kind}{k}:{x}".encode("utf-8", "surrogatepass")) for k, x in enumerate([*classes, ""]))
+    return [x - (1 << 64) if x >> 63 else x for x in found]
 
 
 def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
@@ -134,7 +145,7 @@ def _counted(names: list[str], of, rows: int = 100_000):
 
 
 def _entities(text: str | None) -> set[tuple[int]]:
-    return {(entity(text, *s),) for s in base_spans(text)}
+    return {(e,) for s in base_spans(text) for e in entities(text, *s)}
 
 
 def _pairs(shared: frozenset[int] | None):
@@ -142,7 +153,7 @@ def _pairs(shared: frozenset[int] | None):
 
     def of(text: str | None) -> Iterator[tuple[int, str]]:
         spans = base_spans(text)
-        keys = {entity(text, *s) for s in spans}
+        keys = {e for s in spans for e in entities(text, *s)}
         keys = keys if shared is None else keys & shared
         terms = {t for t, _, _ in terms_outside(text, spans)} if keys else ()
         return ((e, t) for e in keys for t in terms)
@@ -150,10 +161,6 @@ def _pairs(shared: frozenset[int] | None):
     return of
 
 
-def _wanted(terms: frozenset[str] | None):
-    return lambda text: {(t,) for t in (_terms(text) if terms is None else _terms(text) & terms)}
-
-
 def _few(df: DataFrame, rows: int) -> frozenset | None:
     """The values of df's only column, None if there are more than `rows`."""
     few = df.limit(rows + 1).collect()
@@ -166,20 +173,17 @@ def revealing_terms(docs: DataFrame, plan: PrivacyPlan) -> DataFrame:
     total = docs.count()
     named = docs.where("doc_id is not null").select("text")
     # a pair is in no more documents than its entity
-    entities = named.mapInArrow(_counted(["entity"], _entities), "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n_e"))
-    entities = durable(entities.where(F.col("n_e") >= plan.support))
-    shared = _few(entities.select("entity"), plan.broadcast_rows)
+    held = named.mapInArrow(_counted(["entity"], _entities), "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n_e"))
+    held = durable(held.where(F.col("n_e") >= plan.support))
+    shared = _few(held.select("entity"), plan.broadcast_rows)
     pairs = named.mapInArrow(_counted(["entity", "term"], _pairs(shared)), "entity long, term string, n long")
     if shared is None:
-        pairs = pairs.join(entities.select("entity"), "entity", "left_semi")
+        pairs = pairs.join(held.select("entity"), "entity", "left_semi")
     pairs = durable(pairs.groupBy("entity", "term").agg(F.sum("n").alias("c")).where(F.col("c") >= plan.support))
-    terms = pairs.select("term").distinct()
-    wanted = _few(terms, plan.broadcast_rows)
-    counts = docs.select("text").mapInArrow(_counted(["term"], _wanted(wanted)), "term string, n long")
-    if wanted is None:
-        counts = counts.join(terms, "term", "left_semi")
+    # every term is counted, at any size: the terms of pairs are too many to be handed to all tasks
+    counts = docs.select("text").mapInArrow(_counted(["term"], lambda text: {(t,) for t in _terms(text)}), "term string, n long")
     counts = counts.groupBy("term").agg(F.sum("n").alias("n_t"))
-    told = pairs.join(counts, "term").join(entities, "entity")
+    told = pairs.join(counts, "term").join(held if shared is None else F.broadcast(held), "entity")
     bits = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log2(F.lit(float(max(total, 1))) * F.col("c") / (F.col("n_e") * F.col("n_t")))
     told = told.withColumn("disclosure", F.when(bits > 0, pmi / bits).otherwise(0.0)).where(F.col("disclosure") >= plan.generalise)
@@ -235,6 +239,7 @@ def sanitise(docs: DataFrame, plan: PrivacyPlan = PrivacyPlan()) -> DataFrame:
 
     Null text counts as empty and stays null. Rows without doc_id tell nothing about entities; they are sanitised like others.
     Rows that share a doc_id count as documents of their own. Equal rows get equal results; an empty table gives an empty result.
+    Texts of any length are read whole, in linear time; other columns of docs are not looked at.
     """
     d = pick(docs, doc_id="doc_id", text="text")
     revealing = durable(revealing_terms(d, plan))
@@ -250,6 +255,7 @@ def sanitise(docs: DataFrame, plan: PrivacyPlan = PrivacyPlan()) -> DataFrame:
 
 
 def privacy_query(docs: DataFrame, plan: PrivacyPlan = PrivacyPlan()) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, sanitised_sha256 (of the sanitised text; null: empty)."""
     p = sanitise(docs, plan)
-    return p.select("doc_id", *(f"privacy.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms")))
+    digest = F.sha2(F.coalesce("privacy.sanitised", F.lit("")), 256).alias("sanitised_sha256")
+    return p.select("doc_id", *(f"privacy.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms")), digest)
