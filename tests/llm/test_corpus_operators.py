@@ -66,11 +66,10 @@ def test_lines_brute_force(spark, hot):
     for d, t in enumerate(texts):
         kept = []
         for line in t.split("\n"):
-            gone = len(line) >= 20 and any(abs(len(line) - len(x)) <= 2 and levenshtein(line, x) <= 2 for x in seen)
+            gone = line in seen or len(line) >= 20 and any(len(x) >= 20 and abs(len(line) - len(x)) <= 2 and levenshtein(line, x) <= 2 for x in seen)
             if not gone:
                 kept.append(line)
-            if len(line) >= 20:
-                seen.append(line)
+            seen.append(line)
         assert got[d] == "\n".join(kept), d
 
 
@@ -85,17 +84,31 @@ def test_lines_of_one_template(spark):
         assert sum(r.n_links for r in got) == 2 * links
 
 
-def test_lines_cases(spark):
-    line = "a line that is long enough to count"
-    docs = make(spark, [None, "", f"{line}\n{line}", line, "x" * 300_000, "own\n" + line]).withColumnRenamed("lang", "h1")
-    rows = {r.doc_id: r.text for r in lines.remove_repeated_lines(docs).collect()}
-    assert rows[0] is None and rows[1] == "" and rows[2] == line and 3 not in rows and len(rows[4]) == 300_000 and rows[5] == "own"
-    assert lines.remove_repeated_lines(docs).columns == docs.columns
-    assert lines.remove_repeated_lines(docs.limit(0)).count() == 0
-    twice = docs.union(docs)
-    assert lines.remove_repeated_lines(twice).count() == 2 * len(rows)
-    nameless = spark.createDataFrame([(None, f"{line}\n{line}", None, None, None)], DOCS)
-    assert lines.remove_repeated_lines(nameless).first().text == line
+def test_links_leave_as_rows_of_lines(spark):
+    """Near copies of one line, each linked with each: the rows between the stages grow with the lines, not with the links."""
+    base = "a line that many documents share with a small change"
+    found = [base[:k] + c + base[k + 1 :] for k in range(len(base)) for c in "#@+=" if base[k] != c]
+    docs = make(spark, found)
+    plan = lines.LinePlan()
+    entries = lines._candidates(docs.select("text").mapInArrow(lines._keyed(plan), "key long, id long, parity long"), plan)
+    assert entries.count() < 30 * len(found)
+    got = lines.lines_query(docs, plan).collect()
+    assert sum(r.n_links for r in got) == len(found) * (len(found) - 1) and sum(r.n_removed for r in got) == len(found) - 1
+
+
+def test_equal_first_hashes_tell_lines_apart(spark, monkeypatch):
+    """Lines whose first hashes collide are different lines."""
+    real = lines.line_ids
+    monkeypatch.setattr(lines, "line_ids", lambda t, n: [(k, x, 7, h2) for k, x, _, h2 in real(t, n)])
+    a, b = "one line of the usual length that is long", "quite another text which has nothing in common"
+    occurrences = lines._occurrences(lines.LinePlan())
+    import pyarrow as pa
+
+    rows = pa.Table.from_batches(occurrences(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a, b])], names=["d", "t"])]))).to_pylist()
+    assert {(r["h1"], len({r["h2"] for r in rows})) for r in rows} == {(7, 2)}
+    h1 = lines._signed(xxhash.xxh64_intdigest(a.encode(), 1))
+    assert lines.strip_lines(f"{a}\n{b}", [h1 + 1], lines.LinePlan()) == (f"{a}\n{b}", 0)
+    assert lines.strip_lines(f"{a}\n{b}", [h1], lines.LinePlan()) == (b, 1)
 
 
 def brute_simhash(text):
