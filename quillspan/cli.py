@@ -1,4 +1,4 @@
-"""python -m quillspan.cli LANE ...: the tabular lane over files, the mapper with a stub scorer, and registered queries."""
+"""python -m quillspan.cli LANE ...: the tabular lane over files, the mapper and the grader with stub scorers, and registered queries."""
 
 from __future__ import annotations
 
@@ -16,11 +16,28 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--nml-file", required=True)
     t.add_argument("--output", required=True)
     m = lanes.add_parser("mapper", help="tag articles with asset groups")
-    m.add_argument("--dataset", default="gold")
-    m.add_argument("--path", required=True)
-    m.add_argument("--output", required=True)
-    m.add_argument("--no-gate", action="store_true")
+    m.add_argument("--dataset")
+    m.add_argument("--path")
+    m.add_argument("--input-file", help="a wire shard")
+    m.add_argument("--output-file")
+    m.add_argument("--output-dir")
+    m.add_argument("--keyword-gate", action=argparse.BooleanOptionalAction, help="the dataset decides unless given")
+    m.add_argument("--max-model-len", type=int, default=65_536)
+    m.add_argument("--model", help="folder whose config.json bounds the length")
+    m.add_argument("--max-articles", type=int)
+    m.add_argument("--random-seed", type=int)
+    m.add_argument("--groups", help="file of the asset groups")
     m.add_argument("--dry-run", action="store_true", help="print the configuration only")
+    g = lanes.add_parser("grade", help="judge the tags of a mapper's output")
+    g.add_argument("--mapper-output", required=True)
+    g.add_argument("--output", required=True)
+    g.add_argument("--dataset", default="gold")
+    g.add_argument("--path")
+    g.add_argument("--input-file")
+    g.add_argument("--max-model-len", type=int, default=65_536)
+    g.add_argument("--model")
+    g.add_argument("--groups", help="file of the asset groups")
+    g.add_argument("--dry-run", action="store_true", help="print the configuration only")
     q = lanes.add_parser("query", help="run a registered query")
     q.add_argument("name")
     q.add_argument("--sf-dir", required=True)
@@ -29,8 +46,18 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
-    print(json.dumps(vars(args), sort_keys=True))
+    from quillspan.operators.config import GraderRun, MapperRun
+
+    p = parser()
+    args = p.parse_args(argv)
+    run = None
+    if args.lane in ("mapper", "grade"):
+        kind = MapperRun if args.lane == "mapper" else GraderRun
+        try:
+            run = kind(**{f: v for f, v in vars(args).items() if f in kind.__dataclass_fields__})
+        except ValueError as e:
+            p.error(str(e))
+    print(json.dumps(vars(args) | (run.record() if run else {}), sort_keys=True))
     if getattr(args, "dry_run", False):
         return 0
     spark = SparkSession.builder.appName("quillspan").getOrCreate()
@@ -39,15 +66,26 @@ def main(argv: list[str] | None = None) -> int:
         from quillspan.sources.reading import tabular_results, tagged_documents
 
         write_records(tabular_results(tagged_documents(spark, args.nml_file)), args.output)
-    elif args.lane == "mapper":
+    elif args.lane in ("mapper", "grade"):
         from quillspan.operators import mapper, scoring, sinks, universe
+        from quillspan.sources import dimensions
         from quillspan.sources.reading import load_articles
 
-        articles, groups = load_articles(spark, args.dataset, args.path), universe.mapper_view(universe.to_frame(spark, universe.FIXTURE))
+        every = universe.to_frame(spark, dimensions.groups_file(args.groups) if args.groups else universe.FIXTURE)
+        articles = load_articles(spark, run.dataset, run.path or run.input_file)
+        if args.lane == "grade":
+            verdicts = mapper.grade(dimensions.mapper_records(spark, run.mapper_output), articles, every, "Answer with one object.", scoring.stub_backend)
+            sinks.write_run(verdicts, run.output, lambda rows: sinks.grader_summary(rows, run.record()))
+            return 0
+        groups = universe.mapper_view(every)
+        if run.max_articles is not None:
+            order = F.rand(run.random_seed) if run.random_seed is not None else F.col("id")
+            articles = articles.orderBy(order).limit(run.max_articles)
         if "filtered_reasons" not in articles.columns:
             articles = articles.withColumn("filtered_reasons", F.array().cast("array<string>"))
         prompts = {r[0]: "Answer with one object." for r in groups.select("asset_class").distinct().collect()}
-        sinks.write_records(mapper.run_mapper(articles, groups, prompts, scoring.stub_backend, not args.no_gate), args.output)
+        records = mapper.run_mapper(articles, groups, prompts, scoring.stub_backend, run.keyword_gate)
+        sinks.write_run(records, run.output, lambda rows: sinks.mapper_summary(rows, run.record(), {"keyword_gate": run.keyword_gate}), run.keyword_gate)
     else:
         from quillspan.plans.catalogue import QUERIES
 

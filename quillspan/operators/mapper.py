@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import ladder, textcols
 from quillspan.operators import gate, scoring
 
 CORRECT_GAP, INCORRECT_GAP = 0.40, 0.15
+# The block that tells a grader what the mapper claims.
+CLAIM = ("\n\n[MAPPER_CLAIM]\nAsset group: ", "\nAsset class: ", "\nMembers: ", "\nMapper relevance score: ", "\n[/MAPPER_CLAIM]\n\n[MAPPER_EVIDENCE]\n", "\n[/MAPPER_EVIDENCE]")
+NO_MEMBERS, NO_EVIDENCE = "(no members listed)", "(none — mapper tagged on overall topic alone)"
+
+
+def claim_block(group: Column, asset_class: Column, members: Column, score: Column, evidence: Column) -> Column:
+    """members: names; evidence: paragraph numbers."""
+    shown = F.when(F.size(members) > 0, F.array_join(members, ", ")).otherwise(NO_MEMBERS)
+    cited = F.when(F.size(evidence) > 0, F.array_join(F.transform(evidence, lambda i: i.cast("string")), ", ")).otherwise(NO_EVIDENCE)
+    parts = [group, asset_class, shown, ladder.two_decimals(score), cited]
+    return F.concat(*(x for mark, part in zip(CLAIM, [*parts, None], strict=True) for x in (F.lit(mark), part) if x is not None))
 
 
 def mapper_tasks(articles: DataFrame, groups: DataFrame, prompts: dict[str, str], gated: bool = True) -> DataFrame:
@@ -52,16 +63,18 @@ def last_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def grade(records: DataFrame, sources: DataFrame, groups: DataFrame, system: str, make_backend) -> DataFrame:
-    """Verdicts on every mapping; those without source article, or else without group, come as skipped with the reason."""
+    """Verdicts on every mapping; those without source article, or else without group, come as skipped with the reason.
+
+    Of several source rows of an id the last counts, by `ord` if there is one; of groups of one name that of the last key.
+    """
     m = records.select("article_id", F.col("headline").alias("own_headline"), F.explode("mappings").alias("m")).select("article_id", "own_headline", F.col("m.group").alias("group_name"), F.col("m.asset_class").alias("asset_class"), F.col("m.relevance_score").alias("mapper_score"), F.col("m.evidence_paragraphs").alias("mapper_evidence"))
-    src = sources.select(F.col("id").alias("article_id"), F.col("headline").alias("source_headline"), "paragraphs")
-    known = groups.select(F.col("name").alias("group_name"), F.transform("members", lambda x: x["name"]).alias("member_names"))
+    place = F.col("ord") if "ord" in sources.columns else F.monotonically_increasing_id()
+    src = last_wins(sources.select(F.col("id").alias("article_id"), F.col("headline").alias("source_headline"), "paragraphs", place.alias("source_ord")), "article_id", "source_ord")
+    known = last_wins(groups.select("group_key", "name", "members"), "name", "group_key").select(F.col("name").alias("group_name"), F.transform("members", lambda x: x["name"]).alias("member_names"))
     t = m.join(src, "article_id", "left").join(F.broadcast(known), "group_name", "left")
     t = t.withColumn("skip_reason", F.when(F.col("paragraphs").isNull(), "article_not_in_source").when(F.col("member_names").isNull(), "group_not_in_universe"))
     headline = F.coalesce(F.nullif(F.col("own_headline"), F.lit("")), "source_headline", F.lit(""))
-    members = F.when(F.size("member_names") > 0, F.array_join("member_names", ", ")).otherwise("(no members listed)")
-    evidence = F.when(F.size("mapper_evidence") > 0, F.array_join(F.transform("mapper_evidence", lambda i: i.cast("string")), ", ")).otherwise("(none — mapper tagged on overall topic alone)")
-    claim = F.concat(F.lit("\n\n[MAPPER_CLAIM]\nAsset group: "), "group_name", F.lit("\nAsset class: "), "asset_class", F.lit("\nMembers: "), members, F.lit("\nMapper relevance score: "), ladder.two_decimals("mapper_score"), F.lit("\n[/MAPPER_CLAIM]\n\n[MAPPER_EVIDENCE]\n"), evidence, F.lit("\n[/MAPPER_EVIDENCE]"))
+    claim = claim_block(F.col("group_name"), F.col("asset_class"), F.col("member_names"), F.col("mapper_score"), F.col("mapper_evidence"))
     todo = t.where("skip_reason is null").withColumn("system", F.lit(system)).withColumn("user", F.concat(textcols.article_block(headline, F.col("paragraphs")), claim))
     done = scoring.score(todo, make_backend, ladder.parse_grader)
     keep = ["article_id", "group_name", "asset_class", "mapper_score", "mapper_evidence"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import ladder
 
+SHARES = 4096  # of a class, dealt apart
 Backend = Callable[[list[tuple[str, str]]], list[str]]
 
 
@@ -21,7 +22,8 @@ def stub_backend() -> Backend:
 def score(tasks: DataFrame, make_backend: Callable[[], Backend], parse=ladder.parse_mapper) -> DataFrame:
     """tasks (system, user, ...) with `result`. A backend is made once a worker; ValueError if it answers out of number.
 
-    Tasks of one class are dealt together and sorted, so that a real backend can share its prompts' prefixes.
+    Where tasks have an asset_class, those of one class and article follow each other, dealt by both so that no class is one task: a
+    real backend can share its prompts' prefixes.
     """
 
     @F.pandas_udf("string")
@@ -33,6 +35,9 @@ def score(tasks: DataFrame, make_backend: Callable[[], Backend], parse=ladder.pa
                 raise ValueError(f"{len(answers)} answers to {len(system)} prompts")
             yield pd.Series(answers, dtype="object")
 
+    if {"asset_class", "article_id"} <= set(tasks.columns) or {"asset_class", "id"} <= set(tasks.columns):
+        key = "id" if "id" in tasks.columns else "article_id"
+        tasks = tasks.repartition("asset_class", F.pmod(F.xxhash64(key), F.lit(SHARES))).sortWithinPartitions("asset_class", key)
     return tasks.withColumn("raw", raw("system", "user")).withColumn("result", parse(F.col("raw")))
 
 

@@ -35,6 +35,57 @@ def rollup(df: DataFrame, *dimensions: str) -> dict[str, dict[str, int]]:
     return out
 
 
+def mapper_summary(records: DataFrame, run: dict, gate: dict) -> dict:
+    """Totals, reasons and counts of a run's records; a row for each article, screened and untagged ones too."""
+    total = records.agg(F.count("*"), F.count_if(F.size("filtered_reasons") > 0), F.sum(F.size("mappings"))).first()
+    counts = lambda df, c: {r[0]: r[1] for r in df.groupBy(c).count().orderBy(c).collect()}
+    tags = records.select(F.explode("mappings").alias("m")).select("m.asset_class", "m.group")
+    reasons = counts(records.select(F.explode("filtered_reasons").alias("reason")), "reason")
+    return {"total_articles": total[0], "filtered_articles": total[1], "filtered_by_reason": reasons, "run": run, "gate": gate, "total_mappings": total[2] or 0, "by_asset_class": counts(tags, "asset_class"), "by_group": counts(tags, "group")}
+
+
+def grader_summary(verdicts: DataFrame, run: dict) -> dict:
+    """Counts of verdicts, of reasons to skip, and by class and group, those without the skipped. Percentages round as Python does."""
+    right, wrong, odd = F.count_if(F.col("verdict") == "correct"), F.count_if(F.col("verdict") == "incorrect"), F.count_if("self_inconsistent")
+    graded = verdicts.where("skip_reason is null")
+    n = graded.agg(F.count("*"), right, wrong, odd).first()
+    skips = {r[0]: r[1] for r in verdicts.where("skip_reason is not null").groupBy("skip_reason").count().orderBy("skip_reason").collect()}
+
+    def by(c: str) -> dict:
+        rows = graded.groupBy(c).agg(F.count("*"), right, wrong, odd).orderBy(c).collect()
+        return {r[0]: {"total": r[1], "correct": r[2], "incorrect": r[3], "self_inconsistent": r[4], "correct_pct": round(100 * r[2] / r[1], 2)} for r in rows}
+
+    skipped = sum(skips.values())
+    return {"run": run, "total_mappings": n[0] + skipped, "graded": n[0], "correct": n[1], "incorrect": n[2], "self_inconsistent": n[3], "skipped": skipped, "skip_reasons": skips, "by_asset_class": by("asset_class"), "by_group": by("group_name")}
+
+
+def summary_path(output: str) -> Path:
+    return Path(output).with_suffix(".summary.json")
+
+
+def write_run(records: DataFrame, output: str, summarise, keyword_gate: bool | None = None) -> dict:
+    """Records, then the summary that `summarise` makes of them as they were written. A gated or ungated run is refused
+    beside runs of the other kind, before anything is written."""
+    own = summary_path(output)
+    if keyword_gate is not None:
+        refuse_mixed_gate(str(own.parent), own.name, keyword_gate)
+    kind = records.schema
+    write_records(records, output)
+    summary = summarise(records.sparkSession.read.schema(kind).json(output))
+    own.write_text(json.dumps(summary, indent=2, ensure_ascii=False))
+    return summary
+
+
+def publish_prompts(prompts: dict[str, str], folder: str) -> list[Path]:
+    """A text file for each class, named after it with _ for spaces."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    out = []
+    for name, text in prompts.items():
+        out.append(Path(folder) / f"rendered_prompt_{name.replace(' ', '_')}.txt")
+        out[-1].write_text(text)
+    return out
+
+
 def pending(shards: DataFrame, records: DataFrame, summaries: DataFrame) -> DataFrame:
     """Shards that lack their records or their summary."""
     done = records.select("shard").join(summaries.select("shard"), "shard", "left_semi")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import ladder, tabular, textcols
-from quillspan.operators import gate, universe
+from quillspan.operators import gate, mapper, universe
 from quillspan.plans import oracle
+from quillspan.sources import dimensions
 from quillspan.sources.reading import table
 
 QUERIES: dict = {}
@@ -66,8 +67,9 @@ def paragraph_stats(spark, sf_dir):
 @query(oracle.FIRES)
 def gate_fires(spark, sf_dir):
     a = open_articles(spark, sf_dir)
-    fired = gate.fired_pairs(a, groups(spark)).groupBy("article_id").agg(F.array_sort(F.collect_set("group_key")).alias("fired"))
-    return a.select("article_id").join(fired, "article_id", "left").select("article_id", F.coalesce(F.array_join("fired", ","), F.lit("")).alias("groups"))
+    every = a.select("article_id", F.lit(None).cast("string").alias("group_key"))
+    fired = gate.fired_pairs(a, groups(spark)).unionByName(every).groupBy("article_id").agg(F.array_sort(F.collect_set("group_key")).alias("fired"))
+    return fired.select("article_id", F.array_join("fired", ",").alias("groups"))
 
 
 @query(oracle.GATE_STATS)
@@ -139,9 +141,30 @@ def mapper_records(spark, sf_dir):
 @query(oracle.ROLLUP)
 def mapper_rollup(spark, sf_dir):
     found = tasks(spark, sf_dir).where("relevant")
-    one = lambda d, c: found.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).select(F.lit(d).alias("dimension"), "key", "n")
     reasons = screen_reasons(spark, sf_dir).select(F.lit("reason").alias("dimension"), F.col("reason").alias("key"), "n")
-    return one("asset_class", "asset_class").unionByName(one("group", "name")).unionByName(reasons)
+    return _by(found, F.count("*").alias("n")).unionByName(reasons)
+
+
+@query(oracle.TOTALS)
+def mapper_totals(spark, sf_dir):
+    """Articles, screened ones and mappings of a run, in one pass over its rows."""
+    r = mapper_rows(spark, sf_dir)
+    return r.agg(F.count("*").alias("total_articles"), F.count_if(F.size("filtered_reasons") > 0).alias("filtered_articles"), F.coalesce(F.sum(F.size(F.coalesce("mappings", F.array().cast(r.schema["mappings"].dataType)))), F.lit(0)).cast("long").alias("total_mappings"))
+
+
+@query(oracle.RESULTS_OF)
+def results_of_article(spark, sf_dir):
+    """All verdicts on one article."""
+    return self_consistency(spark, sf_dir).where("article_id = 27")
+
+
+@query(oracle.MISMATCH)
+def universe_mismatch(spark, sf_dir):
+    """Assets without group and members that are no asset; the assets here are the members' own and one more, without one."""
+    g = groups(spark, mapper=False)
+    members = g.select(F.explode("members.name").alias("name"))
+    known = members.where("name <> 'Ghost Index'").union(spark.createDataFrame([("Orphan Bond",)], "name string"))
+    return dimensions.mismatch(known, g)
 
 
 @query(oracle.EVIDENCE)
@@ -172,7 +195,10 @@ def grade_skips(spark, sf_dir):
 
 def verdicts(spark, sf_dir) -> DataFrame:
     """The stub grader: toxic articles are graded incorrect, poor ones at half the mapper's score."""
-    g = graded(spark, sf_dir).where("skip_reason is null")
+    return judged(graded(spark, sf_dir).where("skip_reason is null"))
+
+
+def judged(g: DataFrame) -> DataFrame:
     g = g.withColumn("verdict", F.when(F.col("toxic") == 1, "incorrect").otherwise("correct")).withColumn("grader_score", F.when(F.col("quality") == 1, F.col("relevance_score")).otherwise(F.col("relevance_score") / 2))
     gap = F.abs(F.col("relevance_score") - F.col("grader_score"))
     return g.withColumn("self_inconsistent", F.when(F.col("verdict") == "correct", gap > 0.40).otherwise(gap < 0.15))
@@ -185,26 +211,30 @@ def self_consistency(spark, sf_dir):
 
 @query(oracle.SIDECAR)
 def grader_sidecar(spark, sf_dir):
-    done = verdicts(spark, sf_dir).select("article_id", F.col("name").alias("group_name"), "asset_class", "verdict", "grader_score", F.lit(None).cast("string").alias("skip_reason"))
-    left = graded(spark, sf_dir).where("skip_reason is not null").select("article_id", F.col("name").alias("group_name"), "asset_class", F.lit("skipped").alias("verdict"), F.lit(None).cast("double").alias("grader_score"), "skip_reason")
-    return done.unionByName(left)
+    done = F.col("skip_reason").isNull()  # one pass: what is skipped has no verdict but that
+    v = judged(graded(spark, sf_dir))
+    return v.select("article_id", F.col("name").alias("group_name"), "asset_class", F.when(done, F.col("verdict")).otherwise("skipped").alias("verdict"), F.when(done, F.col("grader_score")).alias("grader_score"), "skip_reason")
 
 
 @query(oracle.GRADER_ROLLUP)
 def grader_rollup(spark, sf_dir):
     v = verdicts(spark, sf_dir)
     right = F.count_if(F.col("verdict") == "correct")
-    one = lambda d, c: v.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("total"), right.alias("correct"), F.count_if(F.col("verdict") == "incorrect").alias("incorrect"), F.count_if("self_inconsistent").alias("self_inconsistent"), F.bround(F.lit(100.0) * right / F.count("*"), 2).alias("correct_pct")).select(F.lit(d).alias("dimension"), "*")
-    return one("asset_class", "asset_class").unionByName(one("group", "name"))
+    counts = [F.count("*").alias("total"), right.alias("correct"), F.count_if(F.col("verdict") == "incorrect").alias("incorrect"), F.count_if("self_inconsistent").alias("self_inconsistent"), F.bround(F.lit(100.0) * right / F.count("*"), 2).alias("correct_pct")]
+    return _by(v, *counts)
+
+
+def _by(df: DataFrame, *counts: Column) -> DataFrame:
+    """Counts by class and by group, in one pass over df."""
+    sides = F.array(F.struct(F.lit("asset_class").alias("dimension"), F.col("asset_class").alias("key")), F.struct(F.lit("group").alias("dimension"), F.col("name").alias("key")))
+    return df.withColumn("side", F.explode(sides)).groupBy("side.dimension", "side.key").agg(*counts)
 
 
 @query()
 def grader_message(spark, sf_dir):
     """The text that a grader reads for each claim."""
     g = graded(spark, sf_dir).where("skip_reason is null")
-    members = F.when(F.size("members") > 0, F.array_join(F.transform("members", lambda m: m["name"]), ", ")).otherwise("(no members listed)")
-    evidence = F.when(F.size("evidence") > 0, _joined(F.col("evidence"), ", ")).otherwise("(none — mapper tagged on overall topic alone)")
-    claim = F.concat(F.lit("\n\n[MAPPER_CLAIM]\nAsset group: "), "name", F.lit("\nAsset class: "), "asset_class", F.lit("\nMembers: "), members, F.lit("\nMapper relevance score: "), ladder.two_decimals("relevance_score"), F.lit("\n[/MAPPER_CLAIM]\n\n[MAPPER_EVIDENCE]\n"), evidence, F.lit("\n[/MAPPER_EVIDENCE]"))
+    claim = mapper.claim_block(F.col("name"), F.col("asset_class"), F.transform("members", lambda m: m["name"]), F.col("relevance_score"), F.col("evidence"))
     return g.select("article_id", F.col("name").alias("group_name"), F.concat(textcols.article_block(F.col("headline"), F.col("paragraphs")), claim).alias("message"))
 
 

