@@ -479,20 +479,14 @@ def _bounded(df: DataFrame, plan: LinePlan) -> DataFrame:
     return F.broadcast(df) if df.count() <= plan.broadcast_rows else df
 
 
-def _dealt_documents(docs: DataFrame, doc_id: str) -> DataFrame:
-    """docs in a checkpoint that is partitioned and sorted by doc_id, so that joins with lists of lines shuffle the lists alone."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return durable(docs.repartition(n, doc_id).sortWithinPartitions(doc_id))
-
-
-def near_links(docs: DataFrame, dealt: DataFrame, firsts: DataFrame, plan: LinePlan) -> DataFrame:
+def near_links(docs: DataFrame, firsts: DataFrame, plan: LinePlan) -> DataFrame:
     """(h1, h2, links, late): distinct lines that lie within max_edits edits of others, how many, and whether one of those comes
-    earlier; order is by first document, then line. dealt is docs by _dealt_documents."""
+    earlier; order is by first document, then line."""
     keys = docs.select("text").mapInArrow(_keyed(plan), "key long, id long, parity long")
     places = durable(_candidates(keys, plan))
     ids = places.select("id").distinct()
     wanted = firsts.join(ids, firsts["h1"] == ids["id"]).groupBy("doc_id").agg(F.collect_set("h1").alias("want"))
-    lines = durable(dealt.join(durable(wanted), "doc_id").select("doc_id", "text", "want").mapInArrow(_texts(plan), "id long, h2 long, doc_id long, line_no int, line string"))
+    lines = durable(docs.join(durable(wanted), "doc_id").select("doc_id", "text", "want").mapInArrow(_texts(plan), "id long, h2 long, doc_id long, line_no int, line string"))
     lines = lines.groupBy("id", "h2", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
     lines = lines.select("id", "h2", "place.doc_id", F.col("place.line_no").cast("long").alias("line_no"), "line")
     met = _dealt(places.join(lines, "id").select(*ENTRY, "h2", "doc_id", "line_no", "line"))
@@ -500,16 +494,16 @@ def near_links(docs: DataFrame, dealt: DataFrame, firsts: DataFrame, plan: LineP
     return durable(links.groupBy(F.col("id").alias("h1"), "h2").agg(F.sum("links").alias("links"), F.max("late").alias("late")))
 
 
-def duplicate_lines(docs: DataFrame, dealt: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
+def duplicate_lines(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """(doc_id, drop, n_near, n_links): for the documents that have any, the first hashes of lines that an earlier line repeats
     (`drop`), how many of those are near repeats only, and how many links to different lines the document's lines have.
 
-    `docs` has (doc_id, text) with doc_id not null, and `dealt` is the same by _dealt_documents. A line is repeated if it, or a line within max_edits edits of it, comes
+    `docs` has (doc_id, text) with doc_id not null. A line is repeated if it, or a line within max_edits edits of it, comes
     earlier: in a document of smaller doc_id, or further up in the same one.
     """
     occurrences = durable(docs.mapInArrow(_occurrences(plan), "doc_id long, h1 long, h2 long"))
     firsts = durable(occurrences.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
-    near = near_links(docs, dealt, firsts, plan)
+    near = near_links(docs, firsts, plan)
     marked = durable(firsts.join(near, ["h1", "h2"], "left").where("n > 1 or links is not null").withColumnRenamed("doc_id", "first_doc"))
     # a line with more than a thousandth of all occurrences, and there are no more than a thousand, meets them without a shuffle
     common = F.broadcast(marked.where(F.col("n") * 1000 > occurrences.count()))
@@ -559,11 +553,10 @@ def _deduplicated(docs: DataFrame, plan: LinePlan) -> DataFrame:
     """docs' columns by number from 0, the text stripped, then lines gone, n_near and n_links."""
     n, key, at = len(docs.columns), str(docs.columns.index("doc_id")), docs.columns.index("text")
     bare = docs.select(*(docs[c].alias(str(k)) for k, c in enumerate(docs.columns)))
-    dealt = _dealt_documents(bare.where(F.col(key).isNotNull()), key)
     known = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null")
-    found = duplicate_lines(known, dealt.select(F.col(key).alias("doc_id"), F.col(str(at)).alias("text")), plan)
-    found = durable(found.select(F.col("doc_id").alias("k"), F.struct("drop", "n_near", "n_links").alias("found")))
-    joined = dealt.join(found, dealt[key] == found["k"], "left").drop("k")
+    found = durable(duplicate_lines(known, plan).select(F.col("doc_id").alias("k"), F.struct("drop", "n_near", "n_links").alias("found")))
+    # lists of lines grow with the corpus, so they are never broadcast; rows without doc_id stay out of the join
+    joined = bare.where(F.col(key).isNotNull()).join(found, F.col(key) == found["k"], "left").drop("k")
     joined = joined.unionByName(bare.where(F.col(key).isNull()).withColumn("found", F.lit(None).cast(found.schema["found"].dataType)))
     counts = [T.StructField(str(n + k), T.LongType()) for k in range(3)]
     return joined.mapInArrow(_stripper(plan, at, n), T.StructType([*bare.schema.fields, *counts]))
