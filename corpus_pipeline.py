@@ -49,11 +49,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, through Parquet tables in the folder of checkpoints."""
+    """All stages over documents, through Parquet tables in the folder of checkpoints; only the last one's stays."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if read:
+            _remove(spark, read)
+        read = f"{folder}/{name}"
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Remove a stage's table in whatever store it lies; its successor is written and needs it no more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
