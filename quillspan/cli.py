@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
         from quillspan.operators.sinks import write_records
         from quillspan.sources.reading import tabular_results, tagged_documents
 
-        write_records(tabular_results(tagged_documents(spark, args.nml_file)), args.output)
+        print(json.dumps({"rows": write_records(tabular_results(tagged_documents(spark, args.nml_file)), args.output)}))
     elif args.lane in ("mapper", "grade"):
         from quillspan.operators import mapper, scoring, sinks, universe
         from quillspan.sources import dimensions

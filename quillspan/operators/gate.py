@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[A-Za-z0-9]+")
+# Letters outside ASCII that a pattern without regard to case takes for i, i, k and s.
+FOLDED = ("\u0130\u0131\u212a\u017f", "iiks")
 
 
 def pattern(keywords: Column) -> Column:
@@ -25,16 +27,16 @@ def theta_pairs(articles: DataFrame, groups: DataFrame, key: str = "article_id")
 def fired_pairs(articles: DataFrame, groups: DataFrame, key: str = "article_id") -> DataFrame:
     """The same pairs by hash join: a keyword of letters and digits fires exactly if it is a word of the text.
 
-    Only keywords of several words, or with other characters, are looked for by pattern. The two letters outside ASCII that
-    fold into it, the long s and the Kelvin sign, are folded first.
+    Only keywords of several words, or with other characters, are looked for by pattern. The letters outside ASCII that fold
+    into it are folded first.
     """
     dim = groups.select("group_key", F.explode("keywords").alias("keyword"))
     plain = dim.where(F.col("keyword").rlike("^[A-Za-z0-9]+$")).select("group_key", F.lower("keyword").alias("word")).distinct()
-    other = dim.where(~F.col("keyword").rlike("^[A-Za-z0-9]+$")).select("group_key", F.lower("keyword").alias("phrase"), pattern(F.array("keyword")).alias("pattern"))
-    folded = F.lower(F.translate("gate_text", "ſK", "sk"))
+    other = dim.where(~F.col("keyword").rlike("^[A-Za-z0-9]+$")).select("group_key", F.when(F.col("keyword").rlike(r"^[\x00-\x7f]*$"), F.lower("keyword")).alias("phrase"), pattern(F.array("keyword")).alias("pattern"))
+    folded = F.lower(F.translate("gate_text", *FOLDED))
     texts = articles.select(key, "gate_text", folded.alias("folded"))
     words = texts.select(key, F.explode_outer(F.array_distinct(F.split("folded", "[^a-z0-9]+"))).alias("word"))
     by_word = words.join(F.broadcast(plain), "word").select(key, "group_key")
-    # a phrase that the text doesn't contain at all, the usual case, costs no pattern
-    by_phrase = texts.join(F.broadcast(other), F.expr("contains(folded, phrase) and gate_text rlike pattern")).select(key, "group_key")
+    # an ASCII phrase that the text doesn't contain at all, the usual case, costs no pattern
+    by_phrase = texts.join(F.broadcast(other), F.expr("coalesce(contains(folded, phrase), true) and gate_text rlike pattern")).select(key, "group_key")
     return by_word.unionByName(by_phrase).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -22,9 +22,18 @@ def refuse_mixed_gate(folder: str, own: str, keyword_gate: bool) -> None:
             raise RuntimeError(f"{p} was made with keyword_gate={other}, this run has {keyword_gate}")
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """JSON lines with null fields kept; data first, so that a summary beside it means that it is whole."""
-    records.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+def write_records(records: DataFrame, path: str, optional: str = "url") -> int:
+    """JSON lines with null fields kept, but for the `optional` one, which comes last if at all; the number of rows.
+
+    Data first, so that a summary beside it means that it is whole.
+    """
+    line = F.to_json(F.struct(*(c for c in records.columns if c != optional)), {"ignoreNullFields": "false"})
+    if optional in records.columns:
+        more = F.concat(F.substring(line, 1, F.length(line) - 1), F.lit(","), F.substring(F.to_json(F.struct(optional)), 2, 2**31 - 1))
+        line = F.when(F.col(optional).isNull(), line).otherwise(more)
+    seen = Observation()
+    records.select(line.alias("value")).observe(seen, F.count("*").alias("n")).write.mode("overwrite").text(path)
+    return seen.get["n"]
 
 
 def rollup(df: DataFrame, *dimensions: str) -> dict[str, dict[str, int]]:

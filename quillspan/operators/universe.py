@@ -42,6 +42,59 @@ def lookup(groups: dict[str, dict]) -> dict[str, str]:
     return out
 
 
+def constituents(groups: dict[str, dict], key: str) -> list[tuple[str, str]]:
+    """(name, short name) of a group's members as they are listed; an unknown key raises KeyError."""
+    return [(m["name"], m["short_name"]) for m in groups[key]["members"]]
+
+
+def member_index(groups: dict[str, dict]) -> dict[str, str]:
+    """Asset names to the key of their group; an asset of two groups raises ValueError."""
+    out: dict[str, str] = {}
+    for key in groups:
+        for name, _ in constituents(groups, key):
+            if out.setdefault(name, key) != key:
+                raise ValueError(f"asset {name} is in {out[name]} and {key}")
+    return out
+
+
+def ticker_index(groups: dict[str, dict]) -> dict[str, str]:
+    """Asset names to their ticker symbols."""
+    return {m["name"]: m["ticker_symbol"] for g in groups.values() for m in g["members"]}
+
+
+# The classes of an asset listing in order, with their headings; classes without parts are sorted by symbol,
+# others are told in parts by symbol, the last of which takes the rest.
+LISTING = {
+    "US equity sector": ("EQUITY SECTORS (GICS)", {}),
+    "commodity": ("COMMODITIES", {"Energy": ("CL", "BRN", "RB", "NG", "HO", "G"), "Metals": ("GC", "SI", "HG", "AHD", "NID", "PBD", "ZSD"), "Agri/Softs/Livestock": ()}),
+    "government bond": ("GOVERNMENT BONDS", {"US": ("ZT", "ZF", "ZN", "TN", "ZB", "UB"), "Europe": ("FGBS", "FGBM", "FGBL", "FGBX", "FOAT", "FBTP"), "Other": ()}),
+    "currency": ("CURRENCIES", {}),
+    "equity index": ("EQUITY INDEX FUTURES", {"US": ("ES", "NQ", "RTY", "YM", "EMD"), "Europe": ("FESX", "FDAX", "FCE", "FIB", "FIE", "FTI", "FSMI", "FATX"), "Asia/Other": ()}),
+    "short-term interest rate": ("SHORT-TERM INTEREST RATE FUTURES (STIR)", {}),
+    "volatility": ("VOLATILITY", {}),
+}
+
+
+def listing(assets: dict[str, dict]) -> str:
+    """The assets of a universe file, symbol and name, by class and part; classes that aren't listed are left out."""
+    out: list[str] = []
+    for kind, (heading, parts) in LISTING.items():
+        mine = [(symbol, a.get("name", symbol)) for symbol, a in assets.items() if a.get("asset_class") == kind]
+        if not mine:
+            continue
+        out.append(f"**{heading}**")
+        if parts:
+            part_of = {symbol: part for part, symbols in parts.items() for symbol in symbols}
+            rest = list(parts)[-1]
+            for part in parts:
+                if told := [f"{s} ({n})" for s, n in mine if part_of.get(s, rest) == part]:
+                    out.append(f"- **{part}:** {', '.join(told)}")
+        else:
+            out.append(", ".join(f"{s} ({n})" for s, n in sorted(mine)))
+        out.append("")
+    return "\n".join(out)
+
+
 def to_frame(spark: SparkSession, groups: dict[str, dict]) -> DataFrame:
     validate(groups)
     rows = [(k, g["name"], g["asset_class"], g["keywords"], [(m["name"], m["ticker_symbol"], m["short_name"]) for m in g["members"]]) for k, g in sorted(groups.items())]

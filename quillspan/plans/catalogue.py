@@ -352,7 +352,7 @@ def last_wins_dedup(spark, sf_dir):
 def conversation_pairs(spark, sf_dir):
     system = F.lit("Answer with one object.")
     pair = lambda u: F.to_json(F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), u.alias("content"))))
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.length(pair(F.sha2("text", 256))).cast("long").alias("n_chars"), pair(F.sha2("text", 256)).alias("messages"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.length(pair(F.col("text"))).cast("long").alias("n_chars"), pair(F.col("text")).alias("messages"))
 
 
 @query(oracle.PENDING)
@@ -369,15 +369,21 @@ def pending_shards(spark, sf_dir):
 
 @query(oracle.LOOKUP)
 def point_lookup(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("ts >= timestamp'1970-01-01' and event_id = 42").select("event_id", "user_id", "event_type", "value")
+    return table(spark, sf_dir, "events").where("event_id = 42").select("event_id", "user_id", "event_type", "value")
 
 
 @query(oracle.FINGERPRINT)
 def corpus_fingerprint(spark, sf_dir):
-    """Articles that survive, calls made, and a digest over the digests of their prompts in order.
+    """Articles that survive, calls made, and one digest over the digests of all prompts in order.
 
-    The last step folds one row a source shard, each of them a digest, so no task sees the corpus.
+    A tree folds them, 4,096 consecutive articles a node and as many nodes a level above, so no task sees the corpus.
     """
-    p = render_article_prompt(spark, sf_dir).join(articles(spark, sf_dir).select("article_id", "source"), "article_id")
-    shard = p.groupBy("source").agg(F.countDistinct("article_id").alias("n"), F.count("*").alias("calls"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("article_id", "group_key", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
-    return shard.select("source", "n", "calls", F.substring("digest", 1, 16).alias("digest"))
+    p = render_article_prompt(spark, sf_dir)
+    fold = lambda key, order: p.groupBy(key.alias("id")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"), F.sum("calls").alias("calls"))
+    p = p.withColumn("calls", F.lit(1).cast("long"))
+    p = fold(F.col("article_id"), "group_key")
+    for _ in range(5):  # 4,096 to the fifth covers all but the top bits of an id
+        p = fold(F.shiftright("id", 12), "id")
+    whole = p.agg(F.sum("calls").alias("calls"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "digest"))), lambda x: x["digest"]), "").alias("digests"))
+    surviving = open_articles(spark, sf_dir).agg(F.count("*").alias("surviving"))
+    return surviving.crossJoin(whole).select("surviving", F.coalesce("calls", F.lit(0)).alias("calls"), F.substring(F.sha2("digests", 256), 1, 16).alias("digest"))  # two single rows

@@ -99,10 +99,12 @@ CODES = """SELECT source AS code, CASE source WHEN 'src0' THEN 'main wire' WHEN
 LIMIT_BEFORE = "SELECT doc_id, source FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 100) WHERE lang = 'en'"
 LIMIT_AFTER = "SELECT doc_id, source FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 100"
 LAST_WINS = "SELECT conv_id, turn, role, sha256(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn FROM conversations) WHERE rn = 1"
-PAIRS = """WITH p AS (SELECT conv_id, turn, '[{"role":"system","content":"Answer with one object."},{"role":"user","content":"' || sha256(text) || '"}]' AS messages FROM conversations WHERE role = 'user')
+PAIRS = """WITH p AS (SELECT conv_id, turn, '[{"role":"system","content":"Answer with one object."},{"role":"user","content":' || to_json(text)::VARCHAR || '}]' AS messages FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, length(messages) AS n_chars, messages FROM p"""
 PENDING = """WITH done AS (SELECT DISTINCT source FROM documents WHERE lang = 'en' AND source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1))
 SELECT DISTINCT source, CASE WHEN source IN (SELECT source FROM done) THEN 'done' ELSE 'pending' END AS status FROM documents"""
 LOOKUP = "SELECT event_id, user_id, event_type, value FROM events WHERE event_id = 42"
-FINGERPRINT = f"""WITH {_OPEN}, p AS (SELECT article_id, source, group_key, sha256({_PROMPT}) AS d FROM fired)
-SELECT source, count(DISTINCT article_id) AS n, count(*) AS calls, left(sha256(string_agg(d, '' ORDER BY article_id, group_key)), 16) AS digest FROM p GROUP BY 1"""
+_TREE = ", ".join(f"t{k} AS (SELECT id >> 12 AS id, sha256(string_agg(d, '' ORDER BY id)) AS d FROM t{k - 1} GROUP BY 1)" for k in range(1, 6))
+FINGERPRINT = f"""WITH {_OPEN}, p AS (SELECT article_id, group_key, sha256({_PROMPT}) AS d FROM fired),
+  t0 AS (SELECT article_id AS id, sha256(string_agg(d, '' ORDER BY group_key)) AS d FROM p GROUP BY 1), {_TREE}
+SELECT (SELECT count(*) FROM opened) AS surviving, (SELECT count(*) FROM p) AS calls, left(sha256(string_agg(d, '' ORDER BY id)), 16) AS digest FROM t5"""

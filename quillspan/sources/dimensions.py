@@ -13,7 +13,7 @@ from quillspan.operators.universe import validate
 # The classes of futures.
 CLASSES = ("commodity", "currency", "government bond", "equity index", "volatility", "short-term interest rate", "US equity sector")
 FUTURE = ("exchange_name", "calcseriesname", "name", "asset_class", "curcdd", "ric")
-RECORD = "article_id string, headline string, filtered_reasons array<string>, groups array<string>, assets array<struct<name: string, ticker_symbol: string>>, paragraphs map<string, string>, mappings array<struct<group: string, asset_class: string, relevance_score: double, evidence_paragraphs: array<int>>>"
+RECORD = "article_id string, headline string, filtered_reasons array<string>, groups array<string>, assets array<struct<name: string, ticker_symbol: string>>, paragraphs map<string, string>, mappings array<struct<group: string, asset_class: string, relevance_score: double, evidence_paragraphs: array<int>>>, url string"
 
 
 def mapping_file(path: str) -> dict:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import textcols
 
 ARTICLE = "id string, headline string, paragraphs array<string>, filtered_reasons array<string>, url string, date string, source string, sport string, domain string"
+SIDECAR = "accession_number string, p_tokens long, pre_tabular_tokens long, pre_narrative_tokens long, is_tabular_body boolean"
 WEB = "title string, text string, date string, source string, sport string, url string, page_id string, domain string"
 
 
@@ -52,9 +54,31 @@ def sports_articles(spark: SparkSession, folder: str, year: str | None = None, m
     return df.where(F.size("paragraphs") > 0)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of text files, numbered from 0 in the order of paths. Splits are counted first, a row each, so that no task reads a whole file."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    splits = raw.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    offsets = splits.select("file", "at", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset"))
+    return raw.join(F.broadcast(offsets), ["file", "at"]).select((F.col("row") + F.col("offset")).alias("line"), "value")
+
+
+def tabular_sidecars(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the tabular lane's output; FileNotFoundError if there is none, for without it no article would be screened."""
+    try:
+        df = spark.read.schema(SIDECAR).option("recursiveFileLookup", True).json(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no sidecars in {folder}") from e
+    if not df.inputFiles():
+        raise FileNotFoundError(f"no sidecars in {folder}")
+    return df
+
+
 def wiki_articles(spark: SparkSession, path: str, max_articles: int | None = None) -> DataFrame:
     """JSON lines; ids are wiki_ and page_id or line number; max_articles counts articles that are kept."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where("trim(value) <> ''")
+    raw = numbered_lines(spark, path).where("trim(value) <> ''")
     df = raw.select("line", F.from_json("value", WEB).alias("x")).select("line", "x.*")
     df = df.select("line", F.concat(F.lit("wiki_"), F.coalesce("page_id", F.col("line").cast("string"))).alias("id"), F.coalesce("title", F.lit("")).alias("headline"), textcols.paragraphs(F.col("text")).alias("paragraphs"), F.lit("wikipedia").alias("source"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("domain", F.lit("")).alias("domain")).where(F.size("paragraphs") > 0)
     return df.orderBy("line").limit(max_articles) if max_articles is not None else df

@@ -108,6 +108,12 @@ def test_runs_are_written(spark, tmp_path):
     assert not (tmp_path / "b.jsonl").exists()
     back = dimensions.mapper_records(spark, out)
     assert {r.article_id: r.groups for r in back.collect()} == {"1": ["English markers"], "2": []} and dimensions.results_of(back, "1").count() == 1
+    linked = records.withColumn("url", F.when(F.col("article_id") == "1", 'http://x/"'))
+    assert sinks.write_records(linked, str(tmp_path / "u.jsonl")) == 2
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "u.jsonl")).collect()]
+    assert {x["article_id"]: x.get("url", "none") for x in lines} == {"1": 'http://x/"', "2": "none"} and all(x["headline"] is not None for x in lines)
+    with_url = mapper.run_mapper(a.withColumn("url", F.lit("")), g, prompts, keen)
+    assert [r.url for r in with_url.collect()] == [None, None]
     summary = sinks.grader_summary(mapper.grade(back, a, g, "s", strict), {})
     assert (summary["graded"], summary["incorrect"], summary["self_inconsistent"], summary["skipped"]) == (1, 1, 1, 0) and summary["by_group"]["English markers"]["correct_pct"] == 0.0
 

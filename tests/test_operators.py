@@ -33,9 +33,9 @@ def test_paragraphs(spark, text, expected):
     assert one(spark, text, textcols.paragraphs) == expected
 
 
-@pytest.mark.parametrize(("text", "fires"), [("turmoil", []), ("(oil)", ["oil"]), ("OIL!", ["oil"]), ("éoil", ["oil"]), ("the S&P 500 fell", ["spx"]), ("S&P 5000", []), ("Kit", ["kit"]), ("oil_x", ["oil"])])
+@pytest.mark.parametrize(("text", "fires"), [("turmoil", []), ("(oil)", ["oil"]), ("OIL!", ["oil"]), ("éoil", ["oil"]), ("the S&P 500 fell", ["spx"]), ("S&P 5000", []), ("Kit", ["kit"]), ("oil_x", ["oil"]), ("o\u0131l", ["oil"]), ("O\u0130L", ["oil"]), ("the \u017f&p 500", ["spx"]), ("x\u0131oil", []), ("\u039f\u0394\u039f\u03a3 gap", ["odos"])])
 def test_gate(spark, text, fires):
-    g = spark.createDataFrame([("oil", ["oil", "crude oil"]), ("spx", ["S&P 500"]), ("kit", ["kit"])], "group_key string, keywords array<string>")
+    g = spark.createDataFrame([("oil", ["oil", "crude oil"]), ("spx", ["S&P 500"]), ("kit", ["kit"]), ("odos", ["\u03bf\u03b4\u03bf\u03c3 gap"])], "group_key string, keywords array<string>")
     a = spark.createDataFrame([(1, text)], "article_id long, gate_text string")
     assert [r.group_key for r in gate.fired_pairs(a, g).collect()] == fires == [r.group_key for r in gate.theta_pairs(a, g).collect()]
 
@@ -53,6 +53,19 @@ def test_universe_checks():
     with pytest.raises(ValueError):
         universe.lookup({"g": group(), "h": group(name="a", members=[])})
     assert universe.lookup({"g": group()}) == {"G": "g", "a": "g"}
+    assert universe.constituents({"g": group()}, "g") == [("A", "a")] and universe.member_index({"g": group()}) == {"A": "g"} and universe.ticker_index({"g": group()}) == {"A": "T"}
+    with pytest.raises(KeyError):
+        universe.constituents({"g": group()}, "h")
+    with pytest.raises(ValueError):
+        universe.member_index({"g": group(), "h": group()})
+
+
+def test_listing():
+    kinds = {"ZZ": "currency", "AA": "currency", "LE": "commodity", "GC": "commodity", "CL": "commodity", "NKD": "equity index", "ES": "equity index", "Q": "other"}
+    assets = {s: {"name": s.lower(), "asset_class": c} for s, c in kinds.items()} | {"VX": {"asset_class": "volatility"}}
+    told = ["**COMMODITIES**", "- **Energy:** CL (cl)", "- **Metals:** GC (gc)", "- **Agri/Softs/Livestock:** LE (le)", "", "**CURRENCIES**", "AA (aa), ZZ (zz)", ""]
+    told += ["**EQUITY INDEX FUTURES**", "- **US:** ES (es)", "- **Asia/Other:** NKD (nkd)", "", "**VOLATILITY**", "VX (VX)", ""]
+    assert universe.listing(assets) == "\n".join(told) and universe.listing({}) == ""
 
 
 @pytest.mark.parametrize(
@@ -127,6 +140,20 @@ def test_sources(spark, tmp_path):
     assert [r.id for r in reading.wiki_articles(spark, str(tmp_path / "w.jsonl"), 2).collect()] == ["wiki_7", "wiki_3"]
     with pytest.raises(ValueError):
         reading.load_articles(spark, "nope", "x")
+    (tmp_path / "n.txt").write_text("".join(f"line {k}\n" for k in range(4000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        numbered = reading.numbered_lines(spark, str(tmp_path / "n.txt"))
+        assert numbered.rdd.getNumPartitions() > 1 and sorted((r.line, r.value) for r in numbered.collect()) == [(k, f"line {k}") for k in range(4000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    (tmp_path / "bare").mkdir()
+    for lacking in ("no", "bare"):
+        with pytest.raises(FileNotFoundError):
+            reading.tabular_sidecars(spark, str(tmp_path / lacking))
+    (tmp_path / "bare/s.jsonl").write_text('{"accession_number": "A", "is_tabular_body": true}\n')
+    assert reading.tabular_sidecars(spark, str(tmp_path / "bare")).first().is_tabular_body
     (tmp_path / "codes").mkdir()
     (tmp_path / "codes/a.csv").write_text("symbol,description\n#c,x\nK,old\n")
     (tmp_path / "codes/b.csv").write_text("K,new\n")
