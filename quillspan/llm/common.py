@@ -21,11 +21,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts go to Python in smaller Arrow batches than Spark's default, unless the session has a size of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, rows)
+def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Whole texts go to Python in smaller Arrow batches than Spark's defaults, unless the session has sizes of its own.
+
+    Batches end at either bound, so that one of very long texts holds few of them.
+    """
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
 
 
 def durable(df: DataFrame) -> DataFrame:
