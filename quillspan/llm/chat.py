@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import durable, pick
@@ -257,6 +257,10 @@ def parse_transcripts(transcripts: DataFrame, hmm: Hmm, plan: ChatPlan = ChatPla
     return t.mapInArrow(run, "conv_id long, part long, gold_roles string, n_lines long, roles string, rendered string")
 
 
+def _part(plan: ChatPlan) -> Column:
+    return F.floor(F.coalesce("turn", F.lit(0)) / plan.turns_per_part).cast("long")
+
+
 def raw_transcripts(conversations: DataFrame, plan: ChatPlan) -> DataFrame:
     """(conv_id, part, gold, gold_roles, transcript): conversations written down as people would, in one of four marker styles by conv_id, with
     the marker of every fifth turn or so left out.
@@ -264,7 +268,7 @@ def raw_transcripts(conversations: DataFrame, plan: ChatPlan) -> DataFrame:
     Turns are ordered by turn, then role and text; repeated rows count once. A part holds turns_per_part consecutive turn numbers
     of a conversation, so a huge conversation is many rows. Null roles count as user, null texts as empty, a null turn as 0.
     """
-    c = pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text").distinct()
+    c = pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
     role, text = F.coalesce("role", F.lit("user")), F.coalesce("text", F.lit(""))
     turn = F.coalesce("turn", F.lit(0))
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
@@ -275,15 +279,20 @@ def raw_transcripts(conversations: DataFrame, plan: ChatPlan) -> DataFrame:
             marker = F.when((style == k) & (role == r), shown).otherwise(marker)
     silent = (F.pmod(F.xxhash64("conv_id", turn, F.lit(1)), F.lit(5)) == 0) & (turn > 0)
     body = F.concat(F.when(silent, "").otherwise(marker), text)
-    part = F.floor(turn / plan.turns_per_part).cast("long")
-    rows = c.select("conv_id", part.alias("part"), F.struct(turn.alias("turn"), role.alias("role"), body.alias("body")).alias("x"))
-    told = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    lacking = F.array(*(F.col(x).isNull() for x in ("turn", "role", "text")))  # a null and what it counts as are two rows
+    rows = c.select("conv_id", _part(plan).alias("part"), F.struct(turn.alias("turn"), role.alias("role"), body.alias("body"), lacking.alias("lacking")).alias("x"))
+    told = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_set("x")).alias("xs"))
     return told.select("conv_id", "part", F.transform("xs", lambda x: F.struct(x["role"], x["body"])).alias("gold"), F.array_join(F.transform("xs", lambda x: x["role"]), ",").alias("gold_roles"), F.array_join(F.transform("xs", lambda x: x["body"]), "\n").alias("transcript"))
 
 
 def chat_query(conversations: DataFrame, plan: ChatPlan = ChatPlan()) -> DataFrame:
     """A row per part of a conversation: conv_id, part, n_lines, gold_roles as written, roles as recovered, rendered chat. An empty table gives an empty one; extra columns don't matter."""
     raw = raw_transcripts(conversations, plan)
-    sample = raw.orderBy(F.xxhash64("conv_id"), "conv_id", "part").select(F.slice("gold", 1, plan.sample_turns).alias("gold")).limit(plan.sample).collect()
+    # the keys of the sample first, so that no other text is read for it
+    keys = raw.select("conv_id", "part").orderBy(F.xxhash64("conv_id"), "conv_id", "part").limit(plan.sample)
+    keys = F.broadcast(raw.sparkSession.createDataFrame(keys.collect(), "c long, p long"))  # plan.sample rows at most
+    bare = pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
+    few = bare.join(keys, F.col("conv_id").eqNullSafe(F.col("c")) & (_part(plan) == F.col("p")), "left_semi")
+    sample = raw_transcripts(few, plan).select(F.slice("gold", 1, plan.sample_turns).alias("gold")).collect()
     hmm = fit([[(t["role"], [x for x in t["body"].split("\n") if x.strip()]) for t in r["gold"]] for r in sample])
     return parse_transcripts(raw, hmm, plan)
