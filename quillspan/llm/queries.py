@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import chat, decontam, extract, language, lines, mixing, pii, quality, simhash, sketch
+from quillspan.llm import chat, credentials, decontam, extract, language, lines, mixing, periodic, pii, quality, repair, simhash, sketch
 from quillspan.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from quillspan.sources.reading import table
 
@@ -53,4 +53,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_fingerprints, op4_html_extraction, op5_chat_formatting, op6_source_mixing, op7_quality, op8_language, op9_simhash, op10_decontamination)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs_query(_table(spark, sf_dir, "documents"))
+
+
+def op12_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.secrets_query(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_query(_table(spark, sf_dir, "conversations"))
+
+
+OPERATORS = (op1_line_dedup, op2_pii, op3_fingerprints, op4_html_extraction, op5_chat_formatting, op6_source_mixing, op7_quality, op8_language, op9_simhash, op10_decontamination, op11_periodic_runs, op12_credentials, op13_conversation_repair)
+QUERIES = {f.__name__: f for f in OPERATORS}

@@ -1,11 +1,12 @@
 """Queries of the corpus operators against their SQL."""
 
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from quillspan.llm import decontam
+from quillspan.llm import decontam, repair
 from quillspan.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -47,3 +48,18 @@ def test_slots(spark):
     found = same(decontam.leaks(d, b), db, "op10_decontamination")
     pairs = {(r[0], r[1]) for r in found}
     assert pairs >= {(1, 1), (7, 1), (8, 6), (9, 7), (10, 7), (11, 8), (13, 9)} and (12, 8) not in pairs
+
+
+def test_conversations(spark):
+    """Nulls, ties, repeated rows, unknown roles, gaps and conversations of many turns."""
+    rng = random.Random(6)
+    roles, texts = ["user", "assistant", "system", "tool", "", None, "sys"], ["Yes.", "no", "", " \t", "Well! ", None, "a?"]
+    rows = [(c, None if rng.random() < 0.05 else k * rng.choice([1, 1, 2]), ("user", "assistant")[k % 2] if rng.random() < 0.6 else rng.choice(roles), f"text {k}." if rng.random() < 0.6 else rng.choice(texts)) for c in [*range(150), None] for k in range(rng.randint(1, 14))]
+    rows += rows[:20]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = repair.repair_query(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    cur = db.execute(ORACLE_SQL["op13_conversation_repair"])
+    assert [d[0] for d in cur.description] == found.columns
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, cur.fetchall()))
