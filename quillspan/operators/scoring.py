@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import ladder
 
 SHARES = 4096  # of a class, dealt apart
+BATCH_CHARS = 4_000_000
 Backend = Callable[[list[tuple[str, str]]], list[str]]
 
 
@@ -19,26 +22,73 @@ def stub_backend() -> Backend:
     return lambda prompts: ['{"evidence_paragraphs": [], "relevance_score": 0.0, "relevant": false}' for _ in prompts]
 
 
-def score(tasks: DataFrame, make_backend: Callable[[], Backend], parse=ladder.parse_mapper) -> DataFrame:
+def keyword_backend(keywords: dict[str, list[str]]) -> Callable[[], Backend]:
+    """A backend for groups by name: evidence are the paragraphs with a keyword of the group, the score is their share."""
+    found_by = {g: re.compile("(?<![A-Za-z0-9])(?:" + "|".join(map(re.escape, ks)) + ")(?![A-Za-z0-9])", re.IGNORECASE) for g, ks in keywords.items()}
+
+    def answer(user: str) -> str:
+        article, _, group = user.rpartition("\n\n[ASSET_GROUP] ")
+        body = article.partition("\n\n[ARTICLE]\n")[2].removesuffix("\n[/ARTICLE]")
+        paragraphs = [p.partition("] ")[2] for p in body.split("\n\n")] if body else []
+        hits = [k for k, p in enumerate(paragraphs) if found_by[group.partition(" | ")[0]].search(p)]
+        return json.dumps({"evidence_paragraphs": hits, "relevance_score": len(hits) / max(len(paragraphs), 1), "relevant": bool(hits)})
+
+    return lambda: lambda prompts: [answer(user) for _, user in prompts]
+
+
+def packed(rows: Iterable[tuple[str, str, str]], most_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """Rows (class, system, user) as batches of (system, user): a batch ends where the class changes, or where one more user prompt
+    would take it over the budget; system prompts, one a class, count once."""
+    batch: list[tuple[str, str]] = []
+    kind, size = None, 0
+    for of, system, user in rows:
+        if batch and (of != kind or size + len(user) > most_chars):
+            yield batch
+            batch, size = [], 0
+        if not batch:
+            kind, size = of, len(system)
+        batch.append((system, user))
+        size += len(user)
+    if batch:
+        yield batch
+
+
+def score(tasks: DataFrame, make_backend: Callable[[], Backend], parse=ladder.parse_mapper, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """tasks (system, user, ...) with `result`. A backend is made once a worker; ValueError if it answers out of number.
 
-    Where tasks have an asset_class, those of one class and article follow each other, dealt by both so that no class is one task: a
-    real backend can share its prompts' prefixes.
+    Where tasks have an asset_class, those of one class and article follow each other, dealt by both so that no class is one task, and
+    no batch of the backend holds two classes: its prompts share a prefix. Batches go on over Spark's own Arrow batches, whose size
+    thus has no effect on them.
     """
 
     @F.pandas_udf("string")
-    def raw(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        backend = make_backend()
-        for system, user in batches:
-            answers = backend(list(zip(system, user, strict=True))) if len(system) else []
-            if len(answers) != len(system):
-                raise ValueError(f"{len(answers)} answers to {len(system)} prompts")
-            yield pd.Series(answers, dtype="object")
-
-    if {"asset_class", "article_id"} <= set(tasks.columns) or {"asset_class", "id"} <= set(tasks.columns):
-        key = "id" if "id" in tasks.columns else "article_id"
+    def raw(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        backend, answers, sizes = make_backend(), [], []
+
+        def rows() -> Iterator[tuple[str, str, str]]:
+            for kind, system, user in batches:
+                sizes.append(len(system))
+                yield from zip(kind, system, user, strict=True)
+
+        def whole() -> Iterator[pd.Series]:
+            while sizes and len(answers) >= sizes[0]:
+                n = sizes.pop(0)
+                yield pd.Series(answers[:n], dtype="object")
+                del answers[:n]
+
+        for prompts in packed(rows(), batch_chars):
+            got = backend(prompts)
+            if len(got) != len(prompts):
+                raise ValueError(f"{len(got)} answers to {len(prompts)} prompts")
+            answers += got
+            yield from whole()
+        yield from whole()
+
+    kind = F.lit("")
+    if "asset_class" in tasks.columns and {"article_id", "id"} & set(tasks.columns):
+        key, kind = "id" if "id" in tasks.columns else "article_id", F.col("asset_class")
         tasks = tasks.repartition("asset_class", F.pmod(F.xxhash64(key), F.lit(SHARES))).sortWithinPartitions("asset_class", key)
-    return tasks.withColumn("raw", raw("system", "user")).withColumn("result", parse(F.col("raw")))
+    return tasks.withColumn("raw", raw(kind, F.col("system"), F.col("user"))).withColumn("result", parse(F.col("raw")))
 
 
 def class_prompts(template: str, rules: dict[str, str], needed: set[str]) -> dict[str, str]:

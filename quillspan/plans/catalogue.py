@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import ladder, tabular, textcols
-from quillspan.operators import gate, mapper, universe
+from quillspan.operators import mapper, scoring, universe
 from quillspan.plans import oracle
-from quillspan.sources import dimensions
+from quillspan.sources import dimensions, reading
 from quillspan.sources.reading import table
 
 QUERIES: dict = {}
@@ -26,12 +29,12 @@ def query(sql: str | None = None):
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(article_id, source, headline, paragraphs, filtered_reasons, gate_text) of the documents."""
+    """(article_id, source, headline, paragraphs, filtered_reasons) of the documents."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "source", "text")
     bars = F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))
     reasons = F.array_compact(F.array(F.when(F.length("text") < 200, "short"), F.when(bars > 10, "pipe_table")))
     d = d.select("article_id", "source", F.substring_index("text", "\n", 1).alias("headline"), textcols.paragraphs(F.col("text")).alias("paragraphs"), reasons.alias("filtered_reasons"))
-    return d.withColumn("gate_text", textcols.gate_text(F.col("headline"), F.col("paragraphs")))
+    return d
 
 
 def groups(spark: SparkSession, mapper: bool = True) -> DataFrame:
@@ -64,23 +67,23 @@ def paragraph_stats(spark, sf_dir):
     return a.groupBy("source").agg(F.count("*").alias("n_articles"), F.sum("n").alias("n_paragraphs"), F.sum("chars").alias("n_chars"), F.max("n").alias("most"))
 
 
+def prepared(spark, sf_dir) -> DataFrame:
+    """The lane's articles (id, ...) with the keys that their gate fires."""
+    return mapper.with_fired(articles(spark, sf_dir).withColumnRenamed("article_id", "id"), groups(spark))
+
+
 @query(oracle.FIRES)
 def gate_fires(spark, sf_dir):
-    a = open_articles(spark, sf_dir)
-    every = a.select("article_id", F.lit(None).cast("string").alias("group_key"))
-    fired = gate.fired_pairs(a, groups(spark)).unionByName(every).groupBy("article_id").agg(F.array_sort(F.collect_set("group_key")).alias("fired"))
-    return fired.select("article_id", F.array_join("fired", ",").alias("groups"))
+    fired = prepared(spark, sf_dir).where(F.size("filtered_reasons") == 0)
+    return fired.select(F.col("id").alias("article_id"), F.array_join("fired", ",").alias("groups"))
 
 
 @query(oracle.GATE_STATS)
 def gate_stats(spark, sf_dir):
-    a, g = open_articles(spark, sf_dir), groups(spark)
-    fired = gate.fired_pairs(a, g)
-    made = fired.agg(F.count("*").alias("calls_made"))
-    tried = a.agg(F.count("*").alias("n")).crossJoin(g.agg(F.count("*").alias("m")))  # two single rows
-    x = tried.crossJoin(made).select("calls_made", (F.col("n") * F.col("m") - F.col("calls_made")).alias("calls_skipped"))
-    total = F.col("calls_made") + F.col("calls_skipped")
-    return x.withColumn("calls_saved_pct", F.when(total > 0, 100.0 * F.col("calls_skipped") / total).otherwise(0.0))
+    is_open = F.size("filtered_reasons") == 0
+    x = prepared(spark, sf_dir).agg((F.count_if(is_open) * groups(spark).count()).alias("n"), F.coalesce(F.sum(F.size("fired")), F.lit(0)).alias("calls_made"))
+    skipped = F.col("n") - F.col("calls_made")
+    return x.select("calls_made", skipped.alias("calls_skipped"), F.when(F.col("n") > 0, 100.0 * skipped / F.col("n")).otherwise(0.0).alias("calls_saved_pct"))
 
 
 @query(oracle.UNGATED)
@@ -89,23 +92,26 @@ def cross_fanout_ungated(spark, sf_dir):
     return pairs.groupBy("asset_class", "group_key").agg(F.count("*").alias("n_tasks"), F.sum("article_id").cast("long").alias("sum_ids"))
 
 
+def asked(spark, sf_dir) -> DataFrame:
+    """The mapper lane's tasks, one prompt each."""
+    g = groups(spark)
+    prompts = {r[0]: "Answer with one object." for r in g.select("asset_class").distinct().collect()}
+    return mapper.mapper_tasks(prepared(spark, sf_dir), g, prompts)
+
+
 def tasks(spark, sf_dir) -> DataFrame:
-    """Gated tasks with the stub scorer's answer: paragraphs with a keyword, their share, relevant if there is one."""
-    a, g = open_articles(spark, sf_dir), groups(spark)
-    dim = g.select("group_key", "name", "asset_class", "members", gate.pattern(F.col("keywords")).alias("pattern"))
-    t = gate.fired_pairs(a, g).join(a, "article_id").join(F.broadcast(dim), "group_key")
-    hit = F.expr("filter(sequence(0, size(paragraphs) - 1), i -> paragraphs[i] rlike pattern)")
-    t = t.withColumn("evidence", F.when(F.size("paragraphs") > 0, hit).otherwise(F.array().cast("array<int>")))
-    return t.withColumn("relevance_score", F.size("evidence") / F.greatest(F.size("paragraphs"), F.lit(1))).withColumn("relevant", F.size("evidence") > 0)
+    """The lane's tasks with the keyword scorer's answers."""
+    return scoring.score(asked(spark, sf_dir), scoring.keyword_backend({g["name"]: g["keywords"] for g in universe.FIXTURE.values()}))
+
+
+def records(spark, sf_dir) -> DataFrame:
+    """The lane's records: one for each article, screened and untagged ones too."""
+    return mapper.records_of(articles(spark, sf_dir).withColumnRenamed("article_id", "id"), tasks(spark, sf_dir))
 
 
 @query(oracle.PROMPT)
 def render_article_prompt(spark, sf_dir):
-    a, g = open_articles(spark, sf_dir), groups(spark)
-    label = textcols.group_label(F.col("name"), F.col("asset_class"), F.col("members"))
-    t = gate.fired_pairs(a, g).join(a, "article_id").join(F.broadcast(g.select("group_key", label.alias("label"))), "group_key")
-    prompt = textcols.mapper_prompt(textcols.article_block(F.col("headline"), F.col("paragraphs")), F.col("label"))
-    return t.select("article_id", "group_key", F.length(prompt).cast("long").alias("n_chars"), F.sha2(prompt, 256).alias("digest"))
+    return asked(spark, sf_dir).select(F.col("id").alias("article_id"), "group_key", F.length("user").cast("long").alias("n_chars"), F.sha2("user", 256).alias("digest"))
 
 
 @query(oracle.REASONS)
@@ -115,41 +121,33 @@ def screen_reasons(spark, sf_dir):
 
 @query(oracle.STUB)
 def stub_map(spark, sf_dir):
-    return tasks(spark, sf_dir).select("article_id", "group_key", _joined(F.col("evidence")).alias("evidence"), "relevance_score", "relevant")
-
-
-def mapper_rows(spark, sf_dir) -> DataFrame:
-    """One row for each article, screened and untagged ones too, mappings in the order of their group keys."""
-    found = tasks(spark, sf_dir).where("relevant")
-    one = F.struct("group_key", "name", "asset_class", "members", "evidence", "relevance_score")
-    per = found.groupBy("article_id").agg(F.array_sort(F.collect_list(one)).alias("mappings"))
-    return articles(spark, sf_dir).join(per, "article_id", "left")
+    return tasks(spark, sf_dir).select(F.col("id").alias("article_id"), "group_key", _joined(F.col("result.evidence_paragraphs")).alias("evidence"), "result.relevance_score", "result.relevant")
 
 
 @query(oracle.RECORDS)
 def mapper_records(spark, sf_dir):
-    m = F.coalesce("mappings", F.expr("cast(array() as array<struct<group_key: string, name: string, asset_class: string, members: array<struct<name: string, ticker_symbol: string, short_name: string>>, evidence: array<int>, relevance_score: double>>)"))
-    r = mapper_rows(spark, sf_dir).withColumn("m", m)
-    used = F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: x["evidence"]))))
-    assets = F.flatten(F.transform("m", lambda x: F.transform(x["members"], lambda a: F.concat(a["name"], F.lit("/"), a["ticker_symbol"]))))
-    shown = F.transform("m", lambda x: F.concat(x["group_key"], F.lit(":"), x["asset_class"], F.lit(":"), _joined(x["evidence"], "+")))
+    r = records(spark, sf_dir)
+    key = F.create_map(*(F.lit(x) for k, g in universe.FIXTURE.items() for x in (g["name"], k)))
+    assets = F.transform("assets", lambda a: F.concat(a["name"], F.lit("/"), a["ticker_symbol"]))
+    shown = F.transform("mappings", lambda m: F.concat(key[m["group"]], F.lit(":"), m["asset_class"], F.lit(":"), _joined(m["evidence_paragraphs"], "+")))
+    used = F.array_sort(F.transform(F.map_keys("paragraphs"), lambda k: k.cast("int")))
     return r.select(
-        "article_id", "headline", _joined(F.col("filtered_reasons")).alias("reasons"), _joined(F.transform("m", lambda x: x["name"])).alias("groups"), F.array_join(assets, ",").alias("assets"), F.array_join(shown, ";").alias("mappings"), _joined(used).alias("evidence")
+        "article_id", "headline", _joined(F.col("filtered_reasons")).alias("reasons"), F.array_join("groups", ",").alias("groups"), F.array_join(assets, ",").alias("assets"), F.array_join(shown, ";").alias("mappings"), _joined(used).alias("evidence")
     )
 
 
 @query(oracle.ROLLUP)
 def mapper_rollup(spark, sf_dir):
-    found = tasks(spark, sf_dir).where("relevant")
-    reasons = screen_reasons(spark, sf_dir).select(F.lit("reason").alias("dimension"), F.col("reason").alias("key"), "n")
-    return _by(found, F.count("*").alias("n")).unionByName(reasons)
+    side = lambda d, key: F.struct(F.lit(d).alias("dimension"), key.alias("key"))
+    sides = F.concat(F.transform("mappings", lambda m: side("asset_class", m["asset_class"])), F.transform("mappings", lambda m: side("group", m["group"])), F.transform("filtered_reasons", lambda r: side("reason", r)))
+    return records(spark, sf_dir).select(F.explode(sides).alias("side")).groupBy("side.dimension", "side.key").agg(F.count("*").alias("n"))
 
 
 @query(oracle.TOTALS)
 def mapper_totals(spark, sf_dir):
-    """Articles, screened ones and mappings of a run, in one pass over its rows."""
-    r = mapper_rows(spark, sf_dir)
-    return r.agg(F.count("*").alias("total_articles"), F.count_if(F.size("filtered_reasons") > 0).alias("filtered_articles"), F.coalesce(F.sum(F.size(F.coalesce("mappings", F.array().cast(r.schema["mappings"].dataType)))), F.lit(0)).cast("long").alias("total_mappings"))
+    """Articles, screened ones and mappings of a run, in one pass over its records."""
+    r = records(spark, sf_dir)
+    return r.agg(F.count("*").alias("total_articles"), F.count_if(F.size("filtered_reasons") > 0).alias("filtered_articles"), F.coalesce(F.sum(F.size("mappings")), F.lit(0)).cast("long").alias("total_mappings"))
 
 
 @query(oracle.RESULTS_OF)
@@ -169,23 +167,46 @@ def universe_mismatch(spark, sf_dir):
 
 @query(oracle.EVIDENCE)
 def evidence_lookup(spark, sf_dir):
-    t = tasks(spark, sf_dir).where("relevant").select("article_id", "paragraphs", F.explode("evidence").alias("i")).distinct()
-    # a negative index counts from the end, one beyond the text is dropped
-    return t.where(F.col("i") < F.size("paragraphs")).select("article_id", F.col("i").cast("string").alias("paragraph"), F.try_element_at("paragraphs", F.when(F.col("i") >= 0, F.col("i") + 1).otherwise(F.col("i"))).alias("text"))
+    return records(spark, sf_dir).select("article_id", F.explode("paragraphs").alias("paragraph", "text"))
+
+
+def labelled(spark, sf_dir) -> DataFrame:
+    """Source articles for the grader: labelled documents, a row for each label, the last of an id to count."""
+    label = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic", F.struct("quality", "toxic").alias("ord"))
+    return label.join(articles(spark, sf_dir).withColumnRenamed("article_id", "id"), "id", "left")
 
 
-def graded(spark, sf_dir) -> DataFrame:
-    """Each mapping of the mapper with its source article (labelled documents, the last of an id) and group, or why it is skipped."""
-    src = table(spark, sf_dir, "labels").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("quality"), F.desc("toxic")))).where("rn = 1")
-    known = groups(spark, mapper=False).where("group_key <> 'spanish'").select(F.col("name").alias("known"))
-    t = tasks(spark, sf_dir).where("relevant").select("article_id", "group_key", "name", "asset_class", "members", "headline", "paragraphs", "evidence", "relevance_score")
-    t = t.join(src.select(F.col("doc_id").alias("article_id"), "quality", "toxic"), "article_id", "left").join(F.broadcast(known), F.col("name") == F.col("known"), "left")
-    return t.withColumn("skip_reason", F.when(F.col("quality").isNull(), "article_not_in_source").when(F.col("known").isNull(), "group_not_in_universe"))
+def told_sources(spark, sf_dir) -> DataFrame:
+    """The same, their labels and their number of paragraphs written out as the text that the label grader reads."""
+    told = F.array(*(F.concat(F.lit(f"{name} "), value.cast("string")) for name, value in (("quality", F.col("quality")), ("toxic", F.col("toxic")), ("paragraphs", F.coalesce(F.size("paragraphs"), F.lit(0))))))
+    return labelled(spark, sf_dir).select("id", "headline", told.alias("paragraphs"), "ord")
+
+
+def label_backend():
+    """Toxic articles are graded incorrect, poor ones at half the mapper's score, which is the share of the paragraphs cited."""
+
+    def answer(user: str) -> str:
+        value = {name: int(re.search(rf"^\[[0-9]\] {name} (\d+)$", user, re.MULTILINE)[1]) for name in ("quality", "toxic", "paragraphs")}
+        cited = user.partition("[MAPPER_EVIDENCE]\n")[2].partition("\n")[0]
+        n = 0 if cited == mapper.NO_EVIDENCE else cited.count(",") + 1
+        score = n / max(value["paragraphs"], 1)
+        return json.dumps({"relevance_score": score if value["quality"] == 1 else score / 2, "verdict": "incorrect" if value["toxic"] == 1 else "correct"})
+
+    return lambda prompts: [answer(user) for _, user in prompts]
+
+
+def known_groups(spark) -> DataFrame:
+    return groups(spark, mapper=False).where("group_key <> 'spanish'")
+
+
+def graded(spark, sf_dir, sources=told_sources) -> DataFrame:
+    """The grader lane's tasks: each mapping of the mapper with its prompt, or why it is skipped."""
+    return mapper.grader_tasks(records(spark, sf_dir), sources(spark, sf_dir), known_groups(spark), "Answer with one object.")
 
 
 @query(oracle.GRADE_TASKS)
 def grade_tasks(spark, sf_dir):
-    return graded(spark, sf_dir).where("skip_reason is null").select("article_id", F.col("name").alias("group_name"), "asset_class", "headline", "relevance_score", _joined(F.col("evidence")).alias("evidence"))
+    return graded(spark, sf_dir).where("skip_reason is null").select("article_id", "group_name", "asset_class", "headline", F.col("mapper_score").alias("relevance_score"), _joined(F.col("mapper_evidence")).alias("evidence"))
 
 
 @query(oracle.GRADE_SKIPS)
@@ -194,34 +215,26 @@ def grade_skips(spark, sf_dir):
 
 
 def verdicts(spark, sf_dir) -> DataFrame:
-    """The stub grader: toxic articles are graded incorrect, poor ones at half the mapper's score."""
-    return judged(graded(spark, sf_dir).where("skip_reason is null"))
-
-
-def judged(g: DataFrame) -> DataFrame:
-    g = g.withColumn("verdict", F.when(F.col("toxic") == 1, "incorrect").otherwise("correct")).withColumn("grader_score", F.when(F.col("quality") == 1, F.col("relevance_score")).otherwise(F.col("relevance_score") / 2))
-    gap = F.abs(F.col("relevance_score") - F.col("grader_score"))
-    return g.withColumn("self_inconsistent", F.when(F.col("verdict") == "correct", gap > 0.40).otherwise(gap < 0.15))
+    """The grader lane's rows, those that it skips too."""
+    return mapper.grade(records(spark, sf_dir), told_sources(spark, sf_dir), known_groups(spark), "Answer with one object.", label_backend)
 
 
 @query(oracle.SELF)
 def self_consistency(spark, sf_dir):
-    return verdicts(spark, sf_dir).select("article_id", F.col("name").alias("group_name"), "verdict", "grader_score", "self_inconsistent")
+    return verdicts(spark, sf_dir).where("skip_reason is null").select("article_id", "group_name", "verdict", "grader_score", "self_inconsistent")
 
 
 @query(oracle.SIDECAR)
 def grader_sidecar(spark, sf_dir):
-    done = F.col("skip_reason").isNull()  # one pass: what is skipped has no verdict but that
-    v = judged(graded(spark, sf_dir))
-    return v.select("article_id", F.col("name").alias("group_name"), "asset_class", F.when(done, F.col("verdict")).otherwise("skipped").alias("verdict"), F.when(done, F.col("grader_score")).alias("grader_score"), "skip_reason")
+    return verdicts(spark, sf_dir).select("article_id", "group_name", "asset_class", "verdict", "grader_score", "skip_reason")
 
 
 @query(oracle.GRADER_ROLLUP)
 def grader_rollup(spark, sf_dir):
-    v = verdicts(spark, sf_dir)
+    v = verdicts(spark, sf_dir).where("skip_reason is null").withColumnRenamed("group_name", "name")
     right = F.count_if(F.col("verdict") == "correct")
-    counts = [F.count("*").alias("total"), right.alias("correct"), F.count_if(F.col("verdict") == "incorrect").alias("incorrect"), F.count_if("self_inconsistent").alias("self_inconsistent"), F.bround(F.lit(100.0) * right / F.count("*"), 2).alias("correct_pct")]
-    return _by(v, *counts)
+    counts = [F.count("*").alias("total"), right.alias("correct"), F.count_if(F.col("verdict") == "incorrect").alias("incorrect"), F.count_if("self_inconsistent").alias("self_inconsistent"), (F.lit(100.0) * right / F.count("*")).alias("pct")]
+    return _by(v, *counts).withColumn("correct_pct", ladder.two_decimals("pct").cast("double")).drop("pct")
 
 
 def _by(df: DataFrame, *counts: Column) -> DataFrame:
@@ -230,12 +243,22 @@ def _by(df: DataFrame, *counts: Column) -> DataFrame:
     return df.withColumn("side", F.explode(sides)).groupBy("side.dimension", "side.key").agg(*counts)
 
 
-@query()
+@query(oracle.MESSAGE)
 def grader_message(spark, sf_dir):
     """The text that a grader reads for each claim."""
-    g = graded(spark, sf_dir).where("skip_reason is null")
-    claim = mapper.claim_block(F.col("name"), F.col("asset_class"), F.transform("members", lambda m: m["name"]), F.col("relevance_score"), F.col("evidence"))
-    return g.select("article_id", F.col("name").alias("group_name"), F.concat(textcols.article_block(F.col("headline"), F.col("paragraphs")), claim).alias("message"))
+    g = graded(spark, sf_dir, labelled).where("skip_reason is null")
+    return g.select("article_id", "group_name", F.col("user").alias("message"))
+
+
+@query(oracle.LENGTHS)
+def length_filter(spark, sf_dir):
+    """What a length filter of 120 tokens keeps and drops of each source, at one character a token: texts of up to 120 characters
+    pass unmeasured, in others runs of letters, runs of digits and other marks count."""
+    limit = 120
+    tokens = lambda text: F.regexp_count(text, F.lit(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"))
+    d = table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select("source", (F.length("text") <= limit).alias("short"), reading.measured(F.col("text"), limit, 1.0, tokens).alias("kept"))
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if("short").alias("unmeasured"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
 
 
 @query(oracle.NML_P)

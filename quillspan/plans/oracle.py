@@ -60,6 +60,13 @@ graded AS (SELECT t.*, s.quality, s.toxic, CASE WHEN s.doc_id IS NULL THEN 'arti
   FROM (SELECT * FROM tasks WHERE relevant) t LEFT JOIN src s ON s.doc_id = t.article_id LEFT JOIN (SELECT name FROM groups WHERE group_key <> 'spanish') k ON k.name = t.name),
 v AS (SELECT *, CASE WHEN toxic = 1 THEN 'incorrect' ELSE 'correct' END AS verdict, CASE WHEN quality = 1 THEN relevance_score ELSE relevance_score / 2 END AS grader_score FROM graded WHERE skip_reason IS NULL),
 w AS (SELECT *, CASE WHEN verdict = 'correct' THEN abs(relevance_score - grader_score) > 0.40::DOUBLE ELSE abs(relevance_score - grader_score) < 0.15::DOUBLE END AS self_inconsistent FROM v)"""
+_CITED = "array_to_string(list_transform(paragraphs, lambda p, i: '[' || (i - 1) || '] ' || p), chr(10) || chr(10))"
+MESSAGE = f"""WITH {_GRADED} SELECT article_id, name AS group_name, '[HEADLINE] ' || headline || chr(10) || chr(10) || '[ARTICLE]' || chr(10) || {_CITED} || chr(10) || '[/ARTICLE]' || chr(10) || chr(10)
+  || '[MAPPER_CLAIM]' || chr(10) || 'Asset group: ' || name || chr(10) || 'Asset class: ' || asset_class || chr(10) || 'Members: ' || array_to_string(member_names, ', ') || chr(10)
+  || 'Mapper relevance score: ' || printf('%.2f', relevance_score) || chr(10) || '[/MAPPER_CLAIM]' || chr(10) || chr(10) || '[MAPPER_EVIDENCE]' || chr(10) || array_to_string(evidence, ', ') || chr(10) || '[/MAPPER_EVIDENCE]' AS message
+FROM graded WHERE skip_reason IS NULL"""
+LENGTHS = """WITH x AS (SELECT source, length(coalesce(text, '')) <= 120 AS short, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{M}]+|\\p{N}+|[^\\s\\p{L}\\p{M}\\p{N}]')) <= 120 AS few FROM documents)
+SELECT source, count(*) AS n, count(*) FILTER (short) AS unmeasured, count(*) FILTER (short OR few) AS kept, count(*) FILTER (NOT (short OR few)) AS dropped FROM x GROUP BY 1"""
 GRADE_TASKS = f"WITH {_GRADED} SELECT article_id, name AS group_name, asset_class, headline, relevance_score, array_to_string(evidence, ',') AS evidence FROM graded WHERE skip_reason IS NULL"
 GRADE_SKIPS = f"WITH {_GRADED} SELECT skip_reason, count(*) AS n FROM graded WHERE skip_reason IS NOT NULL GROUP BY 1"
 SELF = f"WITH {_GRADED} SELECT article_id, name AS group_name, verdict, grader_score, self_inconsistent FROM w"

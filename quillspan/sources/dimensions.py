@@ -68,6 +68,11 @@ def prompt_texts(folder: str, names: dict[str, str]) -> dict[str, str]:
     return {c: (Path(folder) / f).read_text() for c, f in names.items()}
 
 
+def rule_texts(store, folder: str) -> dict[str, str]:
+    """The rules of each class: the text files of a folder in any store, named after their class with _ for spaces."""
+    return {e.name.removesuffix(".txt").replace("_", " "): store.read(e.path) for e in store.listing(folder, "*.txt")}
+
+
 def mapper_records(spark: SparkSession, path: str) -> DataFrame:
     """A mapper's output: JSON lines, blank ones ignored."""
     return spark.read.schema(RECORD).json(path)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import textcols
 
-ARTICLE = "id string, headline string, paragraphs array<string>, filtered_reasons array<string>, url string, date string, source string, sport string, domain string"
+ARTICLE = "id string, headline string, paragraphs array<string>, filtered_reasons array<string>, url string, date string, source string, sport string, domain string, text string"
+SHARD = "*_clean.jsonl"
 SIDECAR = "accession_number string, p_tokens long, pre_tabular_tokens long, pre_narrative_tokens long, is_tabular_body boolean"
 WEB = "title string, text string, date string, source string, sport string, url string, page_id string, domain string"
 
@@ -28,17 +29,27 @@ def gold_articles(spark: SparkSession, folder: str) -> DataFrame:
     return df.withColumn("ord", F.col("_metadata.file_path"))
 
 
-def within_tokens(df: DataFrame, max_tokens: int | None, chars_per_token: float, count_tokens=None) -> DataFrame:
-    """Rows whose text has at most max_tokens tokens. Short texts pass unmeasured; only long ones reach count_tokens, a column function."""
+def measured(text: Column, max_tokens: int, chars_per_token: float, count_tokens) -> Column:
+    """Whether a text has at most max_tokens tokens. Short texts pass unmeasured; only long ones reach count_tokens, a column
+    function: for the others it gets null, which costs its worker nothing."""
+    limit = int(max_tokens * chars_per_token)
+    return (F.length(text) <= limit) | (count_tokens(F.when(F.length(text) > limit, text)) <= max_tokens)
+
+
+def within_tokens(df: DataFrame, max_tokens: int | None, chars_per_token: float, count_tokens=None, text: Column | None = None) -> DataFrame:
+    """Rows whose text, a column of that name unless told otherwise, has at most max_tokens tokens; null texts count as empty.
+
+    Without count_tokens a long text raises ValueError.
+    """
     if max_tokens is None:
         return df
-    limit = int(max_tokens * chars_per_token)
-    short, long = df.where(F.length("text") <= limit), df.where(F.length("text") > limit)
-    if count_tokens is None:
-        if long.limit(1).count():
-            raise ValueError("texts beyond the unmeasured length need a tokenizer")
-        return short
-    return short.unionByName(long.where(count_tokens(F.col("text")) <= max_tokens))
+    text = F.coalesce(F.col("text") if text is None else text, F.lit(""))
+    if count_tokens is not None:
+        return df.where(measured(text, max_tokens, chars_per_token, count_tokens))
+    long = F.length(text) > int(max_tokens * chars_per_token)
+    if df.where(long).limit(1).count():
+        raise ValueError("texts beyond the unmeasured length need a tokenizer")
+    return df.where(~long)
 
 
 def sports_articles(spark: SparkSession, folder: str, year: str | None = None, max_articles: int | None = None, max_tokens: int | None = None, chars_per_token: float = 2.0, count_tokens=None) -> DataFrame:
@@ -64,51 +75,102 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tabular_sidecars(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the tabular lane's output; FileNotFoundError if there is none, for without it no article would be screened."""
+    """Rows of the tabular lane's output. FileNotFoundError if there is no such folder, for with a wrong path no article would be
+    screened; a folder that lacks some months, or all, screens nothing of them."""
     try:
-        df = spark.read.schema(SIDECAR).option("recursiveFileLookup", True).json(folder)
+        return spark.read.schema(SIDECAR).option("recursiveFileLookup", True).json(folder)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        raise FileNotFoundError(f"no sidecars in {folder}") from e
-    if not df.inputFiles():
-        raise FileNotFoundError(f"no sidecars in {folder}")
-    return df
+        raise FileNotFoundError(f"no sidecars in {folder}: a wrong path") from e
 
 
 def wiki_articles(spark: SparkSession, path: str, max_articles: int | None = None) -> DataFrame:
     """JSON lines; ids are wiki_ and page_id or line number; max_articles counts articles that are kept."""
     raw = numbered_lines(spark, path).where("trim(value) <> ''")
     df = raw.select("line", F.from_json("value", WEB).alias("x")).select("line", "x.*")
-    df = df.select("line", F.concat(F.lit("wiki_"), F.coalesce("page_id", F.col("line").cast("string"))).alias("id"), F.coalesce("title", F.lit("")).alias("headline"), textcols.paragraphs(F.col("text")).alias("paragraphs"), F.lit("wikipedia").alias("source"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("domain", F.lit("")).alias("domain")).where(F.size("paragraphs") > 0)
+    df = df.select("line", F.concat(F.lit("wiki_"), F.coalesce("page_id", F.col("line").cast("string"))).alias("id"), F.coalesce("title", F.lit("")).alias("headline"), textcols.paragraphs(textcols.clean_web_text(F.coalesce("text", F.lit("")))).alias("paragraphs"), F.lit("wikipedia").alias("source"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("domain", F.lit("")).alias("domain")).where(F.size("paragraphs") > 0)
     return df.orderBy("line").limit(max_articles) if max_articles is not None else df
 
 
-def wire_articles(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, tabular: DataFrame | None = None, max_articles: int | None = None, seed: int | None = None) -> DataFrame:
-    """Wire shards as far as their contract is known: months within bounds, screened rows kept with reasons, tabular bodies by join."""
-    df = spark.read.schema(ARTICLE).json(path).withColumn("month", F.concat_ws("-", F.substring("id", 1, 4), F.substring("id", 5, 2)))
-    for bound, keep in ((start, lambda m, b: m >= b), (end, lambda m, b: m <= b)):
-        df = df.where(keep(F.col("month"), F.lit(bound))) if bound else df
-    reasons = F.coalesce("filtered_reasons", F.array().cast("array<string>"))
-    if tabular is not None:
-        df = df.join(tabular.select(F.col("accession_number").alias("id"), "is_tabular_body"), "id", "left")
-        reasons = F.array_union(reasons, F.when(F.coalesce("is_tabular_body", F.lit(False)), F.array(F.lit("tabular_body"))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("filtered_reasons", reasons)
+def month_of(name: Column) -> Column:
+    """YYYY-MM of a shard's name or an id, whose digits may have a dash between year and month."""
+    return F.regexp_replace(F.regexp_extract(name, r"^(\d{4}-?\d{2})", 1), r"^(\d{4})(\d{2})$", "$1-$2")
+
+
+def wire_shards(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> list[str]:
+    """The shards of a folder whose month lies within the bounds, both included, by name; or the one file that path is.
+
+    A listing of names: shards of other months are never opened. FileNotFoundError if nothing is left.
+    """
+    from quillspan.operators.store import Store
+
+    store = Store(spark)
+    found = store.listing(path, SHARD) if not path.endswith(".jsonl") else []
+    if not found:
+        if not store.exists(path):
+            raise FileNotFoundError(f"no shards at {path}")
+        return [path]
+    kept = [e.path for e in found if (start is None or e.name[:7] >= start) and (end is None or e.name[:7] <= end)]
+    if not kept:
+        raise FileNotFoundError(f"no shards from {start} to {end} in {path}")
+    return kept
+
+
+def screened(df: DataFrame, tabular: DataFrame | None) -> DataFrame:
+    """Articles with `tabular_body` among their reasons if the sidecar says so; they stay. No reason comes twice."""
+    none = F.array().cast("array<string>")
+    reasons = F.coalesce("filtered_reasons", none)
+    if tabular is None:
+        return df.withColumn("filtered_reasons", reasons)
+    flagged = tabular.where("is_tabular_body").select(F.col("accession_number").alias("flagged_id")).distinct()
+    df = df.join(flagged, F.col("id") == F.col("flagged_id"), "left")
+    more = F.when(F.col("flagged_id").isNotNull(), F.array(F.lit("tabular_body"))).otherwise(none)
+    return df.withColumn("filtered_reasons", F.array_union(reasons, more)).drop("flagged_id")
+
+
+def wire_articles(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, tabular: DataFrame | None = None, max_articles: int | None = None, seed: int | None = None, max_tokens: int | None = None, chars_per_token: float = 1.0, count_tokens=None) -> DataFrame:
+    """Wire shards, a file or a folder of months, as far as their contract is known.
+
+    Shards outside the months' bounds aren't read. Articles whose raw text, or where there is none their paragraphs, is beyond
+    max_tokens go; screened ones stay with their reasons, tabular bodies by a join with the sidecar. max_articles are the first ones
+    by shard and line, or with a seed a sample.
+    """
+    shards = wire_shards(spark, path, start, end)
+    df = spark.read.schema(ARTICLE).json(shards)
+    if shards == [path]:  # one file, or a folder whose files don't tell their month
+        month = month_of(F.col("id"))
+        df = df.where(month >= start) if start else df
+        df = df.where(month <= end) if end else df
+    df = df.withColumn("ord", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")))
+    df = within_tokens(df, max_tokens, chars_per_token, count_tokens, F.coalesce("text", F.array_join("paragraphs", "\n")))
     if max_articles is not None:
-        df = df.orderBy(F.rand(seed) if seed is not None else F.col("id")).limit(max_articles)
-    return df
+        df = df.orderBy(F.rand(seed) if seed is not None else F.col("ord")).limit(max_articles)
+    return screened(df, tabular)
 
 
 SOURCES = {"gold": gold_articles, "sports": sports_articles, "wikigaming": wiki_articles, "djnw": wire_articles}
+# What each source knows of: gold is read whole, and web articles have no months and no sidecars.
+OPTIONS = {
+    "gold": (),
+    "sports": ("max_articles", "max_tokens", "chars_per_token", "count_tokens"),
+    "wikigaming": ("max_articles",),
+    "djnw": ("start", "end", "tabular", "max_articles", "seed", "max_tokens", "chars_per_token", "count_tokens"),
+}
 
 
 def load_articles(spark: SparkSession, dataset: str, path: str, **options) -> DataFrame:
+    """The articles of a dataset, with filtered_reasons, which may be empty but not null. Options that a source has no use for are left out, others raise TypeError."""
     if dataset not in SOURCES:
         raise ValueError(f"unknown dataset {dataset!r}; known: {', '.join(SOURCES)}")
-    return SOURCES[dataset](spark, path, **options)
+    if strange := set(options) - set(OPTIONS["djnw"]):
+        raise TypeError(f"unknown options: {sorted(strange)}")
+    df = SOURCES[dataset](spark, path, **{k: v for k, v in options.items() if k in OPTIONS[dataset]})
+    none = F.array().cast("array<string>")
+    return df.withColumn("filtered_reasons", F.coalesce("filtered_reasons", none) if "filtered_reasons" in df.columns else none)
 
 
-def tagged_documents(spark: SparkSession, path: str) -> DataFrame:
+def tagged_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(accession_number, p_blocks, pre_blocks, first_seen) of tagged newswire files in Latin-1, documents of one accession merged in order.
 
     Records end at </doc>. <p> bodies are decoded, trimmed and lose blanks and trailers; <pre> bodies stay as they are.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan import cli
 from quillspan.operators import config, mapper, scoring, sinks, universe
+from quillspan.operators.store import Store
 from quillspan.sources import dimensions
 from quillspan.streaming.shards import process_new_shards
 
@@ -48,7 +49,8 @@ def test_stream(spark, tmp_path):
 
 def test_cli(spark, tmp_path, capsys):
     assert cli.main(["mapper", "--dataset", "gold", "--path", str(tmp_path), "--output-file", "y", "--dry-run"]) == 0
-    told = json.loads(capsys.readouterr().out)
+    told, planned = map(json.loads, capsys.readouterr().out.splitlines())
+    assert planned["status"] == "pending"
     assert told["lane"] == "mapper" and told["keyword_gate"] is False and told["max_article_tokens"] == 57_536
     with pytest.raises(SystemExit):
         cli.main(["mapper", "--dataset", "gold", "--path", str(tmp_path), "--dry-run"])
@@ -130,8 +132,8 @@ def test_dimensions(spark, tmp_path):
         futures.write_text(json.dumps({"ANG": wrong}))
         with pytest.raises(error):
             dimensions.futures(spark, str(futures))
-    paths = sinks.publish_prompts({"equity index": "text"}, str(tmp_path / "p"))
-    assert [p.name for p in paths] == ["rendered_prompt_equity_index.txt"] and dimensions.prompt_texts(str(tmp_path / "p"), {"equity index": paths[0].name}) == {"equity index": "text"}
+    paths = sinks.publish_prompts(Store(spark), {"equity index": "text"}, str(tmp_path / "p"))
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["rendered_prompt_equity_index.txt"] and dimensions.prompt_texts(str(tmp_path / "p"), {"equity index": "rendered_prompt_equity_index.txt"}) == {"equity index": "text"}
 
 
 def test_tasks_of_a_class_follow_each_other(spark):

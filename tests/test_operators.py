@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import ladder, tabular, textcols
 from quillspan.operators import gate, scoring, sinks, universe
+from quillspan.operators.store import Store
 from quillspan.sources import reading
 
 
@@ -114,15 +115,20 @@ def test_class_prompts():
             scoring.class_prompts(template, rules, needed)
 
 
-def test_mixed_gate(tmp_path):
+def test_mixed_gate(spark, tmp_path):
     (tmp_path / "a.summary.json").write_text(json.dumps({"gate": {"keyword_gate": True}}))
-    sinks.refuse_mixed_gate(str(tmp_path), "b.summary.json", True)
-    sinks.refuse_mixed_gate(str(tmp_path), "a.summary.json", False)
-    with pytest.raises(RuntimeError):
-        sinks.refuse_mixed_gate(str(tmp_path), "b.summary.json", False)
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        check = lambda own, gate, folder=folder: sinks.refuse_mixed_gate(Store(spark), folder, own, gate)
+        check("b.summary.json", True)
+        check("a.summary.json", False)
+        with pytest.raises(RuntimeError):
+            check("b.summary.json", False)
     (tmp_path / "c.summary.json").write_text("{")
     with pytest.raises(RuntimeError):
-        sinks.refuse_mixed_gate(str(tmp_path), "b.summary.json", True)
+        check("b.summary.json", True)
+    (tmp_path / "c.summary.json").write_text("{}")  # a summary without a gate block is of an ungated run
+    with pytest.raises(RuntimeError):
+        check("b.summary.json", True)
 
 
 def test_sources(spark, tmp_path):
@@ -136,8 +142,8 @@ def test_sources(spark, tmp_path):
     assert [r.id for r in reading.sports_articles(spark, str(tmp_path / "web"), max_articles=2).collect()] == ["1"]
     with pytest.raises(ValueError):
         reading.sports_articles(spark, str(tmp_path / "web"), max_tokens=5).collect()
-    (tmp_path / "w.jsonl").write_text('{"title": "a", "text": ""}\n{"page_id": "7", "text": "some words"}\n\n{"text": "other words"}\n')
-    assert [r.id for r in reading.wiki_articles(spark, str(tmp_path / "w.jsonl"), 2).collect()] == ["wiki_7", "wiki_3"]
+    (tmp_path / "w.jsonl").write_text('{"title": "a", "text": ""}\n{"page_id": "7", "text": "some words that make a line\\nmenu"}\n\n{"text": "other words that make a line"}\n')
+    assert [(r.id, r.paragraphs) for r in reading.wiki_articles(spark, str(tmp_path / "w.jsonl"), 2).collect()] == [("wiki_7", ["some words that make a line"]), ("wiki_3", ["other words that make a line"])]
     with pytest.raises(ValueError):
         reading.load_articles(spark, "nope", "x")
     (tmp_path / "n.txt").write_text("".join(f"line {k}\n" for k in range(4000)))
@@ -149,9 +155,9 @@ def test_sources(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     (tmp_path / "bare").mkdir()
-    for lacking in ("no", "bare"):
-        with pytest.raises(FileNotFoundError):
-            reading.tabular_sidecars(spark, str(tmp_path / lacking))
+    with pytest.raises(FileNotFoundError, match="wrong path"):
+        reading.tabular_sidecars(spark, str(tmp_path / "no"))
+    assert reading.tabular_sidecars(spark, str(tmp_path / "bare")).count() == 0  # months may lack
     (tmp_path / "bare/s.jsonl").write_text('{"accession_number": "A", "is_tabular_body": true}\n')
     assert reading.tabular_sidecars(spark, str(tmp_path / "bare")).first().is_tabular_body
     (tmp_path / "codes").mkdir()
