@@ -61,7 +61,8 @@ def fired(gate_text: Column, groups: DataFrame) -> Column:
             return single
         places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(*firsts))
         grams = F.flatten(F.transform(places, lambda i: F.array(*(F.array_join(F.slice(words, i + 1, n), " ") for n in lengths))))
-        return F.concat(single, F.array_intersect(grams, F.array(*map(F.lit, sorted(phrases)))))
+        several = F.when(F.arrays_overlap(words, F.array(*map(F.lit, firsts))), F.array_intersect(grams, F.array(*map(F.lit, sorted(phrases)))))
+        return F.concat(single, F.coalesce(several, none))
 
     def keys(found: Column) -> Column:
         out = [F.when(F.array_contains(found, w), F.array(*map(F.lit, sorted(ks)))).otherwise(none) for w, ks in sorted(plain.items())]
@@ -77,4 +78,4 @@ def fired(gate_text: Column, groups: DataFrame) -> Column:
 
 def fired_pairs(articles: DataFrame, groups: DataFrame, key: str = "article_id") -> DataFrame:
     """The pairs of theta_pairs, for articles whose keys are unique; a row of each article and group that fires."""
-    return articles.select(key, F.explode(fired(F.col("gate_text"), groups)).alias("group_key"))
+    return articles.select(key, F.explode_outer(fired(F.col("gate_text"), groups)).alias("group_key")).where("group_key is not null")

@@ -53,7 +53,8 @@ def mapper_tasks(articles: DataFrame, groups: DataFrame, prompts: dict[str, str]
     if classes - set(prompts):
         raise ValueError(f"classes without prompt: {sorted(classes - set(prompts))}")
     a = articles if "fired" in articles.columns else with_fired(articles, groups, gated)
-    t = a.withColumn("group_key", F.explode("fired")).drop("fired")
+    # explode_outer: for explode the optimiser would filter by the array's size at the scan, and so compute paragraphs and gate twice
+    t = a.withColumn("group_key", F.explode_outer("fired")).drop("fired").where("group_key is not null")
     system = spark.createDataFrame(sorted(prompts.items()), "asset_class string, system string")
     dim = groups.select("group_key", "name", "asset_class", "members", textcols.group_label(F.col("name"), F.col("asset_class"), F.col("members")).alias("label"))
     t = t.join(F.broadcast(dim.join(F.broadcast(system), "asset_class")), "group_key")  # dimensions of fixed size
