@@ -4,9 +4,10 @@ A text becomes typed tokens: numbers (with their separators), names and units (a
 and <unit>, other words are lower-cased. A name is a capitalised word inside a sentence, and where such a word opens a sentence,
 unless the text has it in lower case too. Windows of `window` tokens of benchmark items and documents meet in a hash join.
 Documents are probed at every window first, so each that shares one with an item is hit; documents that are hit are then
-aligned token by token. An alignment counts if its slots are consistent (each value of the item stands for one value of the
+aligned token by token. Slots of an alignment have to be consistent (each value of the item stands for one value of the
 document and the other way round), so a question with other numbers and names is caught, while a text that merely has numbers
-and names in the same places is not. Items that are mostly slots say too little as templates; they are looked up as written.
+and names in the same places is not. A changed slot that isn't consistent parts the alignment there, and each stretch between such
+slots is judged by itself: what follows a copied passage can't hide it. Items that are mostly slots say too little as templates; they are looked up as written.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ UNITS = [
 
 @dataclass(frozen=True)
 class LeakPlan:
-    """A document leaks an item if aligned windows cover min_run of its tokens, or all of a shorter item.
+    """A document leaks an item if aligned windows cover min_run of its tokens, or all of a shorter item, between two inconsistent slots.
 
     Windows with fewer than min_literals tokens outside slots say too little and don't count; an item that has no others
     counts by its windows as written. Items of fewer than whole_below tokens are looked up whole, those of fewer than
@@ -117,7 +118,7 @@ def _item_windows(items: DataFrame, plan: LeakPlan) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_slots): documents with the items that they leak, n_tokens the item's tokens covered by the
-    best alignment, n_slots the distinct slot values that it maps.
+    best stretch of an alignment, n_slots the distinct slot values that it maps.
 
     Null and empty texts, on either side, leak nothing. Rows without doc_id or item_id are not reported. Rows that share a
     doc_id count as one document (each text is aligned for itself), repeated rows count once. Empty tables give an empty result.
@@ -145,13 +146,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) ->
     cells = F.filter(F.transform(F.arrays_zip("wt", "ws", "dws"), lambda z, i: F.struct((F.col("at") + i).alias("p"), z["wt"].alias("t"), z["ws"].alias("a"), z["dws"].alias("b"))), lambda c: c["t"].isNotNull())
     tokens_met = met.select("doc_id", "th", "item_id", "n_item", "diag", F.explode_outer(cells).alias("c")).distinct()
     group = ["doc_id", "th", "item_id", "n_item", "diag"]
+    tokens_met = tokens_met.repartition(*group)  # no larger than an item each; one shuffle serves all that follows
     slot = F.col("c.t").isin(NAME, NUM, UNIT)
     key = F.when(slot, F.struct("c.t", "c.a"))
     one_b = F.size(F.collect_set(F.when(slot, F.col("c.b"))).over(Window.partitionBy(*group, key)))
     one_a = F.size(F.collect_set(F.when(slot, F.col("c.a"))).over(Window.partitionBy(*group, F.when(slot, F.struct("c.t", "c.b")))))
-    judged = tokens_met.withColumn("clash", slot & ((one_b > 1) | (one_a > 1)))
-    runs = judged.groupBy(*group).agg(F.count("*").alias("n_tokens"), F.countDistinct(key).alias("n_slots"), F.max("clash").alias("clash"))
-    good = runs.where(~F.col("clash")).where(F.col("n_tokens") >= F.least(F.lit(plan.min_run), F.col("n_item")))
+    # a slot that is written alike on both sides is right whatever others are
+    changed = slot & ~F.col("c.a").eqNullSafe(F.col("c.b"))
+    judged = tokens_met.withColumn("clash", changed & ((one_b > 1) | (one_a > 1)))
+    stretch = F.sum(F.col("clash").cast("int")).over(Window.partitionBy(*group).orderBy("c.p").rowsBetween(Window.unboundedPreceding, 0))
+    runs = judged.withColumn("stretch", stretch).where(~F.col("clash")).groupBy(*group, "stretch").agg(F.count("*").alias("n_tokens"), F.countDistinct(key).alias("n_slots"))
+    good = runs.where(F.col("n_tokens") >= F.least(F.lit(plan.min_run), F.col("n_item")))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_tokens", "n_slots")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.n_tokens").cast("long").alias("n_tokens"), F.col("best.n_slots").cast("long").alias("n_slots"))
 

@@ -66,13 +66,18 @@ WITH texts AS (
   SELECT *, unnest(range(1, size + 1)) AS k FROM met
 ), cells AS (
   SELECT DISTINCT doc_id, text, item_id, n_item, diag, iat + k AS p, it[iat + k] AS t, isf[iat + k] AS a, s[dat + k] AS b, it[iat + k] IN {slots} AS slot FROM offsets
-), clashes AS (
-  SELECT DISTINCT doc_id, text, item_id, n_item, diag FROM cells WHERE slot GROUP BY doc_id, text, item_id, n_item, diag, t, a HAVING count(DISTINCT b) > 1
-  UNION SELECT DISTINCT doc_id, text, item_id, n_item, diag FROM cells WHERE slot GROUP BY doc_id, text, item_id, n_item, diag, t, b HAVING count(DISTINCT a) > 1
+), values_of AS (
+  SELECT DISTINCT doc_id, text, item_id, n_item, diag, t, a, b FROM cells WHERE slot
+), loose AS (
+  SELECT *, a <> b AND (count(*) OVER (PARTITION BY doc_id, text, item_id, n_item, diag, t, a) > 1 OR count(*) OVER (PARTITION BY doc_id, text, item_id, n_item, diag, t, b) > 1) AS clash FROM values_of
+), judged AS (
+  SELECT c.*, coalesce(l.clash, false) AS clash FROM cells c LEFT JOIN loose l USING (doc_id, text, item_id, n_item, diag, t, a, b)
+), stretches AS (
+  SELECT *, sum(clash::INT) OVER (PARTITION BY doc_id, text, item_id, n_item, diag ORDER BY p) AS stretch FROM judged
 ), runs AS (
-  SELECT doc_id, text, item_id, n_item, diag, count(*) AS n_tokens, count(DISTINCT CASE WHEN slot THEN t || chr(31) || a END) AS n_slots FROM cells GROUP BY ALL
+  SELECT doc_id, text, item_id, n_item, diag, stretch, count(*) AS n_tokens, count(DISTINCT CASE WHEN slot THEN t || chr(31) || a END) AS n_slots FROM stretches WHERE NOT clash GROUP BY ALL
 ), good AS (
-  SELECT * FROM runs ANTI JOIN clashes USING (doc_id, text, item_id, n_item, diag) WHERE n_tokens >= least({plan.min_run}, n_item)
+  SELECT * FROM runs WHERE n_tokens >= least({plan.min_run}, n_item)
 )
 SELECT doc_id, item_id, n_tokens::BIGINT AS n_tokens, n_slots::BIGINT AS n_slots FROM good
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_tokens DESC, n_slots DESC) = 1

@@ -36,8 +36,11 @@ def test_slots(spark):
     names = "It was Li and Ro. Li went, Ro-Li stayed, li Ro2 Li\nRo Li"
     sums = "What is 12 + 7 * 3 - 4?"
     docs = [(8, maria), (9, f"so {common}."), (10, f"he said {common}. The End of the story"), (11, f"x {sums} y"), (12, sums.replace("7", "8")), (13, names), (14, names.replace("Li", "Su"))]
+    copied = "a river runs past the quiet mill and then it turns south before the bridge where two old roads meet again"
+    apples = copied + ". %s apples cost %s dollars there, and %s more are free"
+    docs += [(20, apples % (3, 9, 9)), (21, apples % (3, 3, 4)), (22, "Five roads and " + (apples % (8, 8, 7)).replace(copied, "no river at all"))]
     docs += [(1, told), (1, told), (2, told.replace("Maria8 paid", "Peter paid")), (3, item.upper()), (4, None), (5, ""), (None, item), (6, "one short whole item text"), (7, f"x{item} Été Ωmega")]
-    items = [(6, anna), (7, common), (8, sums), (9, names), (1, item), (1, item), (2, None), (3, "short whole item"), (4, "whole item text here and there"), (5, "A one short whole item"), (None, item)]
+    items = [(10, apples % (5, 5, 5)), (6, anna), (7, common), (8, sums), (9, names), (1, item), (1, item), (2, None), (3, "short whole item"), (4, "whole item text here and there"), (5, "A one short whole item"), (None, item)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     db = duckdb.connect()
@@ -47,7 +50,8 @@ def test_slots(spark):
     db.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     found = same(decontam.leaks(d, b), db, "op10_decontamination")
     pairs = {(r[0], r[1]) for r in found}
-    assert pairs >= {(1, 1), (7, 1), (8, 6), (9, 7), (10, 7), (11, 8), (13, 9)} and (12, 8) not in pairs
+    assert pairs >= {(1, 1), (7, 1), (8, 6), (9, 7), (10, 7), (11, 8), (13, 9), (20, 10), (21, 10)} and not {(12, 8), (22, 10)} & pairs
+    assert {r[0]: (r[2], r[3]) for r in found if r[1] == 10}[20] == (21, 0)  # the 21 words of the copied passage, up to the first slot that clashes
 
 
 def test_conversations(spark):
