@@ -263,12 +263,19 @@ def length_filter(spark, sf_dir):
 
 @query(oracle.NML_P)
 def nml_extract_p(spark, sf_dir):
-    """Paragraph bodies of tagged pages, trimmed, without blanks and trailers; references stay, decoding them is a UDF's work."""
+    """Paragraph bodies of tagged pages that hold no other element, trimmed, without blanks and trailers; references stay as they are written."""
     p = F.regexp_extract_all("html", F.lit(r"(?s)<p>([^<]*)</p>"), F.lit(1))
     kept = F.filter(F.transform(p, textcols.strip), lambda x: (x != "") & ~tabular.is_trailer(x))
     return table(spark, sf_dir, "pages").select("page_id", F.size(kept).cast("long").alias("n_p"), F.sha2(F.array_join(kept, "\n"), 256).alias("digest"))
 
 
+@query(oracle.NML_DOCUMENTS)
+def nml_documents(spark, sf_dir):
+    """Tagged pages by the newswire reader's own rules: <p> bodies decoded, trimmed, without blanks and trailers, <pre> bodies verbatim."""
+    d = table(spark, sf_dir, "pages").select("page_id", reading.paragraph_bodies(F.col("html")).alias("p"), reading.bodies(F.col("html"), "pre").alias("pre"))
+    return d.select("page_id", F.size("p").cast("long").alias("n_p"), F.size("pre").cast("long").alias("n_pre"), F.sha2(F.array_join("p", "\n"), 256).alias("digest"))
+
+
 @query(oracle.NML_MERGE)
 def nml_merge_docs(spark, sf_dir):
     """Documents of one accession number merge in document order, wherever they stand; here the accession is a page's host part."""

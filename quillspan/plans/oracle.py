@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5
 
+from quillspan.functions import entities
+from quillspan.functions.tabular import TRAILERS
+from quillspan.functions.textcols import SPACES
 from quillspan.operators.universe import FIXTURE
 
 _LINES = "list_filter(list_transform(string_split({0}, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(10) || chr(13))), lambda l: l <> '')"
@@ -77,11 +81,34 @@ RESULTS_OF = f"SELECT * FROM ({SELF}) WHERE article_id = 27"
 GRADER_ROLLUP = f"WITH {_GRADED} SELECT 'asset_class' AS dimension, asset_class AS key, {_COUNTS} FROM w GROUP BY 2 UNION ALL SELECT 'group', name, {_COUNTS} FROM w GROUP BY 2"
 _P = "regexp_extract_all(html, '<p>([^<]*)</p>', 1)"
 _TRIM = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
-_TRAILER = r"^(?:-0-?|\(END\)|(?:\(MORE\)\s*)+)\s*$|^(?:[A-Z][a-z]+\s+)?[A-Z][a-z]+\s+\d{1,2},?\s+\d{4}\s+\d{1,2}:\d{2}\s+[A-Z]{2,4}(?:\s+\([^)]+\))?\s*$|(?i:^\(END\)\s+Dow\s+Jones\s+Newswires?\s*$)|(?i:^\(MORE TO FOLLOW\)\s+Dow\s+Jones\s+Newswires?\s*$)"
+_TRAILER = "|".join(f"(?i:{t.removeprefix('(?i)')})" if t.startswith("(?i)") else t for t in TRAILERS)
 NML_P = f"""WITH x AS (SELECT page_id, list_filter(list_transform({_P}, lambda p: {_TRIM.format('p')}), lambda p: p <> '' AND NOT regexp_matches(p, '{_TRAILER}')) AS ps FROM pages)
 SELECT page_id, len(ps) AS n_p, sha256(array_to_string(ps, chr(10))) AS digest FROM x"""
 NML_MERGE = f"""WITH x AS (SELECT regexp_extract(url, '//([^/?#]*)', 1) AS accession, min(page_id) AS first_seen, flatten(list({_P} ORDER BY page_id)) AS ps FROM pages GROUP BY 1)
 SELECT accession, first_seen, len(ps) AS n_p, sha256(array_to_string(ps, chr(10))) AS digest FROM x"""
+_REF = entities.REFERENCE.replace("\\t\\n\\f ", "\\t\\n\\f\\x20")
+
+
+def _map(of: dict) -> str:
+    return f"MAP([{', '.join(_quoted(str(k)) for k in of)}], [{', '.join(_quoted(v) for v in of.values())}])"
+
+
+def _decoded(x: str) -> str:
+    """html.unescape: the text is cut at its references, and each is looked up by number or by name."""
+    nothing = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b in entities.NONE)
+    shown = f"coalesce(nums[n::VARCHAR], CASE WHEN n BETWEEN {0xD800} AND {0xDFFF} OR n > {entities.LAST} THEN '\ufffd' WHEN {nothing} OR n & {0xFFFE} = {0xFFFE} THEN '' ELSE chr(n::INTEGER) END)"
+    of = lambda digits, most, value: f"list_transform([CASE WHEN length(ltrim({digits}, '0')) > {most} THEN {entities.LAST + 1} WHEN ltrim({digits}, '0') = '' THEN 0 ELSE {value} END], lambda n: {shown})[1]"
+    dec, hexed = "regexp_extract(r, '^&#([0-9]+)', 1)", "regexp_extract(r, '^&#[xX]([0-9a-fA-F]+)', 1)"
+    prefix = f"regexp_extract(r, '^&({'|'.join(entities.bare_names())})', 1)"
+    one = f"CASE WHEN {dec} <> '' THEN {of(dec, 7, f'{dec}::BIGINT')} WHEN {hexed} <> '' THEN {of(hexed, 6, f"('0x' || {hexed})::BIGINT")} ELSE coalesce(names[r[2:]], CASE WHEN {prefix} <> '' THEN names[{prefix}] || substr(r, length({prefix}) + 2) END, r) END"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{_REF}'), list_append(regexp_extract_all({x}, '{_REF}'), NULL)), lambda z: z[1] || coalesce(list_transform([z[2]], lambda r: {one})[1], '')), '')"
+
+
+_ALL_SPACES = " || ".join(f"chr({ord(c)})" for c in SPACES)
+NML_DOCUMENTS = f"""WITH known AS (SELECT {_map(html5)} AS names, {_map(entities.numbered())} AS nums),
+x AS (SELECT page_id, regexp_extract_all(html, '(?s)<p\\b[^>]*>(.*?)</p>', 1) AS raw, len(regexp_extract_all(html, '(?s)<pre\\b[^>]*>(.*?)</pre>', 1)) AS n_pre, names, nums FROM pages, known),
+d AS (SELECT page_id, n_pre, list_filter(list_transform(raw, lambda p: trim({_decoded('p')}, {_ALL_SPACES})), lambda p: p <> '' AND NOT regexp_matches(p, '{_TRAILER}')) AS ps FROM x)
+SELECT page_id, len(ps) AS n_p, n_pre, sha256(array_to_string(ps, chr(10))) AS digest FROM d"""
 _TOK = "list_filter(string_split_regex({0}, '\\s+'), lambda t: t <> '')"
 _NUMERIC = "regexp_full_match(t, '[+\\-]?\\$?\\d[\\d.,/\\-:]*%?')"
 _GAPS = f"len(regexp_extract_all({_TRIM.format('line')}, ' {{2,}}'))"

@@ -170,19 +170,27 @@ def load_articles(spark: SparkSession, dataset: str, path: str, **options) -> Da
     return df.withColumn("filtered_reasons", F.coalesce("filtered_reasons", none) if "filtered_reasons" in df.columns else none)
 
 
+def bodies(x: Column, tag: str) -> Column:
+    return F.regexp_extract_all(x, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+
+
+def paragraph_bodies(x: Column) -> Column:
+    """The <p> bodies of a tagged document, decoded and trimmed, without blanks and trailers."""
+    from quillspan.functions.entities import unescape
+    from quillspan.functions.tabular import is_trailer
+
+    return F.filter(F.transform(unescape(bodies(x, "p")), textcols.strip), lambda p: (p != "") & ~is_trailer(p))
+
+
 def tagged_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(accession_number, p_blocks, pre_blocks, first_seen) of tagged newswire files in Latin-1, documents of one accession merged in order.
 
     Records end at </doc>. <p> bodies are decoded, trimmed and lose blanks and trailers; <pre> bodies stay as they are.
     """
-    from quillspan.functions.entities import unescape
-    from quillspan.functions.tabular import is_trailer
-
     raw = spark.read.option("lineSep", "</doc>").text(path)
     raw = raw.select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("x"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
-    body = lambda tag: F.regexp_extract_all("x", F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
-    d = raw.where(F.col("x").contains("<doc")).select("file", F.struct("at", "row").alias("ord"), F.regexp_extract("x", 'accession-number="([^"]*)"', 1).alias("accession_number"), unescape(body("p")).alias("p"), body("pre").alias("pre")).where("accession_number <> ''")
-    d = d.withColumn("p", F.filter(F.transform("p", textcols.strip), lambda p: (p != "") & ~is_trailer(p)))
+    x = F.col("x")
+    d = raw.where(x.contains("<doc")).select("file", F.struct("at", "row").alias("ord"), F.regexp_extract(x, 'accession-number="([^"]*)"', 1).alias("accession_number"), paragraph_bodies(x).alias("p"), bodies(x, "pre").alias("pre")).where("accession_number <> ''")
     merged = d.groupBy("file", "accession_number").agg(F.array_sort(F.collect_list(F.struct("ord", "p", "pre"))).alias("xs"))
     flat = lambda c: F.flatten(F.transform("xs", lambda x: x[c]))
     return merged.select("file", "accession_number", flat("p").alias("p_blocks"), flat("pre").alias("pre_blocks"), F.col("xs")[0]["ord"].alias("first_seen"))

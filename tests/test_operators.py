@@ -174,3 +174,22 @@ def test_tagged_documents(spark, tmp_path):
     assert [(r.accession_number, r.p_blocks, r.pre_blocks) for r in got.orderBy("first_seen").collect()] == [("A", ["café & co", "later"], ["x &amp; y"]), ("B", [], ["a  b  1\nc  d  2\ne  f  3"])]
     acc = {r.accession_number: r for r in reading.tabular_results(got).collect()}
     assert acc["B"].is_tabular_body and acc["B"].pre_tabular_tokens == 9 and acc["A"].p_tokens == 4 and acc["A"].pre_narrative_tokens == 3
+
+
+def test_references(spark):
+    """Decoded in the JVM as the standard library decodes them: every name, whole, cut and run on, every number that is special."""
+    import html
+    import random
+    from html.entities import html5
+
+    from quillspan.functions.entities import unescape_text
+
+    rng = random.Random(1)
+    texts = [form.format(n) for n in html5 for form in ("a &{} b", "&{}x")] + [f"&{n[:-1]}" for n in html5]
+    texts += [f"&#{n};" for n in [*range(700), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000, 10**30]] + [f"&#x{n:x}" for n in range(400)]
+    texts += ["&#x0000000000041;", "&#;", "&#x;", "&", "&&amp;", "&amp;lt;", "&notit;", "&ampamp;", "", "no reference"]
+    texts += ["".join(rng.choice(["&", "#", "x", "amp", "lt", ";", "not", "in", "1", "65", " ", "é", "copy", "\n", "<", "8217"]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, t string").select("k", unescape_text(F.col("t")))
+    got = dict(df.collect())
+    assert got.pop(-1) is None and [got[k] for k in range(len(texts))] == [html.unescape(t) for t in texts]
+    assert "EvalPython" not in df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
