@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--sidecars", help="folder of the tabular lane's output")
     m.add_argument("--template", help="text of the system prompt, with places for a class's rules")
     m.add_argument("--rules", help="folder of the classes' rules")
+    m.add_argument("--open-records", action="store_true", help="keep keys that the schema doesn't know")
     m.add_argument("--report-stats", action="store_true", help="print each summary")
     _model_flags(m)
     g = lanes.add_parser("grade", help="judge the tags of a mapper's output")

@@ -99,6 +99,7 @@ class MapperRun:
     template: str | None = None
     rules: str | None = None
     report_stats: bool = False
+    open_records: bool = False
     files: InitVar[object] = Local
 
     def __post_init__(self, files) -> None:

@@ -68,13 +68,14 @@ def run_mapper(articles: DataFrame, groups: DataFrame, prompts: dict[str, str],
 
 
 def records_of(articles: DataFrame, scored: DataFrame) -> DataFrame:
-    """The records of articles and their scored tasks."""
+    """The records of articles and their scored tasks; keys outside the schema, of articles that have them as `extra`, go along."""
     scored = scored.where("result.relevant")
     mapping = F.struct(F.col("group_key"), F.col("name").alias("group"), "asset_class", "members", F.col("result.relevance_score").alias("relevance_score"), F.col("result.evidence_paragraphs").alias("evidence_paragraphs"))
     per = scored.groupBy("id").agg(F.array_sort(F.collect_list(mapping)).alias("tagged"))
     kind = per.schema["tagged"].dataType
     r = articles.join(per, "id", "left").withColumn("tagged", F.coalesce("tagged", F.array().cast(kind)))
-    url = [F.nullif("url", F.lit("")).alias("url")] if "url" in articles.columns else []
+    more = [F.nullif("url", F.lit("")).alias("url")] if "url" in articles.columns else []
+    more += [F.when(F.size("extra") > 0, F.col("extra")).alias("extra")] if "extra" in articles.columns else []
     used = F.array_sort(F.array_distinct(F.flatten(F.transform("tagged", lambda x: x["evidence_paragraphs"]))))
     cited = F.filter(used, lambda i: i < F.size("paragraphs"))
     return r.select(
@@ -83,7 +84,7 @@ def records_of(articles: DataFrame, scored: DataFrame) -> DataFrame:
         F.flatten(F.transform("tagged", lambda x: F.transform(x["members"], lambda m: F.struct(m["name"].alias("name"), m["ticker_symbol"].alias("ticker_symbol"))))).alias("assets"),
         F.map_from_entries(F.transform(cited, lambda i: F.struct(i.cast("string"), F.element_at("paragraphs", F.when(i >= 0, i + 1).otherwise(i))))).alias("paragraphs"),
         F.transform("tagged", lambda x: F.struct(x["group"].alias("group"), x["asset_class"].alias("asset_class"), x["relevance_score"].alias("relevance_score"), x["evidence_paragraphs"].alias("evidence_paragraphs"))).alias("mappings"),
-        *url,
+        *more,
     )
 
 

@@ -24,12 +24,13 @@ def refuse_mixed_gate(store: Store, folder: str, own: str, keyword_gate: bool) -
             raise RuntimeError(f"{e.path} was made with keyword_gate={other}, this run has {keyword_gate}")
 
 
-def write_records(records: DataFrame, path: str, optional: str = "url") -> int:
-    """JSON lines with null fields kept, but for the `optional` one, which comes last if at all; the number of rows."""
-    line = F.to_json(F.struct(*(c for c in records.columns if c != optional)), {"ignoreNullFields": "false"})
-    if optional in records.columns:
-        more = F.concat(F.substring(line, 1, F.length(line) - 1), F.lit(","), F.substring(F.to_json(F.struct(optional)), 2, 2**31 - 1))
-        line = F.when(F.col(optional).isNull(), line).otherwise(more)
+def write_records(records: DataFrame, path: str, optional: tuple[str, ...] = ("url", "extra")) -> int:
+    """JSON lines with null fields kept, but for the `optional` ones, which come last if at all; the number of rows."""
+    line = F.to_json(F.struct(*(c for c in records.columns if c not in optional)), {"ignoreNullFields": "false"})
+    for c in optional:
+        if c in records.columns:
+            more = F.concat(F.substring(line, 1, F.length(line) - 1), F.lit(","), F.substring(F.to_json(F.struct(c)), 2, 2**31 - 1))
+            line = F.when(F.col(c).isNull(), line).otherwise(more)
     seen = Observation()
     records.select(line.alias("value")).observe(seen, F.count("*").alias("n")).write.mode("overwrite").text(path)
     return seen.get["n"]
@@ -74,7 +75,7 @@ def write_run(records: DataFrame, output: str, summarise: Callable[[DataFrame],
 
     A gated or ungated run is refused beside runs of the other kind, before anything is written or removed.
     """
-    spark, kind = records.sparkSession, records.schema
+    spark, kind = records.sparkSession, records.drop("extra").schema
     store = Store(spark)
     if keyword_gate is not None:
         own = beside(output, "summary")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import textcols
@@ -21,12 +21,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def gold_articles(spark: SparkSession, folder: str) -> DataFrame:
+def json_articles(reader: DataFrameReader, path: str | list[str], open_records: bool = False) -> DataFrame:
+    """Articles of JSON files. Open records keep the keys that the schema doesn't know, in `extra`, as variants of whatever kind they have."""
+    if not open_records:
+        return reader.schema(ARTICLE).json(path)
+    known = [tuple(f.strip().split(" ", 1)) for f in ARTICLE.split(",")]
+    extra = F.map_filter(F.try_variant_get("record", "$", "map<string, variant>"), lambda k, _: ~k.isin(*(name for name, _ in known)))
+    df = reader.option("singleVariantColumn", "record").json(path)
+    return df.select(*(F.try_variant_get("record", f"$.{name}", kind).alias(name) for name, kind in known), extra.alias("extra"), "_metadata")
+
+
+def extra_value(path: str, kind: str = "string", extra: str = "extra") -> Column:
+    """A value among an open record's unknown keys, such as codes.subject[0]; null if there is none of that kind."""
+    key, _, rest = path.partition(".")
+    name, bracket, more = key.partition("[")
+    return F.try_variant_get(F.try_element_at(extra, F.lit(name)), "$" + bracket + more + ("." + rest if rest else ""), kind)
+
+
+def gold_articles(spark: SparkSession, folder: str, open_records: bool = False) -> DataFrame:
     """One article a file, gold_*.json, in the order of paths (`ord`); FileNotFoundError without files."""
-    df = spark.read.schema(ARTICLE).option("multiLine", True).option("pathGlobFilter", "gold_*.json").json(folder)
+    df = json_articles(spark.read.option("multiLine", True).option("pathGlobFilter", "gold_*.json"), folder, open_records)
     if not df.inputFiles():
         raise FileNotFoundError(f"no gold_*.json in {folder}")
-    return df.withColumn("ord", F.col("_metadata.file_path"))
+    return df.withColumn("ord", F.col("_metadata.file_path")).drop("_metadata")
 
 
 def measured(text: Column, max_tokens: int, chars_per_token: float, count_tokens) -> Column:
@@ -129,7 +146,7 @@ def screened(df: DataFrame, tabular: DataFrame | None) -> DataFrame:
     return df.withColumn("filtered_reasons", F.array_union(reasons, more)).drop("flagged_id")
 
 
-def wire_articles(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, tabular: DataFrame | None = None, max_articles: int | None = None, seed: int | None = None, max_tokens: int | None = None, chars_per_token: float = 1.0, count_tokens=None) -> DataFrame:
+def wire_articles(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, tabular: DataFrame | None = None, max_articles: int | None = None, seed: int | None = None, max_tokens: int | None = None, chars_per_token: float = 1.0, count_tokens=None, open_records: bool = False) -> DataFrame:
     """Wire shards, a file or a folder of months, as far as their contract is known.
 
     Shards outside the months' bounds aren't read. Articles whose raw text, or where there is none their paragraphs, is beyond
@@ -137,12 +154,12 @@ def wire_articles(spark: SparkSession, path: str, start: str | None = None, end:
     by shard and line, or with a seed a sample.
     """
     shards = wire_shards(spark, path, start, end)
-    df = spark.read.schema(ARTICLE).json(shards)
+    df = json_articles(spark.read, shards, open_records)
     if shards == [path]:  # one file, or a folder whose files don't tell their month
         month = month_of(F.col("id"))
         df = df.where(month >= start) if start else df
         df = df.where(month <= end) if end else df
-    df = df.withColumn("ord", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")))
+    df = df.withColumn("ord", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))).drop("_metadata")
     df = within_tokens(df, max_tokens, chars_per_token, count_tokens, F.coalesce("text", F.array_join("paragraphs", "\n")))
     if max_articles is not None:
         df = df.orderBy(F.rand(seed) if seed is not None else F.col("ord")).limit(max_articles)
@@ -152,10 +169,10 @@ def wire_articles(spark: SparkSession, path: str, start: str | None = None, end:
 SOURCES = {"gold": gold_articles, "sports": sports_articles, "wikigaming": wiki_articles, "djnw": wire_articles}
 # What each source knows of: gold is read whole, and web articles have no months and no sidecars.
 OPTIONS = {
-    "gold": (),
+    "gold": ("open_records",),
     "sports": ("max_articles", "max_tokens", "chars_per_token", "count_tokens"),
     "wikigaming": ("max_articles",),
-    "djnw": ("start", "end", "tabular", "max_articles", "seed", "max_tokens", "chars_per_token", "count_tokens"),
+    "djnw": ("start", "end", "tabular", "max_articles", "seed", "max_tokens", "chars_per_token", "count_tokens", "open_records"),
 }
 
 

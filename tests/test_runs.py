@@ -292,3 +292,22 @@ def test_streams_commit_once(spark, wire):
     assert len(rows) == 202 and sorted(r["p_tokens"] for r in rows if r["accession_number"] == "A") == [2, 3]
     whole = [json.loads(r.value) for r in reading.tabular_results(reading.tagged_documents(spark, f"{wire}/nml")).select(F.to_json(F.struct("*")).alias("value")).collect()]
     assert sorted(map(str, whole)) == sorted(map(str, rows))
+
+
+def test_open_records(spark, wire, capsys):
+    """Keys outside the schema survive from the shard to the record, whatever their kind, and can be asked for by path."""
+    odd = {"id": "20140701E", "headline": "the odd one", "paragraphs": ["the odd paragraph"], "codes": {"subject": ["N/OIL", "M/EN"]}, "rank": 7, "flag": None, "url": "http://x/"}
+    plain = {"id": "20140702F", "headline": "", "paragraphs": ["no more keys"]}
+    (wire / "in/2014-07_clean.jsonl").write_text(json.dumps(odd) + "\n" + json.dumps(plain) + "\n")
+    df = reading.wire_articles(spark, f"{wire}/in/2014-07_clean.jsonl", open_records=True)
+    typed = reading.wire_articles(spark, f"{wire}/in/2014-07_clean.jsonl")
+    assert sorted(map(str, df.drop("extra", "ord").collect())) == sorted(map(str, typed.drop("ord").collect()))
+    row = df.select("id", reading.extra_value("codes.subject[1]").alias("code"), reading.extra_value("rank", "int").alias("rank"), reading.extra_value("none").alias("none")).where("code is not null").collect()
+    assert [tuple(r) for r in row] == [("20140701E", "M/EN", 7, None)]
+    assert cli.main(["mapper", "--input-file", f"{wire}/in/2014-07_clean.jsonl", "--output-file", f"{wire}/open/x.jsonl", "--scorer", "keywords", "--open-records"]) == 0
+    lines = {r["article_id"]: r for r in (json.loads(x.value) for x in spark.read.text(f"{wire}/open/x.jsonl").collect())}
+    assert lines["20140701E"]["extra"] == {"codes": odd["codes"], "rank": 7, "flag": None} and lines["20140701E"]["url"] == "http://x/" and lines["20140701E"]["groups"] == ["English markers"]
+    assert "extra" not in lines["20140702F"] and "url" not in lines["20140702F"]
+    (wire / "gold").mkdir()
+    (wire / "gold/gold_1.json").write_text(json.dumps(odd, indent=1))
+    assert reading.load_articles(spark, "gold", f"{wire}/gold", open_records=True).select(reading.extra_value("codes.subject", "array<string>")).first()[0] == ["N/OIL", "M/EN"]
