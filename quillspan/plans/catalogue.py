@@ -325,7 +325,7 @@ def tabular_join(spark, sf_dir):
     return a.join(t, "article_id", "left").select("article_id", F.when(F.coalesce("is_tabular_body", F.lit(False)), "tabular_body").otherwise("").alias("reason"))
 
 
-@query()
+@query(oracle.LADDER)
 def json_ladder(spark, sf_dir):
     """A scorer's answers in several states of repair, read by the ladder."""
     e = table(spark, sf_dir, "events").select("event_id", "value", "props")
@@ -335,6 +335,17 @@ def json_ladder(spark, sf_dir):
     return e.select("event_id", ladder.parse_mapper(raw).alias("r")).select("event_id", _joined(F.col("r.evidence_paragraphs")).alias("evidence"), "r.relevance_score", "r.relevant")
 
 
+@query(oracle.GRADER_LADDER)
+def grader_ladder(spark, sf_dir):
+    """A grader's answers: verdicts of two kinds, one that isn't known, scores as texts and flags, and texts around them."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    k = F.pmod("event_id", F.lit(6))
+    of = lambda verdict, score: F.concat(F.lit('{"evidence_paragraphs": ['), F.col("user_id").cast("string"), F.lit(f', true], "relevance_score": {score}, "verdict": "{verdict}"}}'))
+    half = F.concat(F.lit('Verdict {incorrect}? '), of("incorrect", 0.5))
+    raw = F.when(k == 0, of("incorrect", '" 0.25 "')).when(k == 1, F.concat(F.lit("```json\n"), of("incorrect", "true"), F.lit("\n```"))).when(k == 2, of("borderline", 1)).when(k == 3, half).when(k == 4, of("correct", "1e-1"))
+    return e.select("event_id", ladder.parse_grader(raw).alias("r")).select("event_id", _joined(F.col("r.evidence_paragraphs")).alias("evidence"), "r.relevance_score", "r.verdict")
+
+
 @query(oracle.EXPLODE)
 def universe_explode(spark, sf_dir):
     return groups(spark, mapper=False).select("group_key", F.col("name").alias("group_name"), "asset_class", F.explode("members").alias("m")).select("group_key", "group_name", "asset_class", F.col("m.name").alias("asset"), "m.ticker_symbol", "m.short_name")

@@ -124,6 +124,9 @@ LINES = f"WITH {_LINE_SQL} SELECT accession, string_agg(CASE WHEN is_tabular THE
 ACCOUNTING = f"WITH {_ACC} SELECT * FROM tab"
 TABULAR_JOIN = f"WITH {_ACC} SELECT doc_id AS article_id, CASE WHEN is_tabular_body THEN 'tabular_body' ELSE '' END AS reason FROM documents LEFT JOIN tab ON accession = doc_id"
 _MEMBERS = "members(group_key, group_name, asset_class, asset, ticker_symbol, short_name) AS (VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(g['name'])}, {_quoted(g['asset_class'])}, {_quoted(m['name'])}, {_quoted(m['ticker_symbol'])}, {_quoted(m['short_name'])})" for k, g in sorted(FIXTURE.items()) for m in g["members"]) + ")"
+LADDER = """SELECT event_id, CASE WHEN event_id % 5 <= 1 THEN '1,2' ELSE '' END AS evidence, CASE WHEN event_id % 5 <= 1 THEN value::DOUBLE ELSE 0.0 END AS relevance_score, event_id % 5 <= 1 AS relevant FROM events"""
+GRADER_LADDER = """SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 4) THEN user_id || ',1' ELSE '' END AS evidence, CASE event_id % 6 WHEN 0 THEN 0.25 WHEN 1 THEN 1.0 WHEN 4 THEN 0.1 ELSE 0.0 END::DOUBLE AS relevance_score,
+  CASE WHEN event_id % 6 <= 1 THEN 'incorrect' ELSE 'correct' END AS verdict FROM events"""
 EXPLODE = f"WITH {_MEMBERS} SELECT * FROM members"
 INTEGRITY = f"""WITH {_MEMBERS}, g AS (SELECT group_key, asset_class, count(*) AS n FROM members GROUP BY 1, 2)
 SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_members, count(*) FILTER (n = 1) AS n_singletons, count(DISTINCT asset_class) AS n_classes, count(*) FILTER (asset_class <> 'US equity sector') AS n_mapper_groups FROM g"""

@@ -1,7 +1,10 @@
 """Rules of the article lanes on the awkward inputs."""
 
 import json
+import math
+import random
 
+import ladder_rule
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,18 +90,52 @@ def test_trailers(spark):
 
 
 def test_ladder():
+    """The rule that the JVM's ladder is held against."""
     default = {"evidence_paragraphs": [], "relevance_score": 0.0, "relevant": False}
     ok = {"evidence_paragraphs": [1, 2], "relevance_score": 0.5, "relevant": True}
     raw = '{"evidence_paragraphs": ["1", 2.0], "relevance_score": "0.5", "relevant": "true", "more": 1}'
-    assert ladder.read(raw, ladder.MAPPER) == ladder.read(f"so: {raw} end", ladder.MAPPER) == ok
+    assert ladder_rule.read(raw, ladder_rule.MAPPER) == ladder_rule.read(f"so: {raw} end", ladder_rule.MAPPER) == ok
     for bad in (None, "", "{", "[]", "null", '{"relevant": null}', '{"evidence_paragraphs": [1.5]}', '{"evidence_paragraphs": ["a"], "relevant": true}', '{"a": "}"'):
-        assert ladder.read(bad, ladder.MAPPER) == default
-    assert ladder.read('{"verdict": "borderline"}', ladder.GRADER)["verdict"] == ladder.read("{}", ladder.GRADER)["verdict"] == "correct"
-    assert ladder.read('{"verdict": "incorrect", "relevance_score": 7}', ladder.GRADER)["relevance_score"] == 7.0
+        assert ladder_rule.read(bad, ladder_rule.MAPPER) == default
+    assert ladder_rule.read('{"verdict": "borderline"}', ladder_rule.GRADER)["verdict"] == ladder_rule.read("{}", ladder_rule.GRADER)["verdict"] == "correct"
+    assert ladder_rule.read('{"verdict": "incorrect", "relevance_score": 7}', ladder_rule.GRADER)["relevance_score"] == 7.0
+
+
+def test_ladder_in_the_jvm(spark):
+    """Answers of every kind and state of repair, read as the rule reads them, without a Python worker."""
+    rng = random.Random(9)
+    values = ["1", "0", "1.0", "0.5", "2.0", "1.5", "-3", "1e2", "1e400", "12345678901", "true", "false", "null", '"0.5"', '" 3 "', '"+4"', '"1_0"', '"1_0.5"', '"x"', '"true"', '"YES"', '"off"', '"1"', '".5"', '"5."', '"1d"', '"nan"', '"-Infinity"', "NaN", "-Infinity", "[]", "{}", "[1]", '[1, "2", 3.0, true]', "[1.5]", '["a"]', "[null]", "[[1]]", "[1, 12345678901]", '"correct"', '"incorrect"', '"borderline"', '"a } b"', '"{"', '"x: NaN, y"']
+    keys = ["evidence_paragraphs", "relevance_score", "relevant", "verdict", "more"]
+
+    def answer():
+        told = "{" + ", ".join(f'"{k}": {rng.choice(values)}' for k in rng.sample(keys, rng.randint(0, 5))) + "}"
+        return rng.choice([told, told, f"I think: {told} done", f"{told}{told}", f"{told}]", f"```json\n{told}\n```", told[:-1], f"}}{told}", f"[{told}]", f" {told}\n", f"{{{told}}}", f"1, {told}", f'{told},"z":1', "{} " + told])
+
+    raws = [answer() for _ in range(6000)] + [None, "", "{", "}", "{}", "null", "[]", "1", "\ufeff{}", '{"a":1}}', "{{}", "{}}", " ", "{'a': 1}", '{"relevant": 01}']
+    df = spark.createDataFrame(list(enumerate(raws)), "k int, raw string")
+    for parse, fields in ((ladder.parse_mapper, ladder_rule.MAPPER), (ladder.parse_grader, ladder_rule.GRADER)):
+        parsed = df.select("k", parse(F.col("raw")).alias("r"))
+        assert "EvalPython" not in parsed._sc._jvm.PythonSQLUtils.explainString(parsed._jdf.queryExecution(), "formatted")
+        got = {k: r.asDict() for k, r in parsed.collect()}
+        wrong = []
+        for k, raw in enumerate(raws):
+            want = ladder_rule.read(raw, fields)
+            if any(abs(i) >= 2**31 for i in want["evidence_paragraphs"]):
+                want = ladder_rule.read("{}", fields)  # an int can't hold it
+            want["relevance_score"] = None if math.isnan(want["relevance_score"]) else want["relevance_score"]
+            if got[k] != want:
+                wrong.append((raw, got[k], want))
+        assert not wrong, (len(wrong), wrong[:5])
+    twice = spark.createDataFrame([('{"relevant": true, "relevant": true}',)], "raw string").select(ladder.parse_mapper(F.col("raw")).alias("r")).first().r
+    assert twice.relevant is False
 
 
 def test_two_decimals(spark):
     assert [one(spark, x, ladder.two_decimals, "double") for x in (0.125, 2.675, None)] == ["0.12", "2.67", None]
+    rng = random.Random(2)
+    xs = [k / 1000 for k in range(2001)] + [rng.uniform(-2000, 2000) for _ in range(500)] + [-0.0, -0.001, 0.005, 1e15, float("inf"), float("-inf")]
+    got = dict(spark.createDataFrame(list(enumerate(xs)), "k int, x double").select("k", ladder.two_decimals("x")).collect())
+    assert [got[k] for k in range(len(xs))] == [f"{x:.2f}" for x in xs]
 
 
 def test_scorer(spark):
