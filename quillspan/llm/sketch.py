@@ -13,12 +13,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import pick
 
 SPACE = float(2**64)
+MOST_RANGES = 100_000
+SAMPLED = 24  # places of a range
+STEP = 256  # bounds between two that are looked at first
 
 
 @dataclass(frozen=True)
@@ -123,6 +126,29 @@ def _walk(plan: SketchPlan):
     return run
 
 
+def range_bounds(d: DataFrame, place: Column, n: int, plan: SketchPlan) -> list[int]:
+    """Places that part d's n rows into ranges of about rows_per_range, from a sample of some SAMPLED places a range.
+
+    They only say which task reads which rows, so that a sample serves; there are MOST_RANGES at most, larger ones beyond.
+    """
+    ranges = max(1, min(MOST_RANGES, -(-n // plan.rows_per_range)))
+    if ranges == 1:
+        return []
+    told = d.select(place.alias("place")).sample(min(1.0, SAMPLED * ranges / n), seed=1).toArrow()["place"].to_numpy()
+    return np.unique(np.sort(told)[np.arange(1, ranges) * len(told) // ranges]).tolist() if len(told) else []
+
+
+def in_range(d: DataFrame, place: Column, bounds: list[int]) -> DataFrame:
+    """d with `part`, the number of bounds below a row's place: first among every STEPth of them, then among those between two of these."""
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < place))
+    coarse = bounds[STEP - 1 :: STEP]
+    if not coarse:
+        return d.withColumn("part", below(F.array(*map(F.lit, bounds)).cast("array<long>")))
+    fine = d.sparkSession.createDataFrame([(k, bounds[k * STEP : (k + 1) * STEP]) for k in range(len(coarse) + 1)], "step int, fine array<long>")
+    d = d.withColumn("step", below(F.array(*map(F.lit, coarse)))).join(F.broadcast(fine), "step")  # MOST_RANGES numbers at most
+    return d.withColumn("part", F.col("step") * STEP + below(F.col("fine"))).drop("step", "fine")
+
+
 def fingerprint_query(docs: DataFrame, plan: SketchPlan = SketchPlan()) -> DataFrame:
     """One row per document with its fingerprint, that of its edited text, and how alike they and the next document's are.
 
@@ -133,32 +159,18 @@ def fingerprint_query(docs: DataFrame, plan: SketchPlan = SketchPlan()) -> DataF
     """
     d = pick(docs, doc_id="doc_id", text="text")
     place = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    low, high, n = d.agg(F.min(place), F.max(place), F.count("*")).first()
+    n = d.count()
     if not n:
         return docs.sparkSession.createDataFrame([], FIELDS)
-    ranges = max(1, min(100_000, -(-n // plan.rows_per_range)))
-    probs = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(map(int, d.select(place.cast("double").alias("place")).approxQuantile("place", probs, 0.1 / ranges)))) if probs else []
-    table = F.array(*(F.lit(b) for b in bounds)) if bounds else F.array().cast("array<long>")
-    part = F.size(F.filter(table, lambda b: b < place)) if len(bounds) <= 64 else _bisect(bounds)(place)
-    first = {r[0]: r[1] for r in d.select(part.alias("part"), place.alias("place")).groupBy("part").agg(F.min("place")).collect()}
+    bounds = range_bounds(d, place, n, plan)
+    d = in_range(d.withColumn("place", place), F.col("place"), bounds)
+    first = {r[0]: r[1] for r in d.groupBy("part").agg(F.min("place")).collect()}  # a row for each range
     order = sorted(first)
     heads = docs.sparkSession.createDataFrame([(first[p], order[i - 1]) for i, p in enumerate(order)], "head long, before int")
     # of the rows with a range's first id, the one that comes first goes to the range before as well
-    head_rows = d.select("doc_id", "text", place.alias("place")).join(F.broadcast(heads), F.col("place") == F.col("head")).groupBy("before").agg(F.min(F.struct("place", F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
+    head_rows = d.select("doc_id", "text", "place").join(F.broadcast(heads), F.col("place") == F.col("head")).groupBy("before").agg(F.min(F.struct("place", F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
     head_rows = head_rows.select(F.col("before").alias("part"), F.lit(1).alias("tail"), F.col("m.place").alias("place"), F.lit(None).cast("long").alias("doc_id"), "m.text")
-    body = d.select(part.alias("part"), F.lit(0).alias("tail"), place.alias("place"), "doc_id", "text")
-    dealt = body.unionByName(head_rows).repartition(len(order), "part").sortWithinPartitions("part", "tail", "place", "text")
+    body = d.select("part", F.lit(0).alias("tail"), "place", "doc_id", "text")
+    # each range is a task of its own: by a hash, some tasks would get several and others none
+    dealt = body.unionByName(head_rows).repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "tail", "place", "text")
     return dealt.select("part", "doc_id", "text").mapInArrow(_walk(plan), FIELDS)
-
-
-def _bisect(bounds: list[int]):
-    import bisect
-
-    import pandas as pd
-
-    @F.pandas_udf("int")
-    def part(place: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_left(bounds, p) for p in place], dtype="int32")
-
-    return part

@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillspan.llm import chat, decontam, extract, language, lines, mixing, pii, quality, simhash, sketch
 from quillspan.llm.common import components
@@ -407,3 +408,25 @@ def test_language(spark):
     odd = make(spark, [None, "", "123 456", "the and that of the"], lang=None)
     assert [r.lang_pred for r in language.language_query(odd).orderBy("doc_id").collect()] == ["und"] * 4
     assert language.reject_unknown(odd, None, 0.3).count() == 0 and language.language_query(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 200, 255, 256, 257, 900, 2000])
+def test_ranges(spark, n):
+    """Rows find their range among any number of bounds, ids of all sizes and clustered ones."""
+    import bisect
+
+    rng = random.Random(n)
+    bounds = sorted({rng.choice([rng.randrange(-(2**63), 2**63), rng.randrange(5000)]) for _ in range(n)})
+    places = [rng.choice([rng.randrange(-(2**63), 2**63), rng.randrange(5000), *bounds[:3]]) for _ in range(500)] + [-(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(p,) for p in places], "place long")
+    got = sketch.in_range(df, F.col("place"), bounds).collect()
+    assert sorted((r.place, r.part) for r in got) == sorted((p, bisect.bisect_left(bounds, p)) for p in places)
+
+
+def test_range_bounds(spark):
+    """About as many ranges as asked for, of about equal size, also where ids are clustered."""
+    df = spark.range(20_000).select(F.when(F.col("id") < 10_000, F.col("id")).otherwise(F.col("id") * 10**12).alias("place"))
+    bounds = sketch.range_bounds(df, F.col("place"), 20_000, sketch.SketchPlan(rows_per_range=100))
+    sizes = [r["count"] for r in sketch.in_range(df, F.col("place"), bounds).groupBy("part").count().collect()]
+    assert 180 <= len(sizes) <= 200 and max(sizes) < 400 and sum(sizes) == 20_000
+    assert sketch.range_bounds(df, F.col("place"), 20_000, sketch.SketchPlan(rows_per_range=20_000)) == []
