@@ -75,13 +75,26 @@ def tokenised(df: DataFrame, written: bool = True) -> DataFrame:
     return d.select(*others, dt, split(F.col("typed")).alias("ds")) if written else d.select(*others, dt)
 
 
-def _windows(template: Column, size: Column) -> Column:
+def _token_hashes(tokens: str) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _window_hash(hashes: Column, at: Column, size: int | Column) -> Column:
+    """The hash of a window's token hashes. Hashing columns or an array of them is the same, and columns cost no copy."""
+    return F.xxhash64(*(F.get(hashes, at + k) for k in range(size))) if isinstance(size, int) else F.xxhash64(F.slice(hashes, at + 1, size))
+
+
+def _windows(hashes: Column, size: Column) -> Column:
     """Places and hashes of the windows of `size` tokens; null for shorter arrays.
 
     They are exploded with explode_outer: for explode the optimiser would infer a filter on the array's size and evaluate
     the whole tokenisation again inside it, for every window.
     """
-    return F.transform(_starts(template, size), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, size)).alias("w")))
+    return F.transform(_starts(hashes, size), lambda i: F.struct(i.alias("at"), _window_hash(hashes, i, size).alias("w")))
+
+
+def _hashed(hashes: Column, size: int) -> Column:
+    return F.transform(_starts(hashes, F.lit(size)), lambda i: _window_hash(hashes, i, size))
 
 
 def _starts(template: Column, size: Column) -> Column:
@@ -89,10 +102,6 @@ def _starts(template: Column, size: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(1)))
 
 
-def _hashed(template: str, size: int):
-    return lambda i: F.xxhash64(F.slice(template, i + 1, size))
-
-
 def _item_windows(items: DataFrame, plan: LeakPlan) -> DataFrame:
     """(item_id, n_item, size, at, w, wt, ws, literal): every window of the items that says enough, its typed and its written tokens;
     `literal` are those of items looked up as written, where wt is ws."""
@@ -107,7 +116,8 @@ def _item_windows(items: DataFrame, plan: LeakPlan) -> DataFrame:
     d = durable(d)
 
     def placed(tokens: str) -> DataFrame:
-        return d.withColumn("win", F.explode_outer(_windows(F.col(tokens), F.col("size")))).select(
+        hashed = d.withColumn("hashes", _token_hashes(tokens))
+        return hashed.withColumn("win", F.explode_outer(_windows(F.col("hashes"), F.col("size")))).select(
             "item_id", "n_item", "size", "win.at", "win.w", F.slice(tokens, F.col("win.at") + 1, F.col("size")).alias("wt"), F.slice("ds", F.col("win.at") + 1, F.col("size")).alias("ws"), F.lit(tokens == "ds").alias("literal")
         )
 
@@ -128,17 +138,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, plan: LeakPlan = LeakPlan()) ->
     wins = durable(_item_windows(pick(benchmark, item_id="item_id", text="text").where("item_id is not null").distinct(), plan))
     n_wins = wins.count()
     looked = sorted((r[0], r[1]) for r in wins.select("literal", "size").distinct().collect()) or [(False, plan.window)]  # at most twice whole_below of them
-    tokens_of = lambda literal: F.col("ds" if literal else "dt")
+    hashes_of = lambda literal: F.col("hs" if literal else "ht")
     bounded = lambda x, rows: F.broadcast(x) if n_wins <= rows else x
-    probe = tokenised(d, any(literal for literal, _ in looked))
-    seen = [F.transform(_starts(tokens_of(x), F.lit(n)), _hashed("ds" if x else "dt", n)) for x, n in looked]
+    written = any(literal for literal, _ in looked)
+    probe = tokenised(d, written).select("doc_id", _token_hashes("dt").alias("ht"), *([_token_hashes("ds").alias("hs")] if written else []))
+    seen = [_hashed(hashes_of(x), n) for x, n in looked]
     probe = probe.select("doc_id", F.explode_outer(F.flatten(F.array_compact(F.array(*seen))) if len(seen) > 1 else seen[0]).alias("w"))
     hits = probe.join(bounded(wins.select("w").distinct(), plan.broadcast_rows), "w", "left_semi")
     hit_ids = durable(hits.select("doc_id").distinct())
     small = hit_ids.count() <= plan.broadcast_rows
     found = d.join(F.broadcast(hit_ids) if small else hit_ids, "doc_id", "left_semi")
-    aligned = tokenised(found.distinct().withColumn("th", F.xxhash64("text")))
-    sized = F.explode_outer(F.array(*(F.struct(F.lit(n).alias("size"), _windows(tokens_of(x), F.lit(n)).alias("ws")) for x, n in looked))).alias("z")
+    aligned = tokenised(found.distinct().withColumn("th", F.xxhash64("text"))).withColumns({"ht": _token_hashes("dt"), "hs": _token_hashes("ds")})
+    sized = F.explode_outer(F.array(*(F.struct(F.lit(n).alias("size"), _windows(hashes_of(x), F.lit(n)).alias("ws")) for x, n in looked))).alias("z")
     aligned = aligned.select("doc_id", "th", "ds", sized).select("doc_id", "th", "ds", "z.size", F.explode_outer("z.ws").alias("x"))
     met = aligned.select("doc_id", "th", "size", F.col("x.at").alias("dat"), F.col("x.w").alias("w"), F.slice("ds", F.col("x.at") + 1, F.col("size")).alias("dws"))
     items = wins.select("item_id", "n_item", "size", "at", "w", "wt", "ws")
