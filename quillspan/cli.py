@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--nml-file", required=True)
     t.add_argument("--output", required=True)
     m = lanes.add_parser("mapper", help="tag articles with asset groups")
+    m.add_argument("--mode", choices=["dev", "prod"])
     m.add_argument("--dataset")
     m.add_argument("--path")
     m.add_argument("--input-file", help="a wire shard")
@@ -37,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--end-date", help="YYYY-MM")
     m.add_argument("--random-seed", type=int)
     m.add_argument("--sidecars", help="folder of the tabular lane's output")
+    m.add_argument("--denylist", help="JSON lines of ids to screen, with a reason each")
     m.add_argument("--template", help="text of the system prompt, with places for a class's rules")
     m.add_argument("--rules", help="folder of the classes' rules")
     m.add_argument("--open-records", action="store_true", help="keep keys that the schema doesn't know")
@@ -81,8 +83,11 @@ def main(argv: list[str] | None = None) -> int:
             p.error(str(e))
     print(json.dumps(vars(args) | (run.record() if run else {}), sort_keys=True))
     if getattr(args, "dry_run", False):
-        for shard in lanes.plan(spark, run) if args.lane == "mapper" else ():
-            print(json.dumps(shard))
+        if args.lane == "mapper":
+            planned = lanes.plan(spark, run)
+            for shard in planned:
+                print(json.dumps(shard))
+            print(json.dumps({"total": len(planned)} | {status: sum(x["status"] == status for x in planned) for status in ("other", "done", "pending")}))
         return 0
     if args.lane == "tabular":
         from quillspan.sources.reading import tabular_results, tagged_documents

@@ -78,8 +78,12 @@ def _month(value: str | None, name: str) -> None:
 @dataclass(frozen=True)
 class MapperRun:
     """dataset is inferred from input_file, a wire shard, or input_dir, a folder of them; exactly one of output_file and
-    output_dir is given, the latter for a folder; paths must exist in the store that `files` reads, the driver's own by default."""
+    output_dir is given, the latter for a folder; paths must exist in the store that `files` reads, the driver's own by default.
 
+    Mode dev writes to results/<dataset>.jsonl unless told otherwise; prod is for whole shards into a folder.
+    """
+
+    mode: str | None = None
     dataset: str | None = None
     path: str | None = None
     input_file: str | None = None
@@ -96,6 +100,7 @@ class MapperRun:
     end_date: str | None = None
     random_seed: int | None = None
     sidecars: str | None = None
+    denylist: str | None = None
     template: str | None = None
     rules: str | None = None
     report_stats: bool = False
@@ -109,6 +114,12 @@ class MapperRun:
         given = self.dataset or GATED
         if given not in DATASETS:
             raise ValueError(f"unknown dataset {given!r}; known: {', '.join(DATASETS)}")
+        if self.mode not in (None, "dev", "prod"):
+            raise ValueError(f"unknown mode {self.mode!r}")
+        if self.mode == "prod" and (shards is None or self.output_dir is None or self.max_articles is not None):
+            raise ValueError("mode prod needs shards and an output folder, and takes them whole")
+        if self.mode == "dev" and self.output_file is None and self.output_dir is None:
+            object.__setattr__(self, "output_file", f"results/{given}.jsonl")
         if (self.output_file is None) == (self.output_dir is None):
             raise ValueError("give exactly one of output_file and output_dir")
         if shards is not None and given != GATED:
@@ -121,7 +132,7 @@ class MapperRun:
             raise ValueError("give both the template and the folder of rules, or neither")
         for name in ("start_date", "end_date"):
             _month(getattr(self, name), name)
-        for path, what in ((self.input_file, "shard"), (self.input_dir, "folder of shards"), (self.path, f"data of {given}"), (self.template, "template"), (self.rules, "folder of rules")):
+        for path, what in ((self.input_file, "shard"), (self.input_dir, "folder of shards"), (self.path, f"data of {given}"), (self.template, "template"), (self.rules, "folder of rules"), (self.denylist, "deny list")):
             _there(files, path, what)
         if self.sidecars is not None and not files.exists(self.sidecars):
             raise FileNotFoundError(f"no sidecars at {self.sidecars}")

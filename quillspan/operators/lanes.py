@@ -27,6 +27,7 @@ def production_articles(spark: SparkSession, run: MapperRun) -> DataFrame:
     return reading.load_articles(
         spark, run.dataset, run.path, max_articles=run.max_articles, start=run.start_date, end=run.end_date, seed=run.random_seed,
         tabular=reading.tabular_sidecars(spark, run.sidecars) if run.sidecars else None, max_tokens=run.max_article_tokens, chars_per_token=CHARS_PER_TOKEN, count_tokens=_counter(spark, run.vocabulary), open_records=run.open_records,
+        denied=reading.deny_list(spark, run.denylist) if run.denylist else None,
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -75,6 +76,18 @@ class Store:
         fs.delete(at, True)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path where all executors can write and read: in that of checkpoints, or a temporary one of a local master's."""
+    sc = spark.sparkContext
+    at = sc._jsc.sc().getCheckpointDir()
+    shared = at.get() if at.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="quillspan-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def beside(output: str, kind: str) -> str:
     """The path of a run's file of some kind, such as its summary, beside its output."""
     folder, _, name = output.rpartition("/")

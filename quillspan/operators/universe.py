@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 SCHEMA = "group_key string, name string, asset_class string, keywords array<string>, members array<struct<name: string, ticker_symbol: string, short_name: string>>"
 EXCLUDED = "US equity sector"
+# The classes of groups.
+CLASSES = ("commodity", "currency", "equity index", "rates", "volatility", EXCLUDED)
 
 
 def validate(groups: dict[str, dict]) -> None:
-    """Raise ValueError unless every group and member is complete, short names are unique and each has keywords."""
+    """Raise ValueError unless every group and member is complete, classes are known, short names and assets are unique and each group has keywords."""
     seen: dict[str, str] = {}
     tickers: dict[str, str] = {}
     for key, g in groups.items():
@@ -19,6 +21,8 @@ def validate(groups: dict[str, dict]) -> None:
         for field in ("name", "asset_class", "members"):
             if field not in g:
                 raise ValueError(f"group {key} lacks {field}")
+        if g["asset_class"] not in CLASSES:
+            raise ValueError(f"group {key} is of the unknown class {g['asset_class']!r}")
         if not g.get("keywords"):
             raise ValueError(f"group {key} has no keywords")
         for m in g["members"]:
@@ -105,6 +109,12 @@ def mapper_view(groups: DataFrame) -> DataFrame:
     return groups.where(F.col("asset_class") != EXCLUDED)
 
 
+def overlap(groups: DataFrame) -> DataFrame:
+    """(name): assets that are members of groups that the mapper sees and of groups that it doesn't; there should be none."""
+    members = lambda g: g.select(F.explode("members.name").alias("name"))
+    return members(mapper_view(groups)).intersect(members(groups.where(F.col("asset_class") == EXCLUDED)))
+
+
 # The universe of the registered queries: markers of the languages that the test articles are written in.
 FIXTURE = {
     "english": {"name": "English markers", "asset_class": "equity index", "keywords": ["the", "and", "that"], "members": [{"name": "Anglo Index", "ticker_symbol": "ANG", "short_name": "anglo"}, {"name": "Isles Index", "ticker_symbol": "ISL", "short_name": "isles"}]},

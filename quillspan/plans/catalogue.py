@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import ladder, tabular, textcols
 from quillspan.operators import mapper, scoring, universe
+from quillspan.operators.store import Store, scratch_folder
 from quillspan.plans import oracle
-from quillspan.sources import dimensions, reading
+from quillspan.sources import corpus, dimensions, reading
 from quillspan.sources.reading import table
 
 QUERIES: dict = {}
@@ -250,14 +251,18 @@ def grader_message(spark, sf_dir):
     return g.select("article_id", "group_name", F.col("user").alias("message"))
 
 
+def plain_tokens(text: Column) -> Column:
+    """Runs of letters, runs of digits and other marks: a count of tokens that SQL can tell too."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"))
+
+
 @query(oracle.LENGTHS)
 def length_filter(spark, sf_dir):
     """What a length filter of 120 tokens keeps and drops of each source, at one character a token: texts of up to 120 characters
     pass unmeasured, in others runs of letters, runs of digits and other marks count."""
     limit = 120
-    tokens = lambda text: F.regexp_count(text, F.lit(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"))
     d = table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.select("source", (F.length("text") <= limit).alias("short"), reading.measured(F.col("text"), limit, 1.0, tokens).alias("kept"))
+    d = d.select("source", (F.length("text") <= limit).alias("short"), reading.measured(F.col("text"), limit, 1.0, plain_tokens).alias("kept"))
     return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if("short").alias("unmeasured"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
 
 
@@ -269,6 +274,49 @@ def nml_extract_p(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(kept).cast("long").alias("n_p"), F.sha2(F.array_join(kept, "\n"), 256).alias("digest"))
 
 
+def wire_id() -> Column:
+    """An id of the wire for each document: a day in one of the twelve months of a year, then the number."""
+    return F.concat(F.lit("2014"), F.lpad((F.pmod("doc_id", F.lit(12)) + 1).cast("string"), 2, "0"), F.lit("01"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+
+
+@query(oracle.WIRE)
+def wire_screening(spark, sf_dir):
+    """The documents as shards of twelve months, read back as a run reads them: months from May to August, the length filter of
+    length_filter, and reasons from a sidecar, here that of the order of the same number."""
+    folder = scratch_folder(spark, "wire")
+    d = table(spark, sf_dir, "documents").select(wire_id().alias("id"), F.substring_index("text", "\n", 1).alias("headline"), F.split("text", "\n").alias("paragraphs"), "text", F.when(F.col("lang") == "de", F.array(F.lit("foreign"))).alias("filtered_reasons"))
+    d.withColumn("month", reading.month_of(F.col("id"))).write.partitionBy("month").json(f"{folder}/raw")
+    store = Store(spark)
+    for e in store.listing(f"{folder}/raw", "month=*"):
+        store.replace(e.path, f"{folder}/in/{e.name.removeprefix('month=')}_clean.jsonl")
+    sidecar = accounted(spark, sf_dir).select(F.concat(F.lit("2014"), F.lpad((F.pmod("accession", F.lit(12)) + 1).cast("string"), 2, "0"), F.lit("01"), F.lpad(F.col("accession").cast("string"), 12, "0")).alias("accession_number"), "is_tabular_body")
+    a = reading.load_articles(spark, "djnw", f"{folder}/in", start="2014-05", end="2014-08", tabular=sidecar, max_tokens=120, count_tokens=plain_tokens)
+    return a.select("id", "headline", F.size("paragraphs").cast("long").alias("n_paragraphs"), _joined(F.col("filtered_reasons")).alias("reasons"))
+
+
+@query(oracle.WIKI)
+def wiki_lines(spark, sf_dir):
+    """The documents as a line file, read back: cleaned, cut into paragraphs, numbered by line where they have no page id."""
+    folder = scratch_folder(spark, "wiki")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("p"), F.col("doc_id").cast("string"))).alias("page_id"), F.col("source").alias("domain"))
+    d.orderBy("doc_id").drop("doc_id").write.json(f"{folder}/lines.jsonl")
+    a = reading.load_articles(spark, "wikigaming", f"{folder}/lines.jsonl")
+    return a.select("id", "headline", "domain", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.sha2(F.array_join("paragraphs", "\n\n"), 256).alias("digest"))
+
+
+@query(oracle.CORPUS)
+def corpus_lookup(spark, sf_dir):
+    """Articles of the month corpus by id, through the index of its files; one of the ids is of no article."""
+    folder = scratch_folder(spark, "corpus")
+    corpus.write_corpus(table(spark, sf_dir, "documents").select(wire_id().alias("id"), F.substring_index("text", "\n", 1).alias("headline"), "source"), folder)
+    corpus.write_index(spark, folder)
+    found = None
+    for n in (5, 27, 123, 10**11):
+        one = corpus.find_article(spark, folder, f"2014{n % 12 + 1:02d}01{n:012d}").select("id", "headline", "source", "month")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query(oracle.NML_DOCUMENTS)
 def nml_documents(spark, sf_dir):
     """Tagged pages by the newswire reader's own rules: <p> bodies decoded, trimmed, without blanks and trailers, <pre> bodies verbatim."""

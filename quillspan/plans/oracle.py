@@ -127,6 +127,17 @@ _MEMBERS = "members(group_key, group_name, asset_class, asset, ticker_symbol, sh
 LADDER = """SELECT event_id, CASE WHEN event_id % 5 <= 1 THEN '1,2' ELSE '' END AS evidence, CASE WHEN event_id % 5 <= 1 THEN value::DOUBLE ELSE 0.0 END AS relevance_score, event_id % 5 <= 1 AS relevant FROM events"""
 GRADER_LADDER = """SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 4) THEN user_id || ',1' ELSE '' END AS evidence, CASE event_id % 6 WHEN 0 THEN 0.25 WHEN 1 THEN 1.0 WHEN 4 THEN 0.1 ELSE 0.0 END::DOUBLE AS relevance_score,
   CASE WHEN event_id % 6 <= 1 THEN 'incorrect' ELSE 'correct' END AS verdict FROM events"""
+_ID = "'2014' || lpad(({0} % 12 + 1)::VARCHAR, 2, '0') || '01' || lpad({0}::VARCHAR, 12, '0')"
+WIRE = f"""WITH {_ACC}, x AS (SELECT d.*, length(text) <= 120 OR len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]+|\\p{{N}}+|[^\\s\\p{{L}}\\p{{M}}\\p{{N}}]')) <= 120 AS kept, coalesce(t.is_tabular_body, false) AS body
+  FROM documents d LEFT JOIN tab t ON t.accession = d.doc_id)
+SELECT {_ID.format('doc_id')} AS id, string_split(text, chr(10))[1] AS headline, len(string_split(text, chr(10))) AS n_paragraphs,
+  array_to_string(list_filter([CASE WHEN lang = 'de' THEN 'foreign' END, CASE WHEN body THEN 'tabular_body' END], lambda r: r IS NOT NULL), ',') AS reasons
+FROM x WHERE kept AND doc_id % 12 + 1 BETWEEN 5 AND 8"""
+WIKI = f"""WITH lines AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS line, string_split(text, chr(10))[1] AS title FROM documents),
+documents AS (SELECT c.doc_id, l.source, c.cleaned AS text FROM ({CLEAN}) c JOIN lines l USING (doc_id)), {_ART}
+SELECT 'wiki_' || CASE WHEN l.doc_id % 2 = 0 THEN 'p' || l.doc_id ELSE l.line::VARCHAR END AS id, l.title AS headline, l.source AS domain, len(paragraphs) AS n_paragraphs, sha256(array_to_string(paragraphs, chr(10) || chr(10))) AS digest
+FROM art JOIN lines l ON l.doc_id = article_id WHERE len(paragraphs) > 0"""
+CORPUS = f"""SELECT {_ID.format('doc_id')} AS id, string_split(text, chr(10))[1] AS headline, source, '2014-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') AS month FROM documents WHERE doc_id IN (5, 27, 123, {10**11})"""
 EXPLODE = f"WITH {_MEMBERS} SELECT * FROM members"
 INTEGRITY = f"""WITH {_MEMBERS}, g AS (SELECT group_key, asset_class, count(*) AS n FROM members GROUP BY 1, 2)
 SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_members, count(*) FILTER (n = 1) AS n_singletons, count(DISTINCT asset_class) AS n_classes, count(*) FILTER (asset_class <> 'US equity sector') AS n_mapper_groups FROM g"""

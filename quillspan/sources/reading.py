@@ -134,19 +134,29 @@ def wire_shards(spark: SparkSession, path: str, start: str | None = None, end: s
     return kept
 
 
-def screened(df: DataFrame, tabular: DataFrame | None) -> DataFrame:
-    """Articles with `tabular_body` among their reasons if the sidecar says so; they stay. No reason comes twice."""
+def screened(df: DataFrame, tabular: DataFrame | None, denied: DataFrame | None = None) -> DataFrame:
+    """Articles with more reasons among their own: `tabular_body` if the sidecar says so, and those of a list (id, reason), sorted.
+
+    They stay, each once however often a list names it, and no reason comes twice.
+    """
     none = F.array().cast("array<string>")
     reasons = F.coalesce("filtered_reasons", none)
-    if tabular is None:
+    lists = [tabular.where("is_tabular_body").select(F.col("accession_number").alias("named_id"), F.lit("tabular_body").alias("reason"))] if tabular is not None else []
+    lists += [denied.select(F.col("id").alias("named_id"), F.coalesce("reason", F.lit("denylist")).alias("reason"))] if denied is not None else []
+    if not lists:
         return df.withColumn("filtered_reasons", reasons)
-    flagged = tabular.where("is_tabular_body").select(F.col("accession_number").alias("flagged_id")).distinct()
-    df = df.join(flagged, F.col("id") == F.col("flagged_id"), "left")
-    more = F.when(F.col("flagged_id").isNotNull(), F.array(F.lit("tabular_body"))).otherwise(none)
-    return df.withColumn("filtered_reasons", F.array_union(reasons, more)).drop("flagged_id")
+    named = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+    named = named.groupBy("named_id").agg(F.array_sort(F.collect_set("reason")).alias("more"))
+    df = df.join(named, F.col("id") == F.col("named_id"), "left")
+    return df.withColumn("filtered_reasons", F.array_union(reasons, F.coalesce("more", none))).drop("named_id", "more")
+
+
+def deny_list(spark: SparkSession, path: str) -> DataFrame:
+    """(id, reason) of JSON lines that name articles to screen; without a reason it is `denylist`."""
+    return spark.read.schema("id string, reason string").json(path).where("id is not null")
 
 
-def wire_articles(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, tabular: DataFrame | None = None, max_articles: int | None = None, seed: int | None = None, max_tokens: int | None = None, chars_per_token: float = 1.0, count_tokens=None, open_records: bool = False) -> DataFrame:
+def wire_articles(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, tabular: DataFrame | None = None, max_articles: int | None = None, seed: int | None = None, max_tokens: int | None = None, chars_per_token: float = 1.0, count_tokens=None, open_records: bool = False, denied: DataFrame | None = None) -> DataFrame:
     """Wire shards, a file or a folder of months, as far as their contract is known.
 
     Shards outside the months' bounds aren't read. Articles whose raw text, or where there is none their paragraphs, is beyond
@@ -163,7 +173,7 @@ def wire_articles(spark: SparkSession, path: str, start: str | None = None, end:
     df = within_tokens(df, max_tokens, chars_per_token, count_tokens, F.coalesce("text", F.array_join("paragraphs", "\n")))
     if max_articles is not None:
         df = df.orderBy(F.rand(seed) if seed is not None else F.col("ord")).limit(max_articles)
-    return screened(df, tabular)
+    return screened(df, tabular, denied)
 
 
 SOURCES = {"gold": gold_articles, "sports": sports_articles, "wikigaming": wiki_articles, "djnw": wire_articles}
@@ -172,7 +182,7 @@ OPTIONS = {
     "gold": ("open_records",),
     "sports": ("max_articles", "max_tokens", "chars_per_token", "count_tokens"),
     "wikigaming": ("max_articles",),
-    "djnw": ("start", "end", "tabular", "max_articles", "seed", "max_tokens", "chars_per_token", "count_tokens", "open_records"),
+    "djnw": ("start", "end", "tabular", "max_articles", "seed", "max_tokens", "chars_per_token", "count_tokens", "open_records", "denied"),
 }
 
 

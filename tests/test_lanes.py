@@ -49,8 +49,8 @@ def test_stream(spark, tmp_path):
 
 def test_cli(spark, tmp_path, capsys):
     assert cli.main(["mapper", "--dataset", "gold", "--path", str(tmp_path), "--output-file", "y", "--dry-run"]) == 0
-    told, planned = map(json.loads, capsys.readouterr().out.splitlines())
-    assert planned["status"] == "pending"
+    told, planned, tally = map(json.loads, capsys.readouterr().out.splitlines())
+    assert planned["status"] == "pending" and tally == {"total": 1, "other": 0, "done": 0, "pending": 1}
     assert told["lane"] == "mapper" and told["keyword_gate"] is False and told["max_article_tokens"] == 57_536
     with pytest.raises(SystemExit):
         cli.main(["mapper", "--dataset", "gold", "--path", str(tmp_path), "--dry-run"])
@@ -81,6 +81,11 @@ def test_run_settings(tmp_path):
     assert config.MapperRun(dataset="sports", path=str(tmp_path), output_file="x").keyword_gate is False
     assert config.MapperRun(dataset="sports", path=str(tmp_path), output_file="x", keyword_gate=True).keyword_gate is True
     assert config.max_article_tokens(4096, "grader") == 1024
+    assert config.MapperRun(mode="dev", dataset="sports", path=str(tmp_path), max_articles=9).output == "results/sports.jsonl"
+    assert config.MapperRun(mode="prod", input_dir=str(tmp_path), output_dir="out").dataset == "djnw"
+    for wrong in ({"mode": "prod", "dataset": "sports", "path": str(tmp_path), "output_dir": "x"}, {"mode": "prod", "input_file": str(shard), "output_file": "x"}, {"mode": "prod", "input_file": str(shard), "output_dir": "x", "max_articles": 3}, {"mode": "test", "input_file": str(shard), "output_dir": "x"}, {"input_dir": str(tmp_path), "output_file": "x"}, {"input_dir": str(tmp_path), "input_file": str(shard), "output_dir": "x"}, {"dataset": "gold", "path": str(tmp_path), "output_file": "x", "rules": str(tmp_path)}):
+        with pytest.raises(ValueError):
+            config.MapperRun(**wrong)
     for wrong in ({"output_file": "x"}, {"dataset": "gold", "path": str(tmp_path)}, {"dataset": "gold", "path": str(tmp_path), "output_file": "x", "output_dir": "y"}, {"dataset": "gold", "input_file": str(shard), "output_file": "x"}, {"dataset": "gold", "path": str(tmp_path / "no"), "output_file": "x"}, {"dataset": "other", "output_file": "x"}):
         with pytest.raises(ValueError):
             config.MapperRun(**wrong)

@@ -64,6 +64,15 @@ def test_universe_checks():
         universe.member_index({"g": group(), "h": group()})
 
 
+def test_overlap(spark):
+    g = universe.to_frame(spark, universe.FIXTURE)
+    assert universe.overlap(g).collect() == []
+    twice = g.where("group_key = 'rare'").selectExpr("'again' AS group_key", "name", f"'{universe.EXCLUDED}' AS asset_class", "keywords", "members")
+    assert [r.name for r in universe.overlap(g.union(twice)).collect()] == ["Ghost Index"]
+    with pytest.raises(ValueError, match="unknown class"):
+        universe.validate({"x": {"name": "n", "asset_class": "stamps", "keywords": ["k"], "members": []}})
+
+
 def test_listing():
     kinds = {"ZZ": "currency", "AA": "currency", "LE": "commodity", "GC": "commodity", "CL": "commodity", "NKD": "equity index", "ES": "equity index", "Q": "other"}
     assets = {s: {"name": s.lower(), "asset_class": c} for s, c in kinds.items()} | {"VX": {"asset_class": "volatility"}}

@@ -93,15 +93,17 @@ def test_lane_over_a_folder(spark, wire, capsys):
     capsys.readouterr()
     run = [*base, "--tokenizer", f"file://{wire}/tokenizer.json", "--report-stats"]
     assert cli.main([*run, "--dry-run"]) == 0
-    settings, *planned = told(capsys)
-    assert settings["max_article_tokens"] == 1024 and [(x["shard"], x["status"]) for x in planned] == [("2014-05", "pending"), ("2014-06", "pending")]
+    settings, *planned, tally = told(capsys)
+    assert tally == {"total": 2, "other": 0, "done": 0, "pending": 2} and settings["max_article_tokens"] == 1024 and [(x["shard"], x["status"]) for x in planned] == [("2014-05", "pending"), ("2014-06", "pending")]
     assert cli.main([*run, "--pattern", "*-05"]) == 0
     _, may = told(capsys)
     # 2,800 characters of "a b " are 1,400 tokens and go; 1,800 of "ab" are some hundred and stay
     assert may["shard"] == "2014-05" and may["total_articles"] == 2 and may["filtered_by_reason"] == {"tabular_body": 1} and may["run"]["timing"]["n_articles"] == 2
     assert may["gate"] == {"keyword_gate": True, "calls_made": 0, "calls_skipped": 6, "calls_saved_pct": 100.0}
     assert cli.main([*run, "--dry-run"]) == 0
-    assert [x["status"] for x in told(capsys)[1:]] == ["done", "pending"]
+    assert [x["status"] for x in told(capsys)[1:-1]] == ["done", "pending"]
+    assert cli.main([*run, "--dry-run", "--start-date", "2014-06", "--pattern", "*-0?"]) == 0
+    assert told(capsys)[-1] == {"total": 2, "other": 1, "done": 0, "pending": 1}
     before = (wire / "out/2014-05.summary.json").stat().st_mtime_ns
     assert cli.main(run) == 0
     assert [x["shard"] for x in told(capsys)[1:]] == ["2014-06"] and (wire / "out/2014-05.summary.json").stat().st_mtime_ns == before
@@ -142,6 +144,9 @@ def test_screened_once(spark):
     df = spark.createDataFrame([("A", ["tabular_body"]), ("A", None), ("B", ["x"])], "id string, filtered_reasons array<string>")
     side = spark.createDataFrame([("A", True), ("A", True), ("B", False), ("C", True)], "accession_number string, is_tabular_body boolean")
     assert sorted((r.id, r.filtered_reasons) for r in reading.screened(df, side).collect()) == [("A", ["tabular_body"]), ("A", ["tabular_body"]), ("B", ["x"])]
+    denied = spark.createDataFrame([("B", None), ("B", "unembeddable"), ("B", "x"), ("A", "tabular_body")], "id string, reason string")
+    assert sorted((r.id, r.filtered_reasons) for r in reading.screened(df, side, denied).collect()) == [("A", ["tabular_body"]), ("A", ["tabular_body"]), ("B", ["x", "denylist", "unembeddable"])]
+    assert [r.filtered_reasons for r in reading.screened(df, None).where("id = 'A'").orderBy(F.size("filtered_reasons")).collect()] == [[], ["tabular_body"]]
 
 
 def test_killed_write(spark, tmp_path):
@@ -177,6 +182,16 @@ def test_graders_plan(spark, wire, capsys):
     assert got == {"1999-01": "no_source", "2014-05": "pending", "2014-06": "done"}
 
 
+def test_deny_list(spark, wire, capsys):
+    (wire / "deny.jsonl").write_text('{"id": "20140601D", "reason": "unembeddable"}\n{"id": "nowhere"}\n\n')
+    run = ["mapper", "--input-file", f"{wire}/in/2014-06_clean.jsonl", "--output-file", f"{wire}/d/x.jsonl", "--scorer", "keywords", "--report-stats"]
+    assert cli.main([*run, "--denylist", f"file://{wire}/deny.jsonl"]) == 0
+    summary = told(capsys)[1]
+    assert summary["filtered_by_reason"] == {"unembeddable": 1} and summary["total_mappings"] == 0 and summary["total_articles"] == 1
+    with pytest.raises(SystemExit):
+        cli.main([*run, "--denylist", f"{wire}/none.jsonl"])
+
+
 def test_prompt_files(spark, wire, capsys):
     (wire / "rules").mkdir()
     classes = {g["asset_class"] for g in universe.FIXTURE.values() if g["asset_class"] != universe.EXCLUDED}
