@@ -286,7 +286,12 @@ def raw_transcripts(conversations: DataFrame, plan: ChatPlan) -> DataFrame:
 
 
 def chat_query(conversations: DataFrame, plan: ChatPlan = ChatPlan()) -> DataFrame:
-    """A row per part of a conversation: conv_id, part, n_lines, gold_roles as written, roles as recovered, rendered chat. An empty table gives an empty one; extra columns don't matter."""
+    """A row per part of a conversation: conv_id, part, n_lines, gold_roles as written, roles as recovered, rendered chat.
+
+    Null roles count as user, null texts as empty, a null turn as 0; rows without conv_id are one conversation. Rows of one turn are
+    ordered by role, then text, and repeated rows count once; a turn without text has a marker at most. A text of any length is
+    read whole, a conversation of any length in parts. An empty table gives an empty one; extra columns don't matter.
+    """
     raw = raw_transcripts(conversations, plan)
     # the keys of the sample first, so that no other text is read for it
     keys = raw.select("conv_id", "part").orderBy(F.xxhash64("conv_id"), "conv_id", "part").limit(plan.sample)
