@@ -138,16 +138,17 @@ def _sorted_rows(rows: DataFrame, plan: RepairPlan) -> DataFrame:
     first = r.where("live").groupBy(F.col("conv_id").alias("first_id"), F.col("same").alias("first_same")).agg(F.min(F.struct("turn")).alias("first"), F.count("*").alias("n")).where("n > 1")
     r = r.join(first, F.col("conv_id").eqNullSafe(F.col("first_id")) & (F.col("same") == F.col("first_same")), "left")
     later = F.col("live") & F.col("first").isNotNull() & F.col("turn").isNotNull() & (F.col("first.turn").isNull() | (F.col("turn") > F.col("first.turn")))
-    fault = faults(F.col("role"), F.col("text"))
-    kind = F.coalesce(F.nullif(F.instr(F.lit(CLASSES), F.substring("role", 1, 1)), F.lit(0)), F.lit(4)) - 1
-    kind = F.when(F.col("role") == "", 3).otherwise(kind)
-    code = F.when(~F.col("live"), DROPPED).otherwise(4 * kind + F.when(fault == BLANK, fault).when(F.coalesce(later, F.lit(False)), DUPLICATE).otherwise(fault))
-    r = r.select("conv_id", "turn", "role", "text", "live", code.cast("int").alias("code"))
+    r = r.select("conv_id", "turn", "role", "text", "live", F.coalesce(later, F.lit(False)).alias("later"))
     session = rows.sparkSession
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), rows.count() // plan.part_rows + 1)
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("text"), F.asc("live")]
     dealt = r.withColumn("head", F.substring("text", 1, 64)).repartitionByRange(parts, *order[:3], F.asc("head")).drop("head")  # bounds of parts hold no whole texts
-    dealt = dealt.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # faults are told after the shuffle: before it, the sample that its bounds come from would tell them too
+    fault = faults(F.col("role"), F.col("text"))
+    kind = F.coalesce(F.nullif(F.instr(F.lit(CLASSES), F.substring("role", 1, 1)), F.lit(0)), F.lit(4)) - 1
+    kind = F.when(F.col("role") == "", 3).otherwise(kind)
+    code = F.when(~F.col("live"), DROPPED).otherwise(4 * kind + F.when(fault == BLANK, fault).when(F.col("later"), DUPLICATE).otherwise(fault))
+    dealt = dealt.sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", code.cast("int").alias("code"), F.spark_partition_id().alias("part"))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -162,7 +163,7 @@ def _sorted_rows(rows: DataFrame, plan: RepairPlan) -> DataFrame:
                 before = row
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()) if c == "code" else b.column(c) for c in b.schema.names], names=b.schema.names)
 
-    return durable(dealt.drop("live").mapInArrow(repeated, dealt.drop("live").schema))
+    return durable(dealt.mapInArrow(repeated, dealt.schema))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, object, list[tuple]]]:
@@ -246,6 +247,19 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) if t is not None else pa.array(c, pa.int64() if not c else None) for c, t in zip(columns, types, strict=True)], names=names)
 
 
+def _batched(rows: Iterator[tuple], schema: pa.Schema, most_rows: int = 1000, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches, each of so many rows or, counting texts and bytes, of about so many bytes at most."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+        if len(held) >= most_rows or size >= most_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def _repaired(borders: Borders, plan: RepairPlan, columns: list[str], batches: Iterator[pa.RecordBatch]):
     """(part, conv_id, rows, edits, divided, last) of each conversation in a part; columns begin with code."""
     for part, conv, held in _chunks(batches, columns):
@@ -280,11 +294,12 @@ def repaired_turns(conversations: DataFrame, plan: RepairPlan = RepairPlan()) ->
     rows = _sorted_rows(_prepared(conversations).withColumn("live", F.lit(True)), plan)
     borders = _borders(rows, plan)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part, conv, held, edits, _, _ in _repaired(borders, plan, ["code", "role", "text"], batches):
-            out = [(conv, (part << 32) + k, e[0], *_told(held, e)) for k, e in enumerate(edits) if e[0] != "D"]
-            if out:
-                yield _batch(out, ["conv_id", "place", "edit", "role", "text"], [None, pa.int64(), *[pa.string()] * 3]).cast(schema)
+            yield from ((conv, (part << 32) + k, e[0], *_told(held, e)) for k, e in enumerate(edits) if e[0] != "D")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched(turns(batches), schema)
 
     kind = rows.schema["conv_id"].dataType.simpleString()
     schema = pa.schema([("conv_id", _arrow(kind)), ("place", pa.int64()), ("edit", pa.string()), ("role", pa.string()), ("text", pa.string())])
@@ -303,7 +318,7 @@ def _piece_rows(borders: Borders, plan: RepairPlan, schema: pa.Schema):
     """For each conversation in a part its counts, the turns and initials at its ends, its audit, and either the digest or the
     text of its turns, where it goes on in another part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part, conv, held, edits, divided, _ in _repaired(borders, plan, ["code", "role", "text", "turn"], batches):
             live = [row for row in held if row[0] != DROPPED]
             found = [row[0] % 4 for row in live]
@@ -315,22 +330,20 @@ def _piece_rows(borders: Borders, plan: RepairPlan, schema: pa.Schema):
             whole = "\n".join(lines).encode("utf-8", "surrogatepass")
             told = (None, whole) if divided else (hashlib.sha256(whole).hexdigest(), None)
             row = (conv, part, found.count(BLANK), found.count(DUPLICATE), found.count(TRUNCATED), illegal, cost, len(live), *((initials[0], initials[-1]) if live else (None, None)))
-            row = (*row, *((turns[0], turns[-1]) if turns else (None, None)), len(set(turns)), "".join(x for x, _, _ in edits), len(lines), *told)
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            yield (*row, *((turns[0], turns[-1]) if turns else (None, None)), len(set(turns)), "".join(x for x, _, _ in edits), len(lines), *told)
 
-    return run
+    return lambda batches: _batched(found_in(batches), schema)
 
 
-def _joined(schema: pa.Schema, out: pa.Schema):
+def _joined(out: pa.Schema):
     """The rows of conversations, from those of their parts in order; the text of a divided one is digested piece by piece."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def conversations_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         state: dict | None = None
 
-        def emit() -> pa.RecordBatch:
+        def emit() -> tuple:
             gaps = state["last"] - state["first"] + 1 - state["turns"] if state["turns"] else 0
-            row = (state["conv"], gaps, *state["n"][:3], state["n"][3], state["n"][4], "".join(state["audit"]), state["digest"] or state["sha"].hexdigest())
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out, strict=True)], schema=out)
+            return state["conv"], gaps, *state["n"], "".join(state["audit"]), state["digest"] or state["sha"].hexdigest()
 
         for b in batches:
             for r in b.to_pylist():
@@ -355,7 +368,7 @@ def _joined(schema: pa.Schema, out: pa.Schema):
         if state is not None:
             yield emit()
 
-    return run
+    return lambda batches: _batched(conversations_of(batches), out)
 
 
 def audited(rows: DataFrame, plan: RepairPlan = RepairPlan()) -> DataFrame:
@@ -373,7 +386,7 @@ def audited(rows: DataFrame, plan: RepairPlan = RepairPlan()) -> DataFrame:
     result = {"conv_id": conv, **dict.fromkeys(("gaps", "blank", "duplicate", "truncated", "illegal", "cost"), "bigint"), "audit": "string", "repaired_sha256": "string"}
     pieces = rows.mapInArrow(_piece_rows(borders, plan, schema), ", ".join(f"{n} {k}" for n, k in names.items()))
     pieces = pieces.repartition("conv_id").sortWithinPartitions(F.asc_nulls_first("conv_id"), "part")
-    return pieces.mapInArrow(_joined(schema, pa.schema([(n, kinds[k]) for n, k in result.items()])), ", ".join(f"{n} {k}" for n, k in result.items()))
+    return pieces.mapInArrow(_joined(pa.schema([(n, kinds[k]) for n, k in result.items()])), ", ".join(f"{n} {k}" for n, k in result.items()))
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
