@@ -20,7 +20,7 @@ from quillspan.llm.common import pick
 
 SPACE = float(2**64)
 MOST_RANGES = 100_000
-SAMPLED = 24  # places of a range
+SAMPLED, MOST_SAMPLED = 100, 2_000_000  # places of a range, and in all
 STEP = 256  # bounds between two that are looked at first
 
 
@@ -127,14 +127,14 @@ def _walk(plan: SketchPlan):
 
 
 def range_bounds(d: DataFrame, place: Column, n: int, plan: SketchPlan) -> list[int]:
-    """Places that part d's n rows into ranges of about rows_per_range, from a sample of some SAMPLED places a range.
+    """Places that part d's n rows into ranges of about rows_per_range, from a sample of some SAMPLED places a range, MOST_SAMPLED at most.
 
     They only say which task reads which rows, so that a sample serves; there are MOST_RANGES at most, larger ones beyond.
     """
     ranges = max(1, min(MOST_RANGES, -(-n // plan.rows_per_range)))
     if ranges == 1:
         return []
-    told = d.select(place.alias("place")).sample(min(1.0, SAMPLED * ranges / n), seed=1).toArrow()["place"].to_numpy()
+    told = d.select(place.alias("place")).sample(min(1.0, min(SAMPLED * ranges, MOST_SAMPLED) / n), seed=1).toArrow()["place"].to_numpy()
     return np.unique(np.sort(told)[np.arange(1, ranges) * len(told) // ranges]).tolist() if len(told) else []
 
 
