@@ -3,32 +3,36 @@
 Shares are integers with sum P. Block j (from 1) of a source with share s is released at floor((j-1)P/s) and due at
 ceil(jP/s); earliest deadline first over slots of one block then keeps every source within one block of its target at
 every prefix. Shares are the weights in units of 2**-60, so that the target is the weight itself however long the stream.
-The driver schedules all blocks, 4 bytes each, and a document is placed by its position in its source.
+One task runs the schedule, in memory that grows with the number of sources only, and writes it as it goes: a row for some blocks
+of a source. A document is placed by its position in its source.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import pick
+from quillspan.llm.common import durable, pick
 
 
 @dataclass(frozen=True)
 class MixPlan:
-    """block: documents in a block; period: shares are rounded to integers of this sum, at least 1 each, if it is given; broadcast_slots: most slots of a schedule that is broadcast, a longer one is joined by a shuffle; temperature: target shares grow as size**temperature if no weights are given; rows_per_bucket: documents numbered in one sort, more of them beyond 10,000 buckets a source."""
+    """block: documents in a block; period: shares are rounded to integers of this sum, at least 1 each, if it is given; broadcast_slots: most slots, 8 bytes each, of a schedule that is broadcast, a longer one is joined by a shuffle; temperature: target shares grow as size**temperature if no weights are given; rows_per_bucket: documents numbered in one sort, more of them beyond 10,000 buckets a source."""
 
     block: int = 16
     period: int | None = None
-    broadcast_slots: int = 8_000_000
+    broadcast_slots: int = 4_000_000
     temperature: float = 0.7
     rows_per_bucket: int = 2_000
 
 
-PART = 1024  # slots of a source in one row of the schedule
+PART, PARTS = 1024, 4_000_000  # slots of a source in one row of the schedule, and of all sources that wait for their row
 
 
 def integer_shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -58,25 +62,62 @@ def pfair_period(shares: dict[str, int]) -> list[str]:
 
 
 def pfair(shares: dict[str, int], blocks: dict[str, int]) -> list[str]:
-    """The source of each slot until every source has had its `blocks`: earliest deadline first among released blocks, ties by name."""
+    """The source of each slot until every source has had its `blocks`."""
+    return list(pfair_slots(shares, blocks))
+
+
+def pfair_slots(shares: dict[str, int], blocks: dict[str, int]) -> Iterator[str]:
+    """The same, one by one: earliest deadline first among released blocks, ties by name. What waits is a block for each source."""
     period = sum(shares.values())
     lacking = len(shares)
     released: list[tuple[int, str, int]] = []
     waiting = [(0, k, 1) for k in sorted(shares)]
     heapq.heapify(waiting)
-    slots: list[str] = []
+    t = 0
     while lacking:
-        t = len(slots)
         while waiting and waiting[0][0] <= t:
             _, k, j = heapq.heappop(waiting)
             heapq.heappush(released, (-(-j * period // shares[k]), k, j))
         due, k, j = heapq.heappop(released)
         if due <= t:
             raise AssertionError(f"block {j} of {k} missed its deadline {due} at {t}")
-        slots.append(k)
+        yield k
+        t += 1
         lacking -= j == blocks[k]
         heapq.heappush(waiting, (j * period // shares[k], k, j + 1))
-    return slots
+
+
+def schedule(spark: SparkSession, shares: dict[str, int], blocks: dict[str, int], part: int) -> DataFrame:
+    """(mix_source, mix_part, mix_slots): the slots of every source's blocks, `part` of them a row, in order; durable.
+
+    One task makes it, for each slot depends on those before it; it holds `part` slots of each source at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["mix_source", "mix_part", "mix_slots"]
+
+        def batch(rows: list[tuple[str, int, array]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tolist() for r in rows], pa.list_(pa.int64()))], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held: dict[str, array] = {k: array("q") for k in shares}
+            done, rows = dict.fromkeys(shares, 0), []
+            for t, k in enumerate(pfair_slots(shares, blocks)):
+                held[k].append(t)
+                if len(held[k]) == part:
+                    rows.append((k, done[k], held[k]))
+                    held[k] = array("q")
+                    done[k] += 1
+                    if len(rows) * part >= PARTS // 16:
+                        yield batch(rows)
+                        rows = []
+            rows += [(k, done[k], slots) for k, slots in sorted(held.items()) if slots]
+            if rows:
+                yield batch(rows)
+
+    return durable(spark.range(1, numPartitions=1).mapInArrow(run, "mix_source string, mix_part long, mix_slots array<long>"))
 
 
 def numbered(docs: DataFrame, plan: MixPlan) -> tuple[DataFrame, dict[str, int]]:
@@ -117,19 +158,18 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, plan: MixPla
         weights = {k: n**plan.temperature for k, n in sizes.items()}
     targets = {k: weights[k] for k in sizes}
     shares = integer_shares(targets, plan.period) if plan.period else exact_shares(targets)
-    order = pfair(shares, {k: -(-n // plan.block) for k, n in sizes.items()})
-    slots: dict[str, list[int]] = {k: [] for k in sizes}
-    for t, k in enumerate(order):
-        slots[k].append(t)
-    taken = spark.createDataFrame([(k, sizes[k], plan.block * len(slots[k])) for k in sorted(sizes)], "mix_source string, mix_size long, mix_taken long")
-    parts = [(k, i // PART, slots[k][i : i + PART]) for k in sorted(sizes) for i in range(0, len(slots[k]), PART)]
-    schedule = spark.createDataFrame(parts, "mix_source string, mix_part long, mix_slots array<int>")
-    schedule = F.broadcast(schedule) if len(order) <= plan.broadcast_slots else schedule
+    if not sizes:
+        return docs.select("*", *(F.lit(0).cast("long").alias(c) for c in ("mix_epoch", "mix_slot", "mix_position"))).limit(0)
+    part = max(16, min(PART, PARTS // len(sizes)))
+    slots = schedule(spark, shares, {k: -(-n // plan.block) for k, n in sizes.items()}, part)
+    had = dict(slots.groupBy("mix_source").agg(F.sum(F.size("mix_slots"))).collect())  # a row for each source
+    taken = spark.createDataFrame([(k, sizes[k], plan.block * had[k]) for k in sorted(sizes)], "mix_source string, mix_size long, mix_taken long")
+    slots = F.broadcast(slots) if sum(had.values()) <= plan.broadcast_slots else slots
     placed = places.join(F.broadcast(taken), "mix_source").where("mix_idx < mix_taken")  # a row for each source
     placed = placed.withColumn("epoch", F.explode(F.expr("sequence(0L, (mix_taken - mix_idx - 1) div mix_size)")))
     placed = placed.withColumn("seq", F.col("epoch") * F.col("mix_size") + F.col("mix_idx")).withColumn("nth", F.expr(f"seq div {plan.block}L"))
-    placed = placed.withColumn("mix_part", F.expr(f"nth div {PART}L")).join(schedule, ["mix_source", "mix_part"])
-    placed = placed.withColumn("slot", F.expr(f"cast(element_at(mix_slots, cast(nth % {PART} as int) + 1) as long)"))
+    placed = placed.withColumn("mix_part", F.expr(f"nth div {part}L")).join(slots, ["mix_source", "mix_part"])
+    placed = placed.withColumn("slot", F.expr(f"element_at(mix_slots, cast(nth % {part} as int) + 1)"))
     place = F.col("slot") * plan.block + F.expr(f"seq % {plan.block}L")
     return placed.select("row.*", F.col("epoch").alias("mix_epoch"), F.col("slot").alias("mix_slot"), place.alias("mix_position"))
 

@@ -430,3 +430,30 @@ def test_range_bounds(spark):
     sizes = [r["count"] for r in sketch.in_range(df, F.col("place"), bounds).groupBy("part").count().collect()]
     assert 180 <= len(sizes) <= 200 and max(sizes) < 400 and sum(sizes) == 20_000
     assert sketch.range_bounds(df, F.col("place"), 20_000, sketch.SketchPlan(rows_per_range=20_000)) == []
+
+
+def test_schedule_streams():
+    """A schedule of any length is made in memory that doesn't grow with it."""
+    import tracemalloc
+    from itertools import islice
+
+    shares = mixing.exact_shares({f"s{k}": k + 1.5 for k in range(40)})
+    peaks = []
+    for n in (20_000, 200_000):
+        tracemalloc.start()
+        assert sum(1 for _ in islice(mixing.pfair_slots(shares, dict.fromkeys(shares, 10**9)), n)) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
+@pytest.mark.parametrize("part", [1, 3, 1024])
+def test_schedule_rows(spark, part):
+    shares, blocks = mixing.exact_shares({"a": 5.0, "b": 2.0, "c": 0.5}), {"a": 40, "b": 9, "c": 3}
+    order = mixing.pfair(shares, blocks)
+    got = mixing.schedule(spark, shares, blocks, part).orderBy("mix_source", "mix_part").collect()
+    slots = {}
+    for r in got:
+        assert len(r.mix_slots) == part or r.mix_part == max(x.mix_part for x in got if x.mix_source == r.mix_source)
+        slots.setdefault(r.mix_source, []).extend(r.mix_slots)
+    assert slots == {k: [t for t, x in enumerate(order) if x == k] for k in shares}
