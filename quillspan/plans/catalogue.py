@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import ladder, tabular, textcols
-from quillspan.operators import mapper, scoring, universe
-from quillspan.operators.store import Store, scratch_folder
+from quillspan.operators import mapper, scoring, sinks, universe
+from quillspan.operators.store import Store, beside, scratch_folder
 from quillspan.plans import oracle
 from quillspan.sources import corpus, dimensions, reading
 from quillspan.sources.reading import table
@@ -279,21 +279,61 @@ def wire_id() -> Column:
     return F.concat(F.lit("2014"), F.lpad((F.pmod("doc_id", F.lit(12)) + 1).cast("string"), 2, "0"), F.lit("01"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
 
 
-@query(oracle.WIRE)
-def wire_screening(spark, sf_dir):
-    """The documents as shards of twelve months, read back as a run reads them: months from May to August, the length filter of
-    length_filter, and reasons from a sidecar, here that of the order of the same number."""
+def wire_shards(spark, sf_dir) -> str:
+    """A folder with the documents as twelve shards of a month."""
     folder = scratch_folder(spark, "wire")
     d = table(spark, sf_dir, "documents").select(wire_id().alias("id"), F.substring_index("text", "\n", 1).alias("headline"), F.split("text", "\n").alias("paragraphs"), "text", F.when(F.col("lang") == "de", F.array(F.lit("foreign"))).alias("filtered_reasons"))
     d.withColumn("month", reading.month_of(F.col("id"))).write.partitionBy("month").json(f"{folder}/raw")
     store = Store(spark)
     for e in store.listing(f"{folder}/raw", "month=*"):
         store.replace(e.path, f"{folder}/in/{e.name.removeprefix('month=')}_clean.jsonl")
+    return folder
+
+
+@query(oracle.WIRE)
+def wire_screening(spark, sf_dir):
+    """The documents as shards, read back as a run reads them: months from May to August, the length filter of length_filter, and
+    reasons from a sidecar, here that of the order of the same number."""
+    folder = wire_shards(spark, sf_dir)
     sidecar = accounted(spark, sf_dir).select(F.concat(F.lit("2014"), F.lpad((F.pmod("accession", F.lit(12)) + 1).cast("string"), 2, "0"), F.lit("01"), F.lpad(F.col("accession").cast("string"), 12, "0")).alias("accession_number"), "is_tabular_body")
     a = reading.load_articles(spark, "djnw", f"{folder}/in", start="2014-05", end="2014-08", tabular=sidecar, max_tokens=120, count_tokens=plain_tokens)
     return a.select("id", "headline", F.size("paragraphs").cast("long").alias("n_paragraphs"), _joined(F.col("filtered_reasons")).alias("reasons"))
 
 
+@query(oracle.RESUME)
+def resume_plan(spark, sf_dir):
+    """What a rerun over the shards has to do once the first three months are committed and a fourth was killed before its summary."""
+    folder = wire_shards(spark, sf_dir)
+    store = Store(spark)
+    for month in ("2014-01", "2014-02", "2014-03", "2014-04"):
+        articles = reading.load_articles(spark, "djnw", f"{folder}/in/{month}_clean.jsonl")
+        sinks.write_run(articles.select("id", "headline"), f"{folder}/out/{month}.jsonl", lambda rows: {"n": rows.count()})
+    store.delete(beside(f"{folder}/out/2014-04.jsonl", "summary"))
+    return sinks.shard_plan(spark, f"{folder}/in", f"{folder}/out", "2014-0*").select("shard", "status")
+
+
+@query(oracle.RUN)
+def run_summary(spark, sf_dir):
+    """A mapper run, committed, by the summary that stands beside its records."""
+    out = f"{scratch_folder(spark, 'run')}/documents.jsonl"
+    sinks.write_run(records(spark, sf_dir), out, lambda rows: sinks.mapper_summary(rows, {}, {"keyword_gate": True}), True)
+    told = json.loads(Store(spark).read(beside(out, "summary")))
+    rows = [(field, key, n) for field, by in told.items() if field not in ("run", "gate") for key, n in (by.items() if isinstance(by, dict) else [("", by)])]
+    return spark.createDataFrame(rows, "field string, key string, n long")  # a row for each reason, class and group
+
+
+@query(oracle.GRADED)
+def grading_summary(spark, sf_dir):
+    """A grader run, committed, by the summary that stands beside its verdicts."""
+    out = f"{scratch_folder(spark, 'graded')}/documents.jsonl"
+    sinks.write_run(verdicts(spark, sf_dir), out, lambda rows: sinks.grader_summary(rows, {}))
+    told = json.loads(Store(spark).read(beside(out, "summary")))
+    rows = [("total", field, told[field], None) for field in ("total_mappings", "graded", "correct", "incorrect", "self_inconsistent", "skipped")]
+    rows += [("skip", reason, n, None) for reason, n in told["skip_reasons"].items()]
+    rows += [(side, key, x["total"], x["correct_pct"]) for side in ("by_asset_class", "by_group") for key, x in told[side].items()]
+    return spark.createDataFrame(rows, "field string, key string, n long, correct_pct double")
+
+
 @query(oracle.WIKI)
 def wiki_lines(spark, sf_dir):
     """The documents as a line file, read back: cleaned, cut into paragraphs, numbered by line where they have no page id."""

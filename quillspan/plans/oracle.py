@@ -137,6 +137,16 @@ WIKI = f"""WITH lines AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS l
 documents AS (SELECT c.doc_id, l.source, c.cleaned AS text FROM ({CLEAN}) c JOIN lines l USING (doc_id)), {_ART}
 SELECT 'wiki_' || CASE WHEN l.doc_id % 2 = 0 THEN 'p' || l.doc_id ELSE l.line::VARCHAR END AS id, l.title AS headline, l.source AS domain, len(paragraphs) AS n_paragraphs, sha256(array_to_string(paragraphs, chr(10) || chr(10))) AS digest
 FROM art JOIN lines l ON l.doc_id = article_id WHERE len(paragraphs) > 0"""
+RESUME = """SELECT DISTINCT '2014-' || lpad(m::VARCHAR, 2, '0') AS shard, CASE WHEN m >= 10 THEN 'other' WHEN m <= 3 THEN 'done' ELSE 'pending' END AS status FROM (SELECT doc_id % 12 + 1 AS m FROM documents)"""
+RUN = f"""WITH {_TASKS}, k AS (SELECT * FROM tasks WHERE relevant) SELECT 'by_asset_class' AS field, asset_class AS key, count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'by_group', name, count(*) FROM k GROUP BY 2
+UNION ALL SELECT 'filtered_by_reason', reason, count(*) FROM (SELECT unnest(reasons) AS reason FROM art) GROUP BY 2 UNION ALL SELECT 'total_articles', '', count(*) FROM art
+UNION ALL SELECT 'filtered_articles', '', count(*) FROM art WHERE len(reasons) > 0 UNION ALL SELECT 'total_mappings', '', count(*) FROM k"""
+GRADED = f"""WITH {_GRADED}, t AS (SELECT count(*) AS total, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'incorrect') AS incorrect, count(*) FILTER (self_inconsistent) AS odd FROM w),
+s AS (SELECT skip_reason, count(*) AS n FROM graded WHERE skip_reason IS NOT NULL GROUP BY 1), z AS (SELECT coalesce(sum(n), 0)::BIGINT AS skipped FROM s)
+SELECT 'total' AS field, 'total_mappings' AS key, total + skipped AS n, NULL::DOUBLE AS correct_pct FROM t, z UNION ALL SELECT 'total', 'graded', total, NULL FROM t UNION ALL SELECT 'total', 'correct', correct, NULL FROM t
+UNION ALL SELECT 'total', 'incorrect', incorrect, NULL FROM t UNION ALL SELECT 'total', 'self_inconsistent', odd, NULL FROM t UNION ALL SELECT 'total', 'skipped', skipped, NULL FROM z UNION ALL SELECT 'skip', skip_reason, n, NULL FROM s
+UNION ALL SELECT 'by_asset_class', asset_class, count(*), round_even(100.0::DOUBLE * count(*) FILTER (verdict = 'correct') / count(*), 2) FROM w GROUP BY 2
+UNION ALL SELECT 'by_group', name, count(*), round_even(100.0::DOUBLE * count(*) FILTER (verdict = 'correct') / count(*), 2) FROM w GROUP BY 2"""
 CORPUS = f"""SELECT {_ID.format('doc_id')} AS id, string_split(text, chr(10))[1] AS headline, source, '2014-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') AS month FROM documents WHERE doc_id IN (5, 27, 123, {10**11})"""
 EXPLODE = f"WITH {_MEMBERS} SELECT * FROM members"
 INTEGRITY = f"""WITH {_MEMBERS}, g AS (SELECT group_key, asset_class, count(*) AS n FROM members GROUP BY 1, 2)
