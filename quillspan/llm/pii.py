@@ -7,6 +7,10 @@ n(e) and n(t) of them with entity e and term t, and
 c(e, t) of them with both, term t discloses PMI(e; t) = log2(N c / (n(e) n(t))) of the IC(e) = log2(N / n(e)) bits that e
 holds. Terms that disclose at least `generalise` of an entity's bits in at least `support` documents become spans wherever they
 occur, in texts without the entity too: they are generalised, or removed from `remove` on.
+
+A term is generalised to the words that begin as it does, written as their common beginning and *. It keeps the longest beginning, up to
+`stem` letters, that tells too little: n(p) documents have such a word, so it discloses no more than log2(N / n(p)) bits of any
+entity, and n(p) is at least the n(t) of the most common one. A term that has no such beginning is removed.
 """
 
 from __future__ import annotations
@@ -43,6 +47,7 @@ class PrivacyPlan:
     support: int = 3
     generalise: float = 0.8
     remove: float = 0.95
+    stem: int = 6
     broadcast_rows: int = 100_000
 
 
@@ -168,8 +173,9 @@ def _few(df: DataFrame, rows: int) -> frozenset | None:
 
 
 def revealing_terms(docs: DataFrame, plan: PrivacyPlan) -> DataFrame:
-    """(term, disclosure): terms that reach the threshold, with the most that they disclose of any entity; counts of terms are
-    over all documents of docs (doc_id, text), those of entities and pairs over rows with doc_id."""
+    """(term, disclosure, keep): terms that reach the threshold, with the most that they disclose of any entity, and how many letters
+    they keep when they are generalised, 0 if they are removed; counts of terms are over all documents of docs (doc_id, text), those
+    of entities and pairs over rows with doc_id."""
     total = docs.count()
     named = docs.where("doc_id is not null").select("text")
     # a pair is in no more documents than its entity
@@ -182,16 +188,23 @@ def revealing_terms(docs: DataFrame, plan: PrivacyPlan) -> DataFrame:
     pairs = durable(pairs.groupBy("entity", "term").agg(F.sum("n").alias("c")).where(F.col("c") >= plan.support))
     # every term is counted, at any size: the terms of pairs are too many to be handed to all tasks
     counts = docs.select("text").mapInArrow(_counted(["term"], lambda text: {(t,) for t in _terms(text)}), "term string, n long")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("n_t"))
+    counts = durable(counts.groupBy("term").agg(F.sum("n").alias("n_t")))
     told = pairs.join(counts, "term").join(held if shared is None else F.broadcast(held), "entity")
     bits = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log2(F.lit(float(max(total, 1))) * F.col("c") / (F.col("n_e") * F.col("n_t")))
-    told = told.withColumn("disclosure", F.when(bits > 0, pmi / bits).otherwise(0.0)).where(F.col("disclosure") >= plan.generalise)
-    return told.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-
-
-def sanitise_text(text: str | None, told: dict[str, float], plan: PrivacyPlan) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], str | None]:
-    """(base spans, term spans, sanitised text) for the terms with their disclosure."""
+    told = told.withColumn("disclosure", F.when(bits > 0, pmi / bits).otherwise(0.0)).withColumn("bits", bits).where(F.col("disclosure") >= plan.generalise)
+    told = durable(told.groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.min("bits").alias("bits")))
+    lengths = lambda term, most: F.transform(F.sequence(F.lit(1), F.least(F.lit(plan.stem), most)), lambda n: F.substring(term, F.lit(1), n))
+    term = F.col("term")
+    softer = told.where((F.col("disclosure") < plan.remove) & (F.length("term") > 1)).select("term", "bits", F.explode(lengths(term, F.length("term") - 1)).alias("stem"))
+    common = counts.select("n_t", F.explode(lengths(term, F.length("term"))).alias("stem")).groupBy("stem").agg(F.max("n_t").alias("n_p"))
+    least = F.log2(F.lit(float(max(total, 1))) / F.col("n_p"))
+    safe = softer.join(common, "stem").where(least < plan.generalise * F.col("bits")).groupBy("term").agg(F.max(F.length("stem")).alias("keep"))
+    return told.join(safe, "term", "left").select("term", "disclosure", F.coalesce("keep", F.lit(0)).alias("keep"))
+
+
+def sanitise_text(text: str | None, told: dict[str, int]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], str | None]:
+    """(base spans, term spans, sanitised text) for the terms with the letters that they keep."""
     base = base_spans(text)
     terms = [("term", a, b) for t, a, b in terms_outside(text, base) if t in told] if text and told else []
     if not base and not terms:
@@ -201,7 +214,7 @@ def sanitise_text(text: str | None, told: dict[str, float], plan: PrivacyPlan) -
         if a < end:
             continue
         word = text[a:b]
-        with_ = f"[{kind.upper()}]" if kind != "term" else "" if told[word.lower()] >= plan.remove else word[0] + "*"
+        with_ = f"[{kind.upper()}]" if kind != "term" else word[: told[word.lower()]] + "*" if told[word.lower()] else ""
         out += [text[end:a], with_]
         end = b
     return base, terms, "".join(out) + text[end:]
@@ -217,15 +230,15 @@ def _text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, sanitised string"
 
 
-def _sanitiser(plan: PrivacyPlan, everywhere: dict[str, float] | None):
+def _sanitiser(everywhere: dict[str, int] | None):
     """everywhere: all revealing terms; None if each text comes with its own."""
 
     @F.pandas_udf(RESULT)
     def run(text: pd.Series, told: pd.Series) -> pd.DataFrame:
         rows = []
         for t, x in zip(text, told, strict=True):
-            known = everywhere if everywhere is not None else {} if x is None else {p["term"]: p["disclosure"] for p in x}
-            base, terms, clean = sanitise_text(t if isinstance(t, str) else None, known, plan)
+            known = everywhere if everywhere is not None else {} if x is None else {p["term"]: p["keep"] for p in x}
+            base, terms, clean = sanitise_text(t if isinstance(t, str) else None, known)
             join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
             n = Counter(k for k, _, _ in base)
             rows.append((*(n[k] for k in KINDS), hashlib.sha256(join(base).encode()).hexdigest(), join(base + terms), len(terms), clean))
@@ -245,13 +258,13 @@ def sanitise(docs: DataFrame, plan: PrivacyPlan = PrivacyPlan()) -> DataFrame:
     revealing = durable(revealing_terms(d, plan))
     few = revealing.limit(plan.broadcast_rows + 1).collect()
     if len(few) <= plan.broadcast_rows:
-        none = F.lit(None).cast("array<struct<term:string,disclosure:double>>")
-        return d.select("doc_id", "text", _sanitiser(plan, {r["term"]: r["disclosure"] for r in few})("text", none).alias("privacy"))
+        none = F.lit(None).cast("array<struct<term:string,keep:int>>")
+        return d.select("doc_id", "text", _sanitiser({r["term"]: r["keep"] for r in few})("text", none).alias("privacy"))
     # a text's terms meet the revealing ones by a shuffle, and come back by the text's hash: terms of another text do no harm
     keyed = d.withColumn("th", F.xxhash64("text"))
     told = keyed.select("th", "text").mapInArrow(_text_terms, "th long, term string").join(revealing, "term").distinct()
-    told = told.groupBy("th").agg(F.collect_list(F.struct("term", "disclosure")).alias("told"))
-    return keyed.join(told, "th", "left").select("doc_id", "text", _sanitiser(plan, None)("text", "told").alias("privacy"))
+    told = told.groupBy("th").agg(F.collect_list(F.struct("term", "keep")).alias("told"))
+    return keyed.join(told, "th", "left").select("doc_id", "text", _sanitiser(None)("text", "told").alias("privacy"))
 
 
 def privacy_query(docs: DataFrame, plan: PrivacyPlan = PrivacyPlan()) -> DataFrame:
