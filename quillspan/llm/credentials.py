@@ -32,12 +32,12 @@ KINDS = (*BASE, "identifier", "endpoint", "phrase")
 ROLE = {"assign": "secret", "hex": "secret", "phrase": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
 COMPLETES = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
 
-# Patterns that RE2 reads alike; the first three are fixed by contract.
+# Patterns that RE2 reads alike; the first three are fixed by contract. A scheme has a bounded length, or long runs would be read again and again.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 IDENTIFIER = r"""\b(?i:user_?name|user_?id|login|client_?id|account_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]+"""
-ENDPOINT = r"""\b(?i:host|host_?name|endpoint|server|url|uri|dsn)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/@?&=%-]+|\b[a-z][a-z0-9+.-]*://[A-Za-z0-9._:/@?&=%-]+"""
+ENDPOINT = r"""\b(?i:host|host_?name|endpoint|server|url|uri|dsn)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/@?&=%-]+|\b[a-z][a-z0-9+.-]{0,30}://[A-Za-z0-9._:/@?&=%-]+"""
 PHRASE = r"[A-Za-z0-9+/_-]+"
 BLANK_LINE = r"\n[\t\r\x20]*\n"
 LEAST = {"assign": 8, "access": 16, "hex": 32, "phrase": 16}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -92,3 +93,12 @@ def test_rows_and_redaction(spark):
     df = spark.createDataFrame([(1, "login: bob\npassword: hunter2hunter2!"), (2, "login: bob"), (3, None), (4, "no aB3dE5gH7jK9mN1pQ alone")], "doc_id long, text string")
     assert [tuple(r) for r in credentials.credentials(df).orderBy("start").collect()] == [(1, "identifier", 0, 10, "assign", 11, 35), (1, "assign", 11, 35, "identifier", 0, 10)]
     assert {r.doc_id: r.text for r in credentials.redact(df).collect()} == {1: "[IDENTIFIER]\n[ASSIGN]!", 2: "login: bob", 3: None, 4: "no aB3dE5gH7jK9mN1pQ alone"}
+
+
+@pytest.mark.parametrize("piece", ["a-", "a.b+", "host ", "host:", "token = ", "x" * 40, "aB3", "AKIA", "password", "login: a ", "f", "\n", "key_id='", "https://"])
+def test_long_texts_are_linear(piece):
+    """Texts of a repeated piece, beside a secret that has all patterns tried."""
+    text = "token=abcdefgh " + piece * (600_000 // len(piece))
+    began = time.process_time()
+    credentials.linked(text)
+    assert time.process_time() - began < 5
