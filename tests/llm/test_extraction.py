@@ -206,3 +206,61 @@ def test_query_brute_force(spark, seed):
             want = brute_text(parsed, m, plan)
             assert got[i] == (want, len(want)), (i, parsed, m)
     assert got[101] == ("", 0) and sum(bool(t) for t, _ in got.values()) > 20
+
+
+def test_word_hashes():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abé\u3000") for _ in range(rng.choice([1, 2, 3, 300, 700])))
+    pages = [[word() for _ in range(rng.randrange(9))] for _ in range(60)]
+    texts = [b"".join(w.encode() + (b"" if k == len(p) - 1 else rng.choice([b" ", b"\n"])) for k, w in enumerate(p)) for p in pages]
+    hashes, size = extract.word_hashes(texts, most=7)
+    words = [w for p in pages for w in p]
+    assert size.tolist() == [len(p) for p in pages] and len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+    assert [len(x) for x in extract.word_hashes([b"", b""])] == [0, 2]
+
+
+@pytest.mark.parametrize("raw", [0, 1, 6])
+def test_code(raw):
+    rng = np.random.default_rng(raw)
+    values = np.unique(rng.integers(0, 2**64, 500, np.uint64) >> rng.integers(0, 60, 500).astype(np.uint64))
+    pages = rng.integers(1, 4, len(values))
+    got = extract.decode(extract.code(values, pages, raw), len(values), raw)
+    assert (got[0] == values).all() and (got[1] == pages).all()
+
+
+@pytest.mark.parametrize("run", [1, 3, 8])
+def test_section_brute_force(run):
+    """The words in suffixes that enough pages of a section share, by name."""
+    rng = random.Random(run)
+    for _ in range(40):
+        streams = [[rng.randrange(3) for _ in range(rng.randrange(40))] for _ in range(rng.randrange(1, 8))]
+        plan = extract.PagePlan(run=run, pages=rng.randrange(2, 4))
+        found = extract.section([" ".join(map(str, s)).encode() for s in streams], rng.randrange(2**64), plan)
+        assert [m.tolist() for m in found.marks(found.pages >= plan.pages, run)] == brute_repeated(streams, run, plan.pages)
+
+
+def long_host(n):
+    """Pages most of which share no more than a run with two others, of the length of a run to twice that, at the beginning of a block."""
+    rng = random.Random(n)
+    own = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(k))
+    shared = [own(rng.randint(8, 19)) for _ in range(n // 3)]
+    return [(k, f"http://h.example/{k}", f"<div>{own(3)}</div><article><p>{own(25)}</p><p>{shared[k % len(shared)]} {own(rng.randint(0, 5))}</p></article>") for k in range(n)]
+
+
+def test_one_rule_at_every_size(spark):
+    """However many groups a host is dealt to, its texts are those of one suffix array: runs of 8 to 19 words at the beginning of a block too."""
+    rows = long_host(400) + [(900, "http://h.example/again", None), *[(901, "http://h.example/copy", "<p>a copy has a text of its own, of more than eight words</p>")] * 9]
+    want = extract.main_texts([r[2] for r in rows], extract.PagePlan())
+    expected = sorted((r[0], *w) for r, w in zip(rows, want, strict=True))
+    assert sum(n > 0 for _, _, n in expected) == 3 * 133 + 1 + 9
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (128, 1000, 11):
+        got = extract.main_text(docs, extract.PagePlan(group=group)).collect()
+        assert sorted((r.page_id, r.text, r.n_repeated) for r in got) == expected, group
+
+
+def test_pages_are_shuffled_once(spark):
+    plan = extract.main_text(spark.createDataFrame(long_host(9), "page_id long, url string, html string"), extract.PagePlan(group=3))
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("mapInArrow") + text.count("MapInArrow") == 1 or text.count("ReusedExchange") >= 2, text
