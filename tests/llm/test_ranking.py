@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.llm import quality
 
@@ -63,3 +64,34 @@ def test_one_kind_only():
     assert quality.fit(x, np.ones(len(x), int), 1.0) is None and quality.fit(x[:0], np.zeros(0, int), 0.5) is None
     same = quality.fit(np.ones((10, 3)), np.array([0, 1] * 5), 0.5)
     assert np.isfinite(same.weights).all() and same.scores(np.ones((2, 3))).tolist() == [0.5, 0.5]
+
+
+@pytest.mark.parametrize("n", [300, 9000])
+def test_train_on_all_pairs(spark, n):
+    """The weights have the least loss over all pairs of all labelled rows, and as many rows as are labelled 1 score one half or more."""
+    x, label = sample(n, n)
+    vectors = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(n, [0.0] * x.shape[1])], "doc_id long, x array<double>").repartition(5)
+    labels = spark.createDataFrame([(i, int(q)) for i, q in enumerate(label)] + [(n, None), (n, 2), (None, 1), (n + 7, 1)], "doc_id long, quality int")
+    plan = quality.RankPlan()
+    model = quality.train(vectors, labels, F.col("doc_id") >= 0, plan)
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-9) and np.allclose(model.scale, x.std(0) + 1e-6, rtol=1e-9)
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    good, bad = z[label == 1], z[label == 0]
+    each = plan.pairs / (len(good) * len(bad))
+
+    def slope(w):
+        lost = 1 / (1 + np.exp(good @ w[:, None] - (bad @ w)[None, :]))
+        return each * (good.T @ lost.sum(1) - bad.T @ lost.sum(0)) - plan.ridge * w
+
+    assert np.abs(slope(model.weights)).max() < 1e-4 * np.abs(slope(np.zeros(x.shape[1]))).max()
+    assert (model.scores(x) >= 0.5).sum() == label.sum()
+
+
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_middle(spark, most):
+    rng = np.random.default_rng(most)
+    for values in (rng.normal(size=60), rng.integers(0, 4, 60) / 3, np.ones(5), np.array([1.0, np.nextafter(1, 2), 1e9])):
+        u = spark.createDataFrame([(float(v),) for v in values], "u double").coalesce(2)
+        ordered = np.sort(values)
+        for rank in {0, len(values) // 3, len(values) - 2}:
+            assert quality.middle(u, rank, 5, most) == (ordered[rank] + ordered[rank + 1]) / 2
